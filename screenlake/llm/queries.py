@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from screenlake.llm import bpe, exact_dedup, language_id, token_counts, topk
+from screenlake.llm import bpe, exact_dedup, language_id, quality, token_counts, topk
 from screenlake.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.QualityModel.fit(docs).transform(docs)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_exact_top_k": op3_exact_top_k,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_token_counts": op8_token_counts,
 }
 

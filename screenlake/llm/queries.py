@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from screenlake.llm import bpe, exact_dedup, language_id, quality, token_counts, topk
+from screenlake.llm import bpe, exact_dedup, language_id, mixing, quality, token_counts, topk
 from screenlake.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.QualityModel.fit(docs).transform(docs)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), power=0.5, keep_share=0.5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
 }
 

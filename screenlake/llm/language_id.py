@@ -110,8 +110,11 @@ def fit(docs: DataFrame, dim: int = DIM, train_docs: int = TRAIN_DOCS) -> dict[s
     About train_docs texts of each language are taken, by a hash of doc_id.
     """
     known = docs.filter("lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    share = known.groupBy("lang").count().select("lang", (F.lit(float(train_docs)) / F.col("count")).alias("share"))
-    picked = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < F.col("share") * SCALE)
+    # one number a language: a label set, not data
+    share = [F.lit(x) for r in known.groupBy("lang").count().toLocalIterator() for x in (r.lang, float(train_docs * SCALE / r["count"]))]
+    if not share:
+        return {}
+    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < F.create_map(*share)[F.col("lang")])
 
     def partial(batch: pa.RecordBatch) -> dict:
         vectors = space(dim).bundle(texts_of(batch))

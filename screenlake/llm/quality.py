@@ -32,9 +32,14 @@ GOOD, BAD, NONE = 1, 0, 2
 #: A labeller rejects at most this share of good documents; keeps the estimate on the side of the precise labellers.
 FALSE_ALARMS = 0.01
 LABELLERS = ("repetition", "symbols", "capitals", "shouting", "wordless", "variety", "word_length")
-SYMBOL = re.compile(rb"[^\w\s.,;:'\"?!()\x80-\xff-]")
-UPPER, LOWER = re.compile(rb"[A-Z]"), re.compile(rb"[a-z]")
-WORDY = re.compile(rb"[A-Za-z\x80-\xff]")
+_every = bytes(range(256))
+SPACES = b" \t\n\x0b\x0c\r"
+LETTERS = bytes(x for x in _every if x >= 0x80 or bytes([x]).isalpha())
+#: Bytes that are no letter, digit, white space or plain punctuation.
+SYMBOLS = bytes(x for x in _every if x not in LETTERS + SPACES + b"0123456789_.,;:'\"?!()-")
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+NO_LETTER = bytes(x for x in _every if x not in LETTERS + SPACES)
+KNOWN_WORDS = 300_000
 
 
 def _band(x: float, good: float, bad: float) -> int:
@@ -48,14 +53,15 @@ def votes(text: bytes) -> tuple[int, ...]:
     n, size = len(words), len(text)
     if not n:
         return (NONE,) * len(LABELLERS)
-    upper, lower = len(UPPER.findall(text)), len(LOWER.findall(text))
+    without = lambda x: len(text) - len(text.translate(None, x))
+    upper, lower = without(UPPER), without(LOWER)
     mean = sum(map(len, words)) / n
     return (
         _band(sum(map(bytes.__eq__, words[1:], words)) / n, 0.02, 0.2) if n >= 8 else NONE,
-        _band(len(SYMBOL.findall(text)) / size, 0.01, 0.06),
+        _band(without(SYMBOLS) / size, 0.01, 0.06),
         _band(upper / max(1, upper + lower), 0.3, 0.7) if upper + lower >= 20 else NONE,
         _band(text.count(b"!!") / n, 0.0, 0.2),
-        _band(sum(not WORDY.search(w) for w in words) / n, 0.1, 0.3),
+        _band(1 - len(text.translate(None, NO_LETTER).split()) / n, 0.1, 0.3),
         _band(-len(set(words)) / n, -0.3, -0.15) if n >= 50 else NONE,
         GOOD if 2 <= mean <= 15 else BAD if mean < 1.5 or mean > 40 else NONE,
     )
@@ -86,9 +92,15 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return prior, table, post
 
 
-def features(text: bytes, known: dict) -> tuple[np.ndarray, np.ndarray]:
+#: Hashes of the words that a worker has met; cleared when full.
+_known: dict[bytes, list[int]] = {}
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a text with square roots of their counts, scaled to length 1."""
-    ids, before = [], None
+    ids, before, known = [], None, _known
+    if len(known) > KNOWN_WORDS:
+        known.clear()
     for w in text.split():
         if w not in known:
             shape = re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", w))))[:24]
@@ -127,8 +139,8 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]], l2: float = 1e-4, ro
     return out
 
 
-def _score(text: bytes, weights: np.ndarray, known: dict) -> float:
-    i, x = features(text, known)
+def _score(text: bytes, weights: np.ndarray) -> float:
+    i, x = features(text)
     return float(1 / (1 + np.exp(-np.clip(weights[i] @ x + weights[-1], -500, 500)))) if len(i) else 0.0
 
 
@@ -157,9 +169,9 @@ class QualityModel:
         limit = int(2**32 * min(1.0, train_docs / counts.sum()))
 
         def sample(batch: pa.RecordBatch) -> dict:
-            known, out = {}, []
+            out = []
             for x in texts_of(batch):
-                if zlib.crc32(x) < limit and len((f := features(x, known))[0]):
+                if zlib.crc32(x) < limit and len((f := features(x))[0]):
                     out.append((posterior.get(votes(x), prior), f[0].astype("<i4").tobytes(), f[1].astype("<f4").tobytes()))
             return {k: [r[i] for r in out] for i, k in enumerate(("y", "i", "x"))}
 
@@ -175,13 +187,7 @@ class QualityModel:
 
         @F.arrow_udf("double")
         def score(texts: pa.Array) -> pa.Array:
-            known: dict = {}
-            out = []
-            for x in texts.cast(pa.binary()):
-                if len(known) > 200_000:
-                    known.clear()
-                out.append(_score(x.as_py() or b"", weights, known))
-            return pa.array(out, pa.float64())
+            return pa.array([_score(x.as_py() or b"", weights) for x in texts.cast(pa.binary())], pa.float64())
 
         return score(F.col(f"`{text}`").cast("string"))
 
@@ -190,9 +196,8 @@ class QualityModel:
         weights, posterior, prior = self.weights, self.posterior, self.prior
 
         def one(batch: pa.RecordBatch) -> dict:
-            known: dict = {}
             texts = texts_of(batch)
-            scores = [_score(x, weights, known) for x in texts]
+            scores = [_score(x, weights) for x in texts]
             return {"doc_id": batch.column(0), "weak_posterior": [posterior.get(votes(x), prior) for x in texts], "score": scores, "kept": [x >= threshold for x in scores]}
 
         return map_batches(id_text(docs), one, "doc_id long, weak_posterior double, score double, kept boolean")

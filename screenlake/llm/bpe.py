@@ -120,10 +120,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact (decoding gives the text again).
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact (decoding gives the text again), and ids if asked for.
 
-    Encodes and decodes in one pass, so the ids never leave the task.
+    Encodes and decodes in one pass, so the ids need not leave the task.
     """
 
     def one(batch):
@@ -136,6 +136,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
             "exact": [x == y.encode() for x, y in zip(back, texts, strict=True)],
+            "ids": [x.astype("i4") for x in ids] if with_ids else None,
         }
 
-    return map_batches(id_text(docs), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean", 2_000_000)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids
+    return map_batches(id_text(docs), one, schema, 2_000_000)

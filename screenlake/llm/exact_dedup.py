@@ -8,8 +8,8 @@ dealt by shards of the digest space, so no task ever merges everything.
 
 Two texts are the same if SHA-256 and length of the normalised text agree.
 Null texts count as empty, and empty texts are equal. A null doc_id sorts after
-all others. Rows that repeat a doc_id are rows like any other; if that doc_id
-stays, each of them is marked kept.
+all others. Rows that repeat a doc_id are rows like any other; those that agree
+in doc_id and length with the one that stays are all marked kept.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def tree_merge(hashed: DataFrame, fan_in: int = 16) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, keep_len (code points of the row that stays).
 
     Of equal texts the row with the most code points stays, then the smallest
     doc_id. An empty table gives an empty result.
@@ -122,6 +122,7 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
         "doc_id",
         keep.alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (F.col("doc_id").eqNullSafe(keep) & (F.col("n_chars") == F.col("keep_len"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "keep_len",
     )

@@ -47,7 +47,7 @@ PERCENT = 75
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 FAR = 36
-BUCKET = 256
+BUCKET = 2048
 LEVELS = 3
 
 
@@ -266,6 +266,7 @@ class NearDedup:
         spark, store = met.sparkSession, self.store
         named = met.select("class_id").distinct().join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("comp"))
         open_keys = store.write(met.select("key", "class_id").distinct().join(named, "class_id").select("key", "class_id", "comp"), "open_0")
+        store.drop("met")
         found = spark.createDataFrame([], "a long, b long")
         for level in range(1, LEVELS + 1):
             sizes = open_keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")

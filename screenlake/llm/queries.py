@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, quality, repeats, token_counts, topk
+from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, passages, quality, repeats, token_counts, topk
 from screenlake.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.Passages(table(spark, sf_dir, "documents")).report()
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.Repeats(table(spark, sf_dir, "documents"), least=200).removed()
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_collinear_passages": op9_collinear_passages,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 

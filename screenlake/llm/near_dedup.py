@@ -15,7 +15,7 @@ Only connected components are asked for, so no group is expanded into pairs:
 1. Documents with equal sets are one class.
 2. Keys are range-partitioned with the class as second sort column, which splits
    keys of any size, and one pass over each sorted partition drops keys that
-   occur once and pairs each class with the first of its key.
+   occur once. Each class is paired with the first class of most of its keys.
 3. Components of the confirmed pairs. Keys whose classes are all in one
    component are done, however many classes those are.
 4. Classes of different components under one key are compared by signature.
@@ -131,37 +131,49 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(-1) <= FAR
 
 
-def _compare(batches):
-    """Pairs of one key in different components with near signatures; rows are sorted by key, keys have BUCKET rows at most."""
-    def pairs(key, cls, comp, sig):
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the first key that signature a shares with each of b; some key must be shared."""
+    differ = (b != a).reshape(-1, CHUNKS, CHUNK)
+    chunk = (differ.sum(2) <= 1).argmax(1)
+    return chunk * CHUNK + differ[np.arange(len(b)), chunk].argmax(1)
+
+
+def _compare(own_keys: bool):
+    """Pairs of one key in different components with near signatures; rows are sorted by key, keys have BUCKET rows at most.
+
+    With own_keys the keys are those of the signatures, and a pair that shares
+    several comes out under the first of them only.
+    """
+    def pairs(batch):
+        key, cls, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sig, found = _sigs(batch.column(3)), set()
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, hi)
                 j = j[comp[j] != comp[i]]
                 j = j[_near(sig[j], sig[i])]
-                for x in j:
-                    yield min(cls[i], cls[x]), max(cls[i], cls[x])
-
-    held = None
-    for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
-        held, done = batch.slice(cut), batch.slice(0, cut)
-        found = set(_pairs_of(done, pairs))
-        if found:
+                if own_keys and len(j):
+                    j = j[chunk_keys(sig[i : i + 1])[0][_first_shared(sig[i], sig[j])].view(np.int64) == key[lo]]
+                found.update((min(cls[i], cls[x]), max(cls[i], cls[x])) for x in j)
+        return found
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
+            held, done = batch.slice(cut), batch.slice(0, cut)
+            if cut and (found := pairs(done)):
+                yield _edge_batch(found)
+        if held is not None and (found := pairs(held)):
             yield _edge_batch(found)
-    if held is not None and held.num_rows and (found := set(_pairs_of(held, pairs))):
-        yield _edge_batch(found)
-
 
-def _pairs_of(batch, pairs):
-    if batch.num_rows > 1:
-        yield from pairs(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)), _sigs(batch.column(3)))
+    return run
 
 
 def _edge_batch(found) -> pa.RecordBatch:
@@ -195,7 +207,9 @@ class NearDedup:
         filed = classes.select("class_id", "sig").mapInArrow(_file, "key long, class_id long")
         met = store.write(filed.repartitionByRange("key", "class_id").sortWithinPartitions("key", "class_id").mapInArrow(_met, "key long, class_id long, rep long"), "met")
         texts = store.write(self._texts(met, classes), "texts")
-        firsts = met.filter("class_id <> rep").select(F.col("rep").alias("a"), F.col("class_id").alias("b")).distinct()
+        # with each class, the first one that it shares most keys with
+        firsts = met.filter("class_id <> rep").groupBy("class_id", "rep").agg(F.count("*").alias("n"))
+        firsts = firsts.groupBy(F.col("class_id").alias("b")).agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("a")).select("a", "b")
         links = store.write(self._confirm(self._close(firsts, classes), texts), "links_1")
         links = links.union(self._same_id(usable, classes))
         labels = components(links, store, "comp_1")
@@ -275,7 +289,7 @@ class NearDedup:
                 rows = rows.join(classes.select("class_id", "sig"), "class_id")
             rows = store.write(rows.select("key", "class_id", "comp", "sig", "n"), f"mixed_{level}")
             small = rows.filter(F.col("n") <= self.bucket).select("key", "class_id", "comp", "sig")
-            found = found.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long"))
+            found = found.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(level == 1), "a long, b long"))
             large = rows.filter(F.col("n") > self.bucket)
             if not large.limit(1).count():
                 return found

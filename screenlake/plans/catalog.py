@@ -2,6 +2,259 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from screenlake.functions import dates, stats, text, units
+from screenlake.operators import chart, edits, lookups, metrics, protocol_text, screening
+from screenlake.plans.criteria import Composite, Concept, Criterion, Demographic, Observation, Presence, Protocol, Unsupported, Window
+from screenlake.sources.testdata import EVIDENCE_SQL, PATIENTS_DUCKDB, evidence, patients
+
+AS_OF = date(1998, 6, 1)
+CREATININE = Concept("Creatinine", (("LOINC", "2160-0"),))
+A1C = Concept("Hemoglobin A1c", (("LOINC", "4548-4"),))
+URGENT = Concept("urgent", (("SNOMED", "1-URGENT"),))
+PROMO = Concept("promo", (("RxNorm", "PROMO"),))
+BRASS = Concept("brass")
+
+PROTOCOL = Protocol("NCT-A", (
+    Criterion("INC-01", "inclusion", Demographic("age", ">=", 18)),
+    Criterion("INC-02", "inclusion", Observation(CREATININE, "between", 2, "mg/dL", 45, Window("within", 24, "months"))),
+    Criterion("INC-03", "inclusion", Unsupported("consent at the visit", "at_visit")),
+    Criterion("EXC-01", "exclusion", Presence("condition", URGENT, "present", Window("within", 12, "months"))),
+    Criterion("EXC-02", "exclusion", Presence("medication", PROMO, "present", Window("within", 2, "months"))),
+    Criterion("EXC-03", "exclusion", Composite("all_of", (Demographic("sex", "==", "Female"), Observation(A1C, ">", 40, "umol/L", None, Window("within", 6, "months"))))),
+    Criterion("EXC-04", "exclusion", Composite("not", (Composite("any_of", (Presence("medication", BRASS, "present", Window("within", 5, "years")), Demographic("age", "<", 65))),))),
+))
+
+
+def tables(spark, d):
+    return patients(spark, d), evidence(spark, d)
+
+
+def screened(spark, d, policy="coverage_gated", ev=None, settlements=None) -> DataFrame:
+    p, e = tables(spark, d)
+    return screening.screen(p, e if ev is None else ev(e), PROTOCOL, AS_OF, policy, settlements)
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of people, by rule: every seventh patient has one for the creatinine criterion."""
+    return patients(spark, d).filter("patient_id % 7 = 0").select(F.lit("NCT-A").alias("nct_id"), "patient_id", F.lit("INC-02").alias("criterion_id"), F.expr("if(patient_id % 2 = 0, 'MET', 'NOT_MET')").alias("verdict"))
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of an arm that screens with one policy against a key that screens with another."""
+    key = screened(spark, d, "closed_world").select("patient_id", F.col("decision").alias("expected"))
+    rows = [screened(spark, d, p).select("patient_id", F.lit(p).alias("arm"), "decision", "forced_decision", F.col("coverage").alias("criteria_coverage"), F.coalesce("blocked_by", F.lit("none")).alias("trap"), F.expr("if(patient_id % 3 = 0, 'constructed', 'recorded')").alias("provenance")) for p in ("coverage_gated", "open_world")]
+    return rows[0].union(rows[1]).join(key, "patient_id").withColumn("case_id", F.col("patient_id").cast("string"))
+
+
+def raters(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+def long_verdicts(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("patient_id", *more, F.explode("results").alias("r")).select("patient_id", *more, "r.criterion_id", "r.verdict", "r.blocking")
+
+
+def ids(column: str):
+    return F.array_join(column, ",").alias(column)
+
+
+def documents_lines(spark, d):
+    """Texts of documents as protocols: every text is one."""
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("nct_id"), "text")
+
+
+QUERIES = {
+    "screen_outcomes": lambda s, d: screened(s, d).groupBy("decision", "blocked_by").agg(F.count("*").alias("n"), F.round(F.avg("coverage"), 6).alias("mean_coverage")),
+    "screen_patients": lambda s, d: screened(s, d).select("patient_id", "decision", "forced_decision", "blocked_by", F.round("coverage", 6).alias("coverage"), ids("deciding_ids"), ids("unresolved_ids"), ids("deferred_ids")),
+    "criterion_verdicts": lambda s, d: long_verdicts(screened(s, d)),
+    "screen_open_world": lambda s, d: screened(s, d, "open_world").select("patient_id", "decision"),
+    "screen_closed_world": lambda s, d: screened(s, d, "closed_world").select("patient_id", "decision"),
+    "worklist": lambda s, d: screening.worklist(screened(s, d)).select("patient_id", "criterion_id"),
+    "blockers_top10": lambda s, d: screening.blockers(screened(s, d)),
+    "settlements_applied": lambda s, d: long_verdicts(screened(s, d, settlements=answers(s, d))).filter("criterion_id = 'INC-02' AND verdict IS NOT NULL").select("patient_id", "verdict"),
+    "settlements_refused": lambda s, d: screening.refused(screening.criterion_results(*tables(s, d), PROTOCOL, AS_OF), answers(s, d), "NCT-A"),
+    "latest_in_window": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("observation", "Creatinine", CREATININE.codes, Window("within", 24, "months"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", "l0.date", "l0.value", "l0.unit"),
+    "uncoded_text_match": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("medication", "brass", (), Window("before", 3, "years"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", "l0.date"),
+    "window_relations": lambda s, d: window_relations(evidence(s, d)),
+    "unit_convert": lambda s, d: evidence(s, d).filter("kind = 'observation'").select("seq", "code", *[F.round(units.convert(F.col("value"), F.col("unit"), u, ["2160-0"]), 6).alias(n) for u, n in (("mg/dL", "mg_dl"), ("µmol/L", "umol_l"), ("g/L", "g_l"), ("%", "percent"))]),
+    "age_years": lambda s, d: patients(s, d).select("patient_id", dates.age_years(F.col("birth_date"), F.lit(AS_OF)).alias("age")),
+    "metrics_summary": lambda s, d: metrics.summary(scores(s, d)).select("arm", "cases", "correct", "unsafe", *[F.round(c, 6).alias(c) for c in ("coverage", "selective_risk", "false_abstention", "coverage_at_zero_unsafe", "accuracy")]),
+    "metrics_slices": lambda s, d: metrics.slices(scores(s, d)),
+    "balanced_accuracy": lambda s, d: metrics.balanced_accuracy(scores(s, d)).select("arm", F.round("balanced_accuracy", 6).alias("balanced_accuracy")),
+    "risk_coverage_curve": lambda s, d: metrics.risk_coverage_curve(scores(s, d)).select("arm", "threshold", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"), "unsafe", "answered"),
+    "kappa": lambda s, d: metrics.kappa(raters(s, d), "quality", "toxic").select("n", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")]),
+    "clopper_pearson": lambda s, d: raters(s, d).groupBy("quality").agg(F.count_if(F.col("toxic") == 1).alias("k"), F.count("*").alias("n")).withColumn("i", stats.clopper_pearson(F.col("k"), F.col("n"))).select("quality", "k", "n", F.round("i.low", 6).alias("low"), F.round("i.high", 6).alias("high")),
+    "perturb_redact": lambda s, d: screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0")).groupBy("decision").agg(F.count("*").alias("n")),
+    "perturb_shift_value": lambda s, d: screened(s, d, ev=lambda e: edits.shift_value(e, "2160-0", 99.0)).groupBy("decision").agg(F.count("*").alias("n")),
+    "perturb_convert_units": lambda s, d: edits.convert_units(evidence(s, d), "2160-0", "mg/L", 10.0).filter("code = '2160-0'").groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")),
+    "perturb_remove_encounters": lambda s, d: edits.remove_encounters(evidence(s, d), date(1998, 1, 1)).filter("kind = 'encounter'").groupBy("patient_id").agg(F.count("*").alias("n"), F.max("date").alias("last")),
+    "verdict_diff": lambda s, d: screening.verdict_changes(screened(s, d), screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0"))),
+    "analyte_trend": lambda s, d: chart.analyte_trend(evidence(s, d)),
+    "latest_medication": lambda s, d: chart.latest_medication(evidence(s, d)),
+    "chart_counts": lambda s, d: chart.chart_counts(evidence(s, d)),
+    "segment_spans": lambda s, d: protocol_text.segment(documents_lines(s, d)),
+    "concept_keys": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(text.concept_key(F.concat(F.lit("  "), F.col("p_type"), F.lit(" ., "))).alias("key")).agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n")),
+    "number_tokens": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(text.numbers(F.col("text")), 1, 5), " ").alias("first")),
+    "cost_rollup": lambda s, d: metrics.cost_rollup(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("agent"), F.expr("if(event_id % 10 = 0, null, value)").alias("usd"))).select("agent", "calls", "priced", "unpriced", F.round("usd", 4).alias("usd")),
+    "tape_replay": lambda s, d: lookups.replay(*tape(s, d), strict=False).groupBy("agent").agg(F.count("*").alias("requests"), F.count("response").alias("hits")),
+    "concept_store_misses": lambda s, d: lookups.store_misses(concept_requests(s, d), concept_store(s, d)),
+    "adjudicated_labels": lambda s, d: lookups.adjudicate(*passes(s, d)).select("pair_id", "first", "second", "label", "open"),
+    "duplicate_ids": lambda s, d: lookups.duplicates(s.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber"),
+}
+
+
+def window_relations(rows: DataFrame) -> DataFrame:
+    when = F.col("date")
+    flags = []
+    for relation, amount, unit in (("within", 6, "months"), ("before", 6, "months"), ("after", 6, "months"), ("within", 2, "weeks"), ("ever", None, None)):
+        start = dates.window_start(AS_OF, amount, unit) if amount else None
+        flags.append(F.count_if(dates.in_window(when, relation, start, AS_OF)).alias(f"{relation}_{amount or 0}"))
+    return rows.groupBy("patient_id", "kind").agg(*flags)
+
+
+def tape(spark, d):
+    """Requests and recorded exchanges from conversations: an odd conversation was recorded."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("role").alias("agent"), F.coalesce("text", F.lit("")).alias("user"))
+    requests = c.select("agent", F.lit("m").alias("model"), F.lit("").alias("system"), "user")
+    return requests, lookups.recorded(c.filter("conv_id % 2 = 1").select("agent", F.lit("m").alias("model"), F.lit("").alias("system"), "user", F.upper("user").alias("response")))
+
+
+def concept_requests(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("text"))
+
+
+def concept_store(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 2 = 0 AND p_size > 45").select(F.lower("p_type").alias("text")).distinct()
+
+
+def passes(spark, d):
+    """Two annotator passes over the labels and decisions where they differ."""
+    x = raters(spark, d)
+    one = x.select(F.col("doc_id").alias("pair_id"), F.expr("if(quality = 1, 'yes', 'no')").alias("label"))
+    two = x.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("pair_id"), F.expr("if(toxic = 1, 'no', 'yes')").alias("label"))
+    settled = x.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("pair_id"), F.lit("yes").alias("label"))
+    return one, two, settled
+
+
+# --- the same in DuckDB -----------------------------------------------------------------------
+
+_BASE = f"WITH patients AS ({PATIENTS_DUCKDB}), evidence AS ({EVIDENCE_SQL})"
+
+
+def _latest(name: str, where: str, ev: str = "evidence") -> str:
+    return f"{name} AS (SELECT patient_id, value, unit, date, seq FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY date DESC NULLS LAST, seq) AS k FROM {ev} WHERE {where}) WHERE k = 1)"
+
+
+def _within(amount: int, unit: str) -> str:
+    return f"date >= DATE '{dates.window_start(AS_OF, amount, unit)}' AND date <= DATE '{AS_OF}'"
+
+
+def _screen(policy: str = "coverage_gated", ev: str = "evidence", tag: str = "") -> str:
+    """CTEs ending in verdicts{tag} (patient_id, ord, criterion_id, kind, verdict, blocking) and decided{tag}."""
+    covered = {"coverage_gated": "{0}.patient_id IS NOT NULL", "open_world": "false", "closed_world": "true"}[policy]
+    absent = lambda hit, visit: f"CASE WHEN {hit}.patient_id IS NOT NULL THEN true WHEN {covered.format(visit)} THEN false END"
+    age = f"CAST(date_diff('year', p.birth_date, DATE '{AS_OF}') - CASE WHEN p.birth_date + to_years(CAST(date_diff('year', p.birth_date, DATE '{AS_OF}') AS INTEGER)) > DATE '{AS_OF}' THEN 1 ELSE 0 END AS INTEGER)"
+    mg = "CASE cr.unit WHEN 'mg/dL' THEN cr.value WHEN 'umol/L' THEN cr.value * 1.0 * 113.12 / 1000.0 / 10.0 END"
+    a1c = "CASE a1.unit WHEN 'umol/L' THEN a1.value END"
+    visit = lambda name, amount, unit: f"{name}{tag} AS (SELECT DISTINCT patient_id FROM {ev} WHERE kind = 'encounter' AND {_within(amount, unit)})"
+    hit = lambda name, where: f"{name}{tag} AS (SELECT DISTINCT patient_id FROM {ev} WHERE {where})"
+    ctes = [
+        _latest(f"cr{tag}", f"kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}", ev),
+        _latest(f"a1{tag}", f"kind = 'observation' AND code = '4548-4' AND {_within(6, 'months')}", ev),
+        hit("urgent", f"kind = 'condition' AND code = '1-URGENT' AND {_within(12, 'months')}"),
+        hit("promo", f"kind = 'medication' AND code = 'PROMO' AND {_within(2, 'months')}"),
+        hit("brass", f"kind = 'medication' AND lower(display) LIKE '%brass%' AND {_within(5, 'years')}"),
+        visit("v12", 12, "months"), visit("v2", 2, "months"), visit("v5", 5, "years"),
+        f"""wide{tag} AS (SELECT p.patient_id, {age} >= 18 AS v0, ({mg}) BETWEEN 2 AND 45 AS v1, CAST(NULL AS BOOLEAN) AS v2,
+  {absent('u', 'v12')} AS v3, {absent('m', 'v2')} AS v4, (p.sex = 'female') AND ({a1c} > 40) AS v5,
+  NOT (({absent('b', 'v5')}) OR ({age} < 65)) AS v6
+ FROM patients p LEFT JOIN cr{tag} cr USING (patient_id) LEFT JOIN a1{tag} a1 USING (patient_id) LEFT JOIN urgent{tag} u USING (patient_id) LEFT JOIN promo{tag} m USING (patient_id)
+ LEFT JOIN brass{tag} b USING (patient_id) LEFT JOIN v12{tag} v12 USING (patient_id) LEFT JOIN v2{tag} v2 USING (patient_id) LEFT JOIN v5{tag} v5 USING (patient_id)
+ WHERE NOT coalesce(p.deceased <= DATE '{AS_OF}', false) AND NOT p.deceased_undated)""",
+        f"verdicts{tag} AS (" + " UNION ALL ".join(f"SELECT patient_id, {i} AS ord, '{c.id}' AS criterion_id, '{c.kind}' AS kind, v{i} AS verdict, {'false' if c.id == 'INC-03' else 'true'} AS blocking FROM wide{tag}" for i, c in enumerate(PROTOCOL.criteria)) + ")",
+        f"""rolled{tag} AS (SELECT patient_id,
+  coalesce(string_agg(criterion_id, ',' ORDER BY kind DESC, ord) FILTER ((kind = 'inclusion' AND NOT verdict) OR (kind = 'exclusion' AND verdict)), '') AS deciding,
+  coalesce(string_agg(criterion_id, ',' ORDER BY ord) FILTER (verdict IS NULL AND blocking), '') AS unresolved,
+  coalesce(string_agg(criterion_id, ',' ORDER BY ord) FILTER (verdict IS NULL AND NOT blocking), '') AS deferred,
+  count(*) FILTER (blocking AND verdict IS NOT NULL) / count(*) FILTER (blocking) AS coverage FROM verdicts{tag} GROUP BY patient_id)""",
+        f"""decided{tag} AS (SELECT patient_id, CASE WHEN deciding <> '' THEN 'ineligible' WHEN unresolved <> '' THEN 'needs_review' ELSE 'eligible' END AS decision,
+  CASE WHEN deciding <> '' THEN 'ineligible' ELSE 'eligible' END AS forced_decision, CAST(NULL AS VARCHAR) AS blocked_by, coverage,
+  deciding AS deciding_ids, CASE WHEN deciding <> '' THEN '' ELSE unresolved END AS unresolved_ids, CASE WHEN deciding <> '' THEN '' ELSE deferred END AS deferred_ids FROM rolled{tag}
+ UNION ALL SELECT patient_id, 'ineligible', 'eligible', 'deceased', 1.0, '', '', '' FROM patients WHERE coalesce(deceased <= DATE '{AS_OF}', false) OR deceased_undated)""",
+    ]
+    return ", ".join(ctes)
+
+
+def _q(select: str, *ctes: str) -> str:
+    return ", ".join([_BASE, *ctes]) + "\n" + select
+
+
+_REDACTED = "redacted AS (SELECT * FROM evidence WHERE NOT (kind = 'observation' AND code = '2160-0'))"
+_SHIFTED = "shifted AS (SELECT patient_id, kind, system, code, display, CASE WHEN kind = 'observation' AND code = '2160-0' AND k = 1 THEN 99.0 ELSE value END AS value, unit, date, seq FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, kind = 'observation' AND code = '2160-0' ORDER BY date DESC NULLS LAST, seq) AS k FROM evidence))"
+_SCORES = ", ".join([
+    _screen("closed_world", tag="_c"), _screen("coverage_gated", tag="_g"), _screen("open_world", tag="_o"),
+    """scores AS (SELECT arm, a.decision, a.forced_decision, a.coverage AS criteria_coverage, coalesce(a.blocked_by, 'none') AS trap, CASE WHEN a.patient_id % 3 = 0 THEN 'constructed' ELSE 'recorded' END AS provenance, k.decision AS expected
+ FROM (SELECT 'coverage_gated' AS arm, * FROM decided_g UNION ALL SELECT 'open_world', * FROM decided_o) a JOIN decided_c k USING (patient_id))""",
+])
+_ANSWERS = "answers AS (SELECT patient_id, patient_id % 2 = 0 AS answer FROM patients WHERE patient_id % 7 = 0)"
+_UNIT = lambda to: f"round(CASE WHEN value IS NULL THEN NULL ELSE {to} END, 6)"
+
+SQL: dict[str, str] = {
+    "screen_outcomes": _q("SELECT decision, blocked_by, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM decided GROUP BY ALL", _screen()),
+    "screen_patients": _q("SELECT patient_id, decision, forced_decision, blocked_by, round(coverage, 6) AS coverage, deciding_ids, unresolved_ids, deferred_ids FROM decided", _screen()),
+    "criterion_verdicts": _q("SELECT patient_id, criterion_id, verdict, blocking FROM verdicts", _screen()),
+    "screen_open_world": _q("SELECT patient_id, decision FROM decided", _screen("open_world")),
+    "screen_closed_world": _q("SELECT patient_id, decision FROM decided", _screen("closed_world")),
+    "worklist": _q("SELECT patient_id, criterion_id FROM verdicts JOIN decided USING (patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND verdicts.blocking", _screen()),
+    "blockers_top10": _q("SELECT criterion_id, count(*) AS n, (SELECT count(*) FROM decided) AS screenings FROM verdicts JOIN decided USING (patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND verdicts.blocking GROUP BY criterion_id ORDER BY n DESC, min(ord) LIMIT 10", _screen()),
+    "settlements_applied": _q("SELECT patient_id, coalesce(verdict, answer) AS verdict FROM verdicts LEFT JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND coalesce(verdict, answer) IS NOT NULL", _screen(), _ANSWERS),
+    "settlements_refused": _q("SELECT patient_id, criterion_id FROM verdicts JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND verdict IS NOT NULL", _screen(), _ANSWERS),
+    "latest_in_window": _q("SELECT patient_id, seq, date, value, unit FROM l", _latest("l", f"kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}")),
+    "uncoded_text_match": _q("SELECT patient_id, seq, date FROM l", _latest("l", f"kind = 'medication' AND contains(lower(display), 'brass') AND date < DATE '{dates.window_start(AS_OF, 3, 'years')}'")),
+    "window_relations": _q(f"""SELECT patient_id, kind,
+  count(*) FILTER ({_within(6, 'months')}) AS within_6, count(*) FILTER (date < DATE '{dates.window_start(AS_OF, 6, 'months')}') AS before_6,
+  count(*) FILTER (date > DATE '{dates.window_start(AS_OF, 6, 'months')}' AND date <= DATE '{AS_OF}') AS after_6, count(*) FILTER ({_within(2, 'weeks')}) AS within_2,
+  count(*) FILTER (date IS NULL OR date <= DATE '{AS_OF}') AS ever_0 FROM evidence GROUP BY ALL"""),
+    "unit_convert": _q(f"""SELECT seq, code, {_UNIT("CASE unit WHEN 'mg/dL' THEN value ELSE value * 1.0 * 113.12 / 1000.0 / 10.0 END")} AS mg_dl,
+  {_UNIT("CASE unit WHEN 'mg/dL' THEN value * 10.0 / 113.12 * 1000.0 / 1.0 ELSE value END")} AS umol_l,
+  {_UNIT("CASE unit WHEN 'mg/dL' THEN value * 10.0 / 1000.0 ELSE value * 1.0 * 113.12 / 1000.0 / 1000.0 END")} AS g_l, CAST(NULL AS DOUBLE) AS percent FROM evidence WHERE kind = 'observation'"""),
+    "age_years": _q(f"SELECT patient_id, CAST(date_diff('year', birth_date, DATE '{AS_OF}') - CASE WHEN birth_date + to_years(CAST(date_diff('year', birth_date, DATE '{AS_OF}') AS INTEGER)) > DATE '{AS_OF}' THEN 1 ELSE 0 END AS INTEGER) AS age FROM patients"),
+    "metrics_summary": _q("""SELECT arm, count(*) AS cases, count(*) FILTER (decision = expected) AS correct, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe,
+  round(avg((decision <> 'needs_review')::INT), 6) AS coverage, round(coalesce(avg((decision <> expected)::INT) FILTER (decision <> 'needs_review'), 0), 6) AS selective_risk,
+  round(coalesce(avg((decision = 'needs_review')::INT) FILTER (expected <> 'needs_review'), 0), 6) AS false_abstention,
+  CASE WHEN count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') > 0 THEN 0.0 ELSE round(avg((decision <> 'needs_review')::INT), 6) END AS coverage_at_zero_unsafe,
+  round(avg((decision = expected)::INT), 6) AS accuracy FROM scores GROUP BY arm""", _SCORES),
+    "metrics_slices": _q("SELECT arm, field, name, count(*) AS cases, count(*) FILTER (decision = expected) AS correct, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe, count(*) FILTER (decision = 'needs_review') AS abstained FROM (SELECT arm, decision, expected, 'trap' AS field, trap AS name FROM scores UNION ALL SELECT arm, decision, expected, 'provenance', provenance FROM scores UNION ALL SELECT arm, decision, expected, 'expected', expected FROM scores) GROUP BY ALL", _SCORES),
+    "balanced_accuracy": _q("SELECT arm, round(avg(a), 6) AS balanced_accuracy FROM (SELECT arm, expected, avg((decision = expected)::INT) AS a FROM scores GROUP BY ALL) GROUP BY arm", _SCORES),
+    "risk_coverage_curve": _q("""SELECT t.arm, threshold, round(count(*) / (SELECT count(*) FROM scores c WHERE c.arm = t.arm), 6) AS coverage, round(avg((forced_decision <> expected)::INT), 6) AS risk,
+  count(*) FILTER (forced_decision = 'eligible' AND expected <> 'eligible') AS unsafe, count(*) AS answered
+ FROM (SELECT arm, round(criteria_coverage, 6) AS threshold FROM scores UNION SELECT arm, 0.0 FROM scores) t JOIN scores s ON s.arm = t.arm AND s.criteria_coverage >= threshold GROUP BY ALL""", _SCORES),
+    "kappa": """WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS agree FROM c),
+ e AS (SELECT sum(x.n * y.n) AS chance FROM (SELECT a, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b)
+SELECT n, round(agree / n, 9) AS observed, round(chance / (n * n), 9) AS expected, round((agree / n - chance / (n * n)) / (1 - chance / (n * n)), 9) AS kappa FROM t, e""",
+    "perturb_redact": _q("SELECT decision, count(*) AS n FROM decided GROUP BY decision", _REDACTED, _screen(ev="redacted")),
+    "perturb_shift_value": _q("SELECT decision, count(*) AS n FROM decided GROUP BY decision", _SHIFTED, _screen(ev="shifted")),
+    "perturb_convert_units": _q("SELECT CASE WHEN value IS NULL THEN unit ELSE 'mg/L' END AS unit, count(*) AS n, round(sum(value * 10.0), 3) AS total FROM evidence WHERE kind = 'observation' AND code = '2160-0' GROUP BY 1"),
+    "perturb_remove_encounters": _q("SELECT patient_id, count(*) AS n, max(date) AS last FROM evidence WHERE kind = 'encounter' AND date <= DATE '1998-01-01' GROUP BY patient_id"),
+    "verdict_diff": _q("SELECT a.patient_id, a.criterion_id, a.verdict AS before, b.verdict AS after FROM verdicts a JOIN verdicts_r b ON a.patient_id = b.patient_id AND a.criterion_id = b.criterion_id WHERE a.verdict IS DISTINCT FROM b.verdict", _REDACTED, _screen(), _screen(ev="redacted", tag="_r")),
+    "analyte_trend": _q("""SELECT patient_id, code, n, first_date, value AS latest, unit, date AS latest_date, previous,
+  CASE WHEN previous IS NULL THEN NULL WHEN previous_unit <> unit THEN 'unit changed' WHEN value > previous THEN 'rising' WHEN value < previous THEN 'falling' ELSE 'unchanged' END AS trend
+ FROM (SELECT *, lead(value) OVER w AS previous, lead(unit) OVER w AS previous_unit, row_number() OVER w AS k, count(*) OVER (PARTITION BY patient_id, code) AS n, min(date) OVER (PARTITION BY patient_id, code) AS first_date
+  FROM evidence WHERE kind = 'observation' AND value IS NOT NULL WINDOW w AS (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq)) WHERE k = 1"""),
+    "latest_medication": _q("SELECT patient_id, code AS drug, n AS orders, date AS latest_date, display FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq) AS k, count(*) OVER (PARTITION BY patient_id, code) AS n FROM evidence WHERE kind = 'medication') WHERE k = 1"),
+    "chart_counts": _q("SELECT patient_id, kind, count(*) AS n, min(date) AS first_date, max(date) AS last_date, CAST(year(max(date)) - year(min(date)) AS INTEGER) AS span_years FROM evidence GROUP BY ALL"),
+    "concept_keys": "SELECT lower(p_type) AS key, min(p_partkey) AS first_part, count(*) AS n FROM part GROUP BY 1",
+    "number_tokens": r"SELECT doc_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '\d+(?:\.\d+)?')[1:5], ' ') AS first FROM documents",
+    "cost_rollup": "SELECT event_type AS agent, count(*) AS calls, count(*) FILTER (event_id % 10 <> 0) AS priced, count(*) FILTER (event_id % 10 = 0) AS unpriced, round(coalesce(sum(CASE WHEN event_id % 10 <> 0 THEN value END), 0), 4) AS usd FROM events GROUP BY ROLLUP (event_type)",
+    "tape_replay": "WITH c AS (SELECT conv_id, role AS agent, coalesce(text, '') AS u FROM conversations), r AS (SELECT DISTINCT agent, u FROM c WHERE conv_id % 2 = 1) SELECT c.agent, count(*) AS requests, count(r.u) AS hits FROM c LEFT JOIN r ON c.agent = r.agent AND c.u = r.u GROUP BY c.agent",
+    "concept_store_misses": "SELECT DISTINCT lower(p_type) AS key FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_partkey % 2 = 0 AND p_size > 45)",
+    "adjudicated_labels": """WITH a AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l FROM labels), b AS (SELECT doc_id AS pair_id, CASE WHEN toxic = 1 THEN 'no' ELSE 'yes' END AS l FROM labels WHERE doc_id % 11 <> 0)
+SELECT pair_id, a.l AS first, b.l AS second, CASE WHEN a.l = b.l THEN a.l WHEN b.l IS NOT NULL AND pair_id % 2 = 0 THEN 'yes' END AS label, (a.l = b.l OR (b.l IS NOT NULL AND pair_id % 2 = 0)) IS NOT TRUE AS open FROM a LEFT JOIN b USING (pair_id)""",
+    "duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+}
 FLAGSHIP = "screen_outcomes"

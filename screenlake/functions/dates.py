@@ -40,4 +40,4 @@ def written_date(text: Column) -> Column:
     """The calendar day of an ISO date or date-time as written: the offset is dropped, partial dates are null."""
     x = F.trim(text)
     shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|z|[+-]\d{2}(:?\d{2})?)?)?$"
-    return F.when(x.rlike(shape), F.try_to_date(F.substring(x, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.when(x.rlike(shape), F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd"))

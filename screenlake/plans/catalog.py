@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from screenlake.functions import dates, stats, text, units
 from screenlake.operators import chart, edits, lookups, metrics, protocol_text, screening
 from screenlake.plans.criteria import Composite, Concept, Criterion, Demographic, Observation, Presence, Protocol, Unsupported, Window
+from screenlake.sources import fhir
 from screenlake.sources.testdata import EVIDENCE_SQL, PATIENTS_DUCKDB, evidence, patients
 
 AS_OF = date(1998, 6, 1)
@@ -17,7 +18,7 @@ CREATININE = Concept("Creatinine", (("LOINC", "2160-0"),))
 A1C = Concept("Hemoglobin A1c", (("LOINC", "4548-4"),))
 URGENT = Concept("urgent", (("SNOMED", "1-URGENT"),))
 PROMO = Concept("promo", (("RxNorm", "PROMO"),))
-BRASS = Concept("brass")
+ECON = Concept("econ")
 
 PROTOCOL = Protocol("NCT-A", (
     Criterion("INC-01", "inclusion", Demographic("age", ">=", 18)),
@@ -26,7 +27,7 @@ PROTOCOL = Protocol("NCT-A", (
     Criterion("EXC-01", "exclusion", Presence("condition", URGENT, "present", Window("within", 12, "months"))),
     Criterion("EXC-02", "exclusion", Presence("medication", PROMO, "present", Window("within", 2, "months"))),
     Criterion("EXC-03", "exclusion", Composite("all_of", (Demographic("sex", "==", "Female"), Observation(A1C, ">", 40, "umol/L", None, Window("within", 6, "months"))))),
-    Criterion("EXC-04", "exclusion", Composite("not", (Composite("any_of", (Presence("medication", BRASS, "present", Window("within", 5, "years")), Demographic("age", "<", 65))),))),
+    Criterion("EXC-04", "exclusion", Composite("not", (Composite("any_of", (Presence("medication", ECON, "present", Window("within", 5, "years")), Demographic("age", "<", 65))),))),
 ))
 
 
@@ -55,8 +56,17 @@ def raters(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/labels.parquet")
 
 
-def long_verdicts(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("patient_id", *more, F.explode("results").alias("r")).select("patient_id", *more, "r.criterion_id", "r.verdict", "r.blocking")
+def word(verdict):
+    """A verdict as the word that reports use."""
+    return F.when(verdict, "met").when(~verdict, "not_met").otherwise("unknown")
+
+
+def long_verdicts(df: DataFrame) -> DataFrame:
+    return df.select("patient_id", F.explode("results").alias("r")).select("patient_id", "r.criterion_id", word(F.col("r.verdict")).alias("verdict"), "r.blocking")
+
+
+def day(column: str):
+    return F.col(column).cast("string")
 
 
 def ids(column: str):
@@ -68,6 +78,35 @@ def documents_lines(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("nct_id"), "text")
 
 
+def documents_quotes(spark, d):
+    """A quote for each document: its first line, and for every fifth one a text that it does not have."""
+    return documents_lines(spark, d).select("nct_id", F.lit("INC-01").alias("criterion_id"), F.expr("if(nct_id % 5 = 0, 'no such sentence here', upper(split_part(text, chr(10), 1)))").alias("quote"))
+
+
+def notes(spark, d):
+    """First turns of conversations as notes of the patient with that number, and one record that the chart has."""
+    told = spark.read.parquet(f"{d}/conversations.parquet").filter("turn = 0").groupBy("conv_id").agg(F.min("text").alias("display"))
+    own = told.select(F.col("conv_id").alias("patient_id"), F.lit("note").alias("kind"), "display", F.concat(F.lit("note-"), "conv_id").alias("seq"))
+    return own.union(evidence(spark, d).filter(F.col("seq") == FIRST_ORDER).limit(1).select("patient_id", "kind", "display", "seq"))
+
+
+def bundles(spark, d):
+    """A FHIR bundle for each customer: a patient, and an observation with one component for each of their orders."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    code = lambda system, value, name: F.struct(F.array(F.struct(F.lit(system).alias("system"), F.lit(value).alias("code"), F.lit(name).alias("display"))).alias("coding"))
+    pressure = F.struct(code("http://loinc.org/", "8480-6", "Systolic").alias("code"), F.struct(F.col("o_totalprice").cast("string").alias("value"), F.lit("mm[Hg]").alias("code")).alias("valueQuantity"))
+    resource = F.struct(
+        F.lit("Observation").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), code("http://loinc.org", "85354-9", "Panel").alias("code"),
+        F.concat("day", F.lit("T23:30:00-05:00")).alias("effectiveDateTime"), F.array(pressure).alias("component"),
+    )
+    seen = orders.select("o_custkey", "o_orderkey", F.to_json(F.struct(resource.alias("resource"))).alias("e")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "e"))), lambda x: x["e"]), ",").alias("rest"))
+    people = patients(spark, d).select("patient_id", F.to_json(F.struct(F.struct(F.lit("Patient").alias("resourceType"), F.col("patient_id").cast("string").alias("id"), F.col("birth_date").cast("string").alias("birthDate"), F.col("sex").alias("gender"), F.col("deceased").cast("string").alias("deceasedDateTime"), F.col("deceased_undated").alias("deceasedBoolean")).alias("resource"))).alias("p"))
+    return people.join(seen, people.patient_id == seen.o_custkey, "left").select(F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.concat_ws(",", "p", "rest"), F.lit("]}")).alias("bundle"))
+
+
+#: The record of the first order.
+FIRST_ORDER = "000000000001"
+
 QUERIES = {
     "screen_outcomes": lambda s, d: screened(s, d).groupBy("decision", "blocked_by").agg(F.count("*").alias("n"), F.round(F.avg("coverage"), 6).alias("mean_coverage")),
     "screen_patients": lambda s, d: screened(s, d).select("patient_id", "decision", "forced_decision", "blocked_by", F.round("coverage", 6).alias("coverage"), ids("deciding_ids"), ids("unresolved_ids"), ids("deferred_ids")),
@@ -76,13 +115,13 @@ QUERIES = {
     "screen_closed_world": lambda s, d: screened(s, d, "closed_world").select("patient_id", "decision"),
     "worklist": lambda s, d: screening.worklist(screened(s, d)).select("patient_id", "criterion_id"),
     "blockers_top10": lambda s, d: screening.blockers(screened(s, d)),
-    "settlements_applied": lambda s, d: long_verdicts(screened(s, d, settlements=answers(s, d))).filter("criterion_id = 'INC-02' AND verdict IS NOT NULL").select("patient_id", "verdict"),
+    "settlements_applied": lambda s, d: long_verdicts(screened(s, d, settlements=answers(s, d))).filter("criterion_id = 'INC-02' AND verdict <> 'unknown'").select("patient_id", "verdict"),
     "settlements_refused": lambda s, d: screening.refused(screening.criterion_results(*tables(s, d), PROTOCOL, AS_OF), answers(s, d), "NCT-A"),
-    "latest_in_window": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("observation", "Creatinine", CREATININE.codes, Window("within", 24, "months"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", "l0.date", "l0.value", "l0.unit"),
-    "uncoded_text_match": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("medication", "brass", (), Window("before", 3, "years"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", "l0.date"),
+    "latest_in_window": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("observation", "Creatinine", CREATININE.codes, Window("within", 24, "months"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", day("l0.date").alias("date"), "l0.value", "l0.unit"),
+    "uncoded_text_match": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("medication", "econ", (), Window("before", 3, "years"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", day("l0.date").alias("date")),
     "window_relations": lambda s, d: window_relations(evidence(s, d)),
     "unit_convert": lambda s, d: evidence(s, d).filter("kind = 'observation'").select("seq", "code", *[F.round(units.convert(F.col("value"), F.col("unit"), u, ["2160-0"]), 6).alias(n) for u, n in (("mg/dL", "mg_dl"), ("µmol/L", "umol_l"), ("g/L", "g_l"), ("%", "percent"))]),
-    "age_years": lambda s, d: patients(s, d).select("patient_id", dates.age_years(F.col("birth_date"), F.lit(AS_OF)).alias("age")),
+    "age_years": lambda s, d: patients(s, d).select("patient_id", dates.age_years(F.col("birth_date"), F.lit(AS_OF)).cast("double").alias("age")),
     "metrics_summary": lambda s, d: metrics.summary(scores(s, d)).select("arm", "cases", "correct", "unsafe", *[F.round(c, 6).alias(c) for c in ("coverage", "selective_risk", "false_abstention", "coverage_at_zero_unsafe", "accuracy")]),
     "metrics_slices": lambda s, d: metrics.slices(scores(s, d)),
     "balanced_accuracy": lambda s, d: metrics.balanced_accuracy(scores(s, d)).select("arm", F.round("balanced_accuracy", 6).alias("balanced_accuracy")),
@@ -92,11 +131,11 @@ QUERIES = {
     "perturb_redact": lambda s, d: screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0")).groupBy("decision").agg(F.count("*").alias("n")),
     "perturb_shift_value": lambda s, d: screened(s, d, ev=lambda e: edits.shift_value(e, "2160-0", 99.0)).groupBy("decision").agg(F.count("*").alias("n")),
     "perturb_convert_units": lambda s, d: edits.convert_units(evidence(s, d), "2160-0", "mg/L", 10.0).filter("code = '2160-0'").groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")),
-    "perturb_remove_encounters": lambda s, d: edits.remove_encounters(evidence(s, d), date(1998, 1, 1)).filter("kind = 'encounter'").groupBy("patient_id").agg(F.count("*").alias("n"), F.max("date").alias("last")),
-    "verdict_diff": lambda s, d: screening.verdict_changes(screened(s, d), screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0"))),
-    "analyte_trend": lambda s, d: chart.analyte_trend(evidence(s, d)),
-    "latest_medication": lambda s, d: chart.latest_medication(evidence(s, d)),
-    "chart_counts": lambda s, d: chart.chart_counts(evidence(s, d)),
+    "perturb_remove_encounters": lambda s, d: edits.remove_encounters(evidence(s, d), date(1998, 1, 1)).filter("kind = 'encounter'").groupBy("patient_id").agg(F.count("*").alias("n"), F.max(day("date")).alias("last")),
+    "verdict_diff": lambda s, d: screening.verdict_changes(screened(s, d), screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0"))).select("patient_id", "criterion_id", word(F.col("before")).alias("before"), word(F.col("after")).alias("after")),
+    "analyte_trend": lambda s, d: chart.analyte_trend(evidence(s, d)).withColumns({c: day(c) for c in ("first_date", "latest_date")}),
+    "latest_medication": lambda s, d: chart.latest_medication(evidence(s, d)).withColumn("latest_date", day("latest_date")),
+    "chart_counts": lambda s, d: chart.chart_counts(evidence(s, d)).withColumns({c: day(c) for c in ("first_date", "last_date")}),
     "segment_spans": lambda s, d: protocol_text.segment(documents_lines(s, d)),
     "concept_keys": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(text.concept_key(F.concat(F.lit("  "), F.col("p_type"), F.lit(" ., "))).alias("key")).agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n")),
     "number_tokens": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(text.numbers(F.col("text")), 1, 5), " ").alias("first")),
@@ -104,6 +143,14 @@ QUERIES = {
     "tape_replay": lambda s, d: lookups.replay(*tape(s, d), strict=False).groupBy("agent").agg(F.count("*").alias("requests"), F.count("response").alias("hits")),
     "concept_store_misses": lambda s, d: lookups.store_misses(concept_requests(s, d), concept_store(s, d)),
     "adjudicated_labels": lambda s, d: lookups.adjudicate(*passes(s, d)).select("pair_id", "first", "second", "label", "open"),
+    "span_claims": lambda s, d: protocol_text.claims(protocol_text.segment(documents_lines(s, d)), documents_quotes(s, d)).groupBy("nct_id", "claim").agg(F.count("*").alias("n")),
+    "quote_fidelity": lambda s, d: protocol_text.unfaithful_quotes(documents_quotes(s, d), documents_lines(s, d)).select("nct_id", "criterion_id"),
+    "perturb_shift_date": lambda s, d: screened(s, d, ev=lambda e: edits.shift_date(e, FIRST_ORDER, date(1998, 5, 31))).groupBy("decision").agg(F.count("*").alias("n")),
+    "perturb_add_condition": lambda s, d: edits.add_condition(evidence(s, d), 1, "SNOMED", "22298006", "Myocardial infarction", AS_OF).filter("patient_id = 1 AND kind = 'condition'").groupBy("code", "display").agg(F.count("*").alias("n"), F.max(day("date")).alias("last")),
+    "perturb_record_death": lambda s, d: screening.screen(edits.record_death(patients(s, d), 1, AS_OF), evidence(s, d), PROTOCOL, AS_OF).groupBy("decision", "blocked_by").agg(F.count("*").alias("n")),
+    "fhir_evidence": lambda s, d: fhir.evidence(bundles(s, d)).select("patient_id", "kind", "system", "code", "display", "value", "unit", day("date").alias("date"), "seq"),
+    "fhir_patients": lambda s, d: fhir.patients(bundles(s, d)).select("patient_id", day("birth_date").alias("birth_date"), "sex", day("deceased").alias("deceased"), "deceased_undated"),
+    "notes_merge": lambda s, d: lookups.merge_notes(evidence(s, d), notes(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
     "duplicate_ids": lambda s, d: lookups.duplicates(s.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber"),
 }
 
@@ -125,11 +172,11 @@ def tape(spark, d):
 
 
 def concept_requests(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("text"))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.concat("p_name", F.lit(" .")).alias("text"))
 
 
 def concept_store(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 2 = 0 AND p_size > 45").select(F.lower("p_type").alias("text")).distinct()
+    return spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 2 = 0 AND p_size > 45").select(F.upper("p_name").alias("text")).distinct()
 
 
 def passes(spark, d):
@@ -168,13 +215,13 @@ def _screen(policy: str = "coverage_gated", ev: str = "evidence", tag: str = "")
         _latest(f"a1{tag}", f"kind = 'observation' AND code = '4548-4' AND {_within(6, 'months')}", ev),
         hit("urgent", f"kind = 'condition' AND code = '1-URGENT' AND {_within(12, 'months')}"),
         hit("promo", f"kind = 'medication' AND code = 'PROMO' AND {_within(2, 'months')}"),
-        hit("brass", f"kind = 'medication' AND lower(display) LIKE '%brass%' AND {_within(5, 'years')}"),
+        hit("econ", f"kind = 'medication' AND lower(display) LIKE '%econ%' AND {_within(5, 'years')}"),
         visit("v12", 12, "months"), visit("v2", 2, "months"), visit("v5", 5, "years"),
         f"""wide{tag} AS (SELECT p.patient_id, {age} >= 18 AS v0, ({mg}) BETWEEN 2 AND 45 AS v1, CAST(NULL AS BOOLEAN) AS v2,
   {absent('u', 'v12')} AS v3, {absent('m', 'v2')} AS v4, (p.sex = 'female') AND ({a1c} > 40) AS v5,
   NOT (({absent('b', 'v5')}) OR ({age} < 65)) AS v6
  FROM patients p LEFT JOIN cr{tag} cr USING (patient_id) LEFT JOIN a1{tag} a1 USING (patient_id) LEFT JOIN urgent{tag} u USING (patient_id) LEFT JOIN promo{tag} m USING (patient_id)
- LEFT JOIN brass{tag} b USING (patient_id) LEFT JOIN v12{tag} v12 USING (patient_id) LEFT JOIN v2{tag} v2 USING (patient_id) LEFT JOIN v5{tag} v5 USING (patient_id)
+ LEFT JOIN econ{tag} b USING (patient_id) LEFT JOIN v12{tag} v12 USING (patient_id) LEFT JOIN v2{tag} v2 USING (patient_id) LEFT JOIN v5{tag} v5 USING (patient_id)
  WHERE NOT coalesce(p.deceased <= DATE '{AS_OF}', false) AND NOT p.deceased_undated)""",
         f"verdicts{tag} AS (" + " UNION ALL ".join(f"SELECT patient_id, {i} AS ord, '{c.id}' AS criterion_id, '{c.kind}' AS kind, v{i} AS verdict, {'false' if c.id == 'INC-03' else 'true'} AS blocking FROM wide{tag}" for i, c in enumerate(PROTOCOL.criteria)) + ")",
         f"""rolled{tag} AS (SELECT patient_id,
@@ -190,11 +237,16 @@ def _screen(policy: str = "coverage_gated", ev: str = "evidence", tag: str = "")
     return ", ".join(ctes)
 
 
+def _word(verdict: str) -> str:
+    return f"CASE WHEN {verdict} THEN 'met' WHEN NOT {verdict} THEN 'not_met' ELSE 'unknown' END"
+
+
 def _q(select: str, *ctes: str) -> str:
     return ", ".join([_BASE, *ctes]) + "\n" + select
 
 
 _REDACTED = "redacted AS (SELECT * FROM evidence WHERE NOT (kind = 'observation' AND code = '2160-0'))"
+_MOVED = f"moved AS (SELECT * REPLACE (CASE WHEN seq = '{FIRST_ORDER}' THEN DATE '1998-05-31' ELSE date END AS date) FROM evidence)"
 _SHIFTED = "shifted AS (SELECT patient_id, kind, system, code, display, CASE WHEN kind = 'observation' AND code = '2160-0' AND k = 1 THEN 99.0 ELSE value END AS value, unit, date, seq FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, kind = 'observation' AND code = '2160-0' ORDER BY date DESC NULLS LAST, seq) AS k FROM evidence))"
 _SCORES = ", ".join([
     _screen("closed_world", tag="_c"), _screen("coverage_gated", tag="_g"), _screen("open_world", tag="_o"),
@@ -207,15 +259,15 @@ _UNIT = lambda to: f"round(CASE WHEN value IS NULL THEN NULL ELSE {to} END, 6)"
 SQL: dict[str, str] = {
     "screen_outcomes": _q("SELECT decision, blocked_by, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM decided GROUP BY ALL", _screen()),
     "screen_patients": _q("SELECT patient_id, decision, forced_decision, blocked_by, round(coverage, 6) AS coverage, deciding_ids, unresolved_ids, deferred_ids FROM decided", _screen()),
-    "criterion_verdicts": _q("SELECT patient_id, criterion_id, verdict, blocking FROM verdicts", _screen()),
+    "criterion_verdicts": _q(f"SELECT patient_id, criterion_id, {_word('verdict')} AS verdict, blocking FROM verdicts", _screen()),
     "screen_open_world": _q("SELECT patient_id, decision FROM decided", _screen("open_world")),
     "screen_closed_world": _q("SELECT patient_id, decision FROM decided", _screen("closed_world")),
     "worklist": _q("SELECT patient_id, criterion_id FROM verdicts JOIN decided USING (patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND verdicts.blocking", _screen()),
     "blockers_top10": _q("SELECT criterion_id, count(*) AS n, (SELECT count(*) FROM decided) AS screenings FROM verdicts JOIN decided USING (patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND verdicts.blocking GROUP BY criterion_id ORDER BY n DESC, min(ord) LIMIT 10", _screen()),
-    "settlements_applied": _q("SELECT patient_id, coalesce(verdict, answer) AS verdict FROM verdicts LEFT JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND coalesce(verdict, answer) IS NOT NULL", _screen(), _ANSWERS),
+    "settlements_applied": _q(f"SELECT patient_id, {_word('coalesce(verdict, answer)')} AS verdict FROM verdicts LEFT JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND coalesce(verdict, answer) IS NOT NULL", _screen(), _ANSWERS),
     "settlements_refused": _q("SELECT patient_id, criterion_id FROM verdicts JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND verdict IS NOT NULL", _screen(), _ANSWERS),
-    "latest_in_window": _q("SELECT patient_id, seq, date, value, unit FROM l", _latest("l", f"kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}")),
-    "uncoded_text_match": _q("SELECT patient_id, seq, date FROM l", _latest("l", f"kind = 'medication' AND contains(lower(display), 'brass') AND date < DATE '{dates.window_start(AS_OF, 3, 'years')}'")),
+    "latest_in_window": _q("SELECT patient_id, seq, CAST(date AS VARCHAR) AS date, value, unit FROM l", _latest("l", f"kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}")),
+    "uncoded_text_match": _q("SELECT patient_id, seq, CAST(date AS VARCHAR) AS date FROM l", _latest("l", f"kind = 'medication' AND contains(lower(display), 'econ') AND date < DATE '{dates.window_start(AS_OF, 3, 'years')}'")),
     "window_relations": _q(f"""SELECT patient_id, kind,
   count(*) FILTER ({_within(6, 'months')}) AS within_6, count(*) FILTER (date < DATE '{dates.window_start(AS_OF, 6, 'months')}') AS before_6,
   count(*) FILTER (date > DATE '{dates.window_start(AS_OF, 6, 'months')}' AND date <= DATE '{AS_OF}') AS after_6, count(*) FILTER ({_within(2, 'weeks')}) AS within_2,
@@ -223,7 +275,7 @@ SQL: dict[str, str] = {
     "unit_convert": _q(f"""SELECT seq, code, {_UNIT("CASE unit WHEN 'mg/dL' THEN value ELSE value * 1.0 * 113.12 / 1000.0 / 10.0 END")} AS mg_dl,
   {_UNIT("CASE unit WHEN 'mg/dL' THEN value * 10.0 / 113.12 * 1000.0 / 1.0 ELSE value END")} AS umol_l,
   {_UNIT("CASE unit WHEN 'mg/dL' THEN value * 10.0 / 1000.0 ELSE value * 1.0 * 113.12 / 1000.0 / 1000.0 END")} AS g_l, CAST(NULL AS DOUBLE) AS percent FROM evidence WHERE kind = 'observation'"""),
-    "age_years": _q(f"SELECT patient_id, CAST(date_diff('year', birth_date, DATE '{AS_OF}') - CASE WHEN birth_date + to_years(CAST(date_diff('year', birth_date, DATE '{AS_OF}') AS INTEGER)) > DATE '{AS_OF}' THEN 1 ELSE 0 END AS INTEGER) AS age FROM patients"),
+    "age_years": _q(f"SELECT patient_id, CAST(date_diff('year', birth_date, DATE '{AS_OF}') - CASE WHEN birth_date + to_years(CAST(date_diff('year', birth_date, DATE '{AS_OF}') AS INTEGER)) > DATE '{AS_OF}' THEN 1 ELSE 0 END AS DOUBLE) AS age FROM patients"),
     "metrics_summary": _q("""SELECT arm, count(*) AS cases, count(*) FILTER (decision = expected) AS correct, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe,
   round(avg((decision <> 'needs_review')::INT), 6) AS coverage, round(coalesce(avg((decision <> expected)::INT) FILTER (decision <> 'needs_review'), 0), 6) AS selective_risk,
   round(coalesce(avg((decision = 'needs_review')::INT) FILTER (expected <> 'needs_review'), 0), 6) AS false_abstention,
@@ -231,28 +283,36 @@ SQL: dict[str, str] = {
   round(avg((decision = expected)::INT), 6) AS accuracy FROM scores GROUP BY arm""", _SCORES),
     "metrics_slices": _q("SELECT arm, field, name, count(*) AS cases, count(*) FILTER (decision = expected) AS correct, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe, count(*) FILTER (decision = 'needs_review') AS abstained FROM (SELECT arm, decision, expected, 'trap' AS field, trap AS name FROM scores UNION ALL SELECT arm, decision, expected, 'provenance', provenance FROM scores UNION ALL SELECT arm, decision, expected, 'expected', expected FROM scores) GROUP BY ALL", _SCORES),
     "balanced_accuracy": _q("SELECT arm, round(avg(a), 6) AS balanced_accuracy FROM (SELECT arm, expected, avg((decision = expected)::INT) AS a FROM scores GROUP BY ALL) GROUP BY arm", _SCORES),
-    "risk_coverage_curve": _q("""SELECT t.arm, threshold, round(count(*) / (SELECT count(*) FROM scores c WHERE c.arm = t.arm), 6) AS coverage, round(avg((forced_decision <> expected)::INT), 6) AS risk,
+    "risk_coverage_curve": _q("""SELECT t.arm, threshold, round(count(*) / any_value(c.n), 6) AS coverage, round(avg((forced_decision <> expected)::INT), 6) AS risk,
   count(*) FILTER (forced_decision = 'eligible' AND expected <> 'eligible') AS unsafe, count(*) AS answered
- FROM (SELECT arm, round(criteria_coverage, 6) AS threshold FROM scores UNION SELECT arm, 0.0 FROM scores) t JOIN scores s ON s.arm = t.arm AND s.criteria_coverage >= threshold GROUP BY ALL""", _SCORES),
+ FROM (SELECT arm, round(criteria_coverage, 6) AS threshold FROM scores UNION SELECT arm, 0.0 FROM scores) t JOIN scores s ON s.arm = t.arm AND s.criteria_coverage >= threshold JOIN (SELECT arm, count(*) AS n FROM scores GROUP BY arm) c ON c.arm = t.arm GROUP BY t.arm, threshold""", _SCORES),
     "kappa": """WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS agree FROM c),
  e AS (SELECT sum(x.n * y.n) AS chance FROM (SELECT a, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b)
 SELECT n, round(agree / n, 9) AS observed, round(chance / (n * n), 9) AS expected, round((agree / n - chance / (n * n)) / (1 - chance / (n * n)), 9) AS kappa FROM t, e""",
     "perturb_redact": _q("SELECT decision, count(*) AS n FROM decided GROUP BY decision", _REDACTED, _screen(ev="redacted")),
     "perturb_shift_value": _q("SELECT decision, count(*) AS n FROM decided GROUP BY decision", _SHIFTED, _screen(ev="shifted")),
+    "perturb_shift_date": _q("SELECT decision, count(*) AS n FROM decided GROUP BY decision", _MOVED, _screen(ev="moved")),
+    "perturb_add_condition": _q(f"SELECT code, display, count(*) AS n, CAST(max(date) AS VARCHAR) AS last FROM (SELECT code, display, date FROM evidence WHERE patient_id = 1 AND kind = 'condition' UNION ALL SELECT '22298006', 'Myocardial infarction', DATE '{AS_OF}') GROUP BY ALL"),
+    "perturb_record_death": f"WITH patients AS (SELECT * REPLACE (CASE WHEN patient_id = 1 THEN DATE '{AS_OF}' ELSE deceased END AS deceased) FROM ({PATIENTS_DUCKDB})), evidence AS ({EVIDENCE_SQL}), " + _screen() + " SELECT decision, blocked_by, count(*) AS n FROM decided GROUP BY ALL",
+    "notes_merge": _q("SELECT kind, count(*) AS n FROM (SELECT kind FROM evidence UNION ALL SELECT 'note' FROM conversations WHERE turn = 0 GROUP BY conv_id) GROUP BY kind"),
+    "fhir_evidence": """SELECT CAST(o_custkey AS VARCHAR) AS patient_id, 'observation' AS kind, 'LOINC' AS system, '8480-6' AS code, 'Systolic' AS display, o_totalprice AS value, 'mm[Hg]' AS unit, strftime(o_orderdate, '%Y-%m-%d') AS date,
+  lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR), 8, '0') || '-0000' AS seq FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
+    "fhir_patients": f"SELECT CAST(patient_id AS VARCHAR) AS patient_id, CAST(birth_date AS VARCHAR) AS birth_date, sex, CAST(deceased AS VARCHAR) AS deceased, deceased_undated AND deceased IS NULL AS deceased_undated FROM ({PATIENTS_DUCKDB})",
+    "quote_fidelity": "SELECT doc_id AS nct_id, 'INC-01' AS criterion_id FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0",
     "perturb_convert_units": _q("SELECT CASE WHEN value IS NULL THEN unit ELSE 'mg/L' END AS unit, count(*) AS n, round(sum(value * 10.0), 3) AS total FROM evidence WHERE kind = 'observation' AND code = '2160-0' GROUP BY 1"),
-    "perturb_remove_encounters": _q("SELECT patient_id, count(*) AS n, max(date) AS last FROM evidence WHERE kind = 'encounter' AND date <= DATE '1998-01-01' GROUP BY patient_id"),
-    "verdict_diff": _q("SELECT a.patient_id, a.criterion_id, a.verdict AS before, b.verdict AS after FROM verdicts a JOIN verdicts_r b ON a.patient_id = b.patient_id AND a.criterion_id = b.criterion_id WHERE a.verdict IS DISTINCT FROM b.verdict", _REDACTED, _screen(), _screen(ev="redacted", tag="_r")),
-    "analyte_trend": _q("""SELECT patient_id, code, n, first_date, value AS latest, unit, date AS latest_date, previous,
+    "perturb_remove_encounters": _q("SELECT patient_id, count(*) AS n, CAST(max(date) AS VARCHAR) AS last FROM evidence WHERE kind = 'encounter' AND date <= DATE '1998-01-01' GROUP BY patient_id"),
+    "verdict_diff": _q(f"SELECT a.patient_id, a.criterion_id, {_word('a.verdict')} AS before, {_word('b.verdict')} AS after FROM verdicts a JOIN verdicts_r b ON a.patient_id = b.patient_id AND a.criterion_id = b.criterion_id WHERE a.verdict IS DISTINCT FROM b.verdict", _REDACTED, _screen(), _screen(ev="redacted", tag="_r")),
+    "analyte_trend": _q("""SELECT patient_id, code, n, CAST(first_date AS VARCHAR) AS first_date, value AS latest, unit, CAST(date AS VARCHAR) AS latest_date, previous,
   CASE WHEN previous IS NULL THEN NULL WHEN previous_unit <> unit THEN 'unit changed' WHEN value > previous THEN 'rising' WHEN value < previous THEN 'falling' ELSE 'unchanged' END AS trend
  FROM (SELECT *, lead(value) OVER w AS previous, lead(unit) OVER w AS previous_unit, row_number() OVER w AS k, count(*) OVER (PARTITION BY patient_id, code) AS n, min(date) OVER (PARTITION BY patient_id, code) AS first_date
   FROM evidence WHERE kind = 'observation' AND value IS NOT NULL WINDOW w AS (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq)) WHERE k = 1"""),
-    "latest_medication": _q("SELECT patient_id, code AS drug, n AS orders, date AS latest_date, display FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq) AS k, count(*) OVER (PARTITION BY patient_id, code) AS n FROM evidence WHERE kind = 'medication') WHERE k = 1"),
-    "chart_counts": _q("SELECT patient_id, kind, count(*) AS n, min(date) AS first_date, max(date) AS last_date, CAST(year(max(date)) - year(min(date)) AS INTEGER) AS span_years FROM evidence GROUP BY ALL"),
+    "latest_medication": _q("SELECT patient_id, code AS drug, n AS orders, CAST(date AS VARCHAR) AS latest_date, display FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq) AS k, count(*) OVER (PARTITION BY patient_id, code) AS n FROM evidence WHERE kind = 'medication') WHERE k = 1"),
+    "chart_counts": _q("SELECT patient_id, kind, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, CAST(year(max(date)) - year(min(date)) AS INTEGER) AS span_years FROM evidence GROUP BY ALL"),
     "concept_keys": "SELECT lower(p_type) AS key, min(p_partkey) AS first_part, count(*) AS n FROM part GROUP BY 1",
     "number_tokens": r"SELECT doc_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '\d+(?:\.\d+)?')[1:5], ' ') AS first FROM documents",
     "cost_rollup": "SELECT event_type AS agent, count(*) AS calls, count(*) FILTER (event_id % 10 <> 0) AS priced, count(*) FILTER (event_id % 10 = 0) AS unpriced, round(coalesce(sum(CASE WHEN event_id % 10 <> 0 THEN value END), 0), 4) AS usd FROM events GROUP BY ROLLUP (event_type)",
     "tape_replay": "WITH c AS (SELECT conv_id, role AS agent, coalesce(text, '') AS u FROM conversations), r AS (SELECT DISTINCT agent, u FROM c WHERE conv_id % 2 = 1) SELECT c.agent, count(*) AS requests, count(r.u) AS hits FROM c LEFT JOIN r ON c.agent = r.agent AND c.u = r.u GROUP BY c.agent",
-    "concept_store_misses": "SELECT DISTINCT lower(p_type) AS key FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_partkey % 2 = 0 AND p_size > 45)",
+    "concept_store_misses": "SELECT DISTINCT lower(p_name) AS key FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 2 = 0 AND p_size > 45)",
     "adjudicated_labels": """WITH a AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l FROM labels), b AS (SELECT doc_id AS pair_id, CASE WHEN toxic = 1 THEN 'no' ELSE 'yes' END AS l FROM labels WHERE doc_id % 11 <> 0)
 SELECT pair_id, a.l AS first, b.l AS second, CASE WHEN a.l = b.l THEN a.l WHEN b.l IS NOT NULL AND pair_id % 2 = 0 THEN 'yes' END AS label, (a.l = b.l OR (b.l IS NOT NULL AND pair_id % 2 = 0)) IS NOT TRUE AS open FROM a LEFT JOIN b USING (pair_id)""",
     "duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",

@@ -7,8 +7,11 @@ allowed chunk error enumerated. By the pigeonhole principle two signatures that
 differ in at most 31 symbols have a chunk with one error or none and meet under
 a key. Texts with a similarity of 0.75 differ in 16 symbols on average and in
 more than 31 with a chance of about 1 in 50,000, and even then mostly meet.
-Pairs that met and differ in at most ``FAR`` symbols are confirmed on full
-shingle sets.
+Beside its signature a class carries how many of its shingles have each of 128
+values of seven hash bits: two sets share at most the sum of the smaller counts,
+so a pair whose sum is too small can't be similar, and that loses no link. Pairs
+that met, differ in at most ``FAR`` symbols and may share enough are confirmed
+on full shingle sets.
 
 Only connected components are asked for, so no group is expanded into pairs:
 
@@ -49,6 +52,9 @@ CHUNKS = SYMBOLS // CHUNK
 FAR = 36
 BUCKET = 2048
 LEVELS = 3
+COUNTS = 128
+#: Counts stop here, and say nothing from then on.
+FULL = 2**16 - 1
 
 
 def _features(batch: pa.RecordBatch) -> dict:
@@ -57,13 +63,19 @@ def _features(batch: pa.RecordBatch) -> dict:
         "doc_id": batch.column(0),
         "n_shingles": [len(x) for x in sets],
         "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
-        "sig": [signature(x).tobytes() if len(x) else None for x in sets],
+        "sig": [signature(x).tobytes() + counts(x).tobytes() if len(x) else None for x in sets],
     }
 
 
+def counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles have each value of the highest seven bits."""
+    found = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=COUNTS)
+    return np.minimum(found, FULL).astype(np.uint16)
+
+
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
-    """Keys of signatures (n, 64): one for each chunk and symbol left out."""
-    chunks = sigs.reshape(len(sigs), CHUNKS, CHUNK).astype(np.uint64)
+    """Keys of signatures (n, 64 symbols and more): one for each chunk and symbol left out."""
+    chunks = sigs[:, :SYMBOLS].reshape(len(sigs), CHUNKS, CHUNK).astype(np.uint64)
     out = np.empty((len(sigs), CHUNKS, CHUNK), np.uint64)
     for left_out in range(CHUNK):
         packed = np.zeros(chunks.shape[:2], np.uint64)
@@ -76,7 +88,8 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    """Signatures with the counts behind them."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS + COUNTS)
 
 
 def _file(batches):
@@ -127,18 +140,26 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (waiting[0], waiting[1], waiting[1])], names=["key", "class_id", "rep"])
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(-1) <= FAR
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a are near b (one row, or as many): few other symbols, and counts that allow the similarity."""
+    ok = (a[:, :SYMBOLS] != b[..., :SYMBOLS]).sum(1) <= FAR
+    at = np.flatnonzero(ok)
+    if len(at):
+        x, y = a[at, SYMBOLS:], b[SYMBOLS:] if b.ndim == 1 else b[at, SYMBOLS:]
+        both = np.minimum(x, y).sum(-1, dtype=np.int64)
+        union = x.sum(-1, dtype=np.int64) + y.sum(-1, dtype=np.int64) - both
+        ok[at] = (100 * both >= percent * union) | (np.maximum(x, y).max(-1) == FULL)
+    return ok
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Place of the first key that signature a shares with each of b; some key must be shared."""
-    differ = (b != a).reshape(-1, CHUNKS, CHUNK)
+    differ = (b[:, :SYMBOLS] != a[:SYMBOLS]).reshape(-1, CHUNKS, CHUNK)
     chunk = (differ.sum(2) <= 1).argmax(1)
     return chunk * CHUNK + differ[np.arange(len(b)), chunk].argmax(1)
 
 
-def _compare(own_keys: bool):
+def _compare(own_keys: bool, percent: int):
     """Pairs of one key in different components with near signatures; rows are sorted by key, keys have BUCKET rows at most.
 
     With own_keys the keys are those of the signatures, and a pair that shares
@@ -152,7 +173,7 @@ def _compare(own_keys: bool):
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, hi)
                 j = j[comp[j] != comp[i]]
-                j = j[_near(sig[j], sig[i])]
+                j = j[_near(sig[j], sig[i], percent)]
                 if own_keys and len(j):
                     j = j[chunk_keys(sig[i : i + 1])[0][_first_shared(sig[i], sig[j])].view(np.int64) == key[lo]]
                 found.update((min(cls[i], cls[x]), max(cls[i], cls[x])) for x in j)
@@ -181,15 +202,18 @@ def _edge_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _compare_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _compare_blocks(percent: int):
     """The same for two blocks of a large key."""
-    found = []
-    if len(left) and len(right):
-        s, t = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(-1, SYMBOLS) for x in (left, right))
-        for i, (c, k) in enumerate(zip(left.class_id, left.comp, strict=True)):
-            ok = (right.comp.to_numpy() != k) & _near(t, s[i])
-            found += [(min(c, x), max(c, x)) for x in right.class_id.to_numpy()[ok]]
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            s, t = (_sigs(pa.array(x.sig)) for x in (left, right))
+            for i, (c, k) in enumerate(zip(left.class_id, left.comp, strict=True)):
+                ok = (right.comp.to_numpy() != k) & _near(t, s[i], percent)
+                found += [(min(c, x), max(c, x)) for x in right.class_id.to_numpy()[ok]]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    return run
 
 
 class NearDedup:
@@ -245,9 +269,11 @@ class NearDedup:
         """Pairs with near signatures."""
         sig = lambda x: classes.select(F.col("class_id").alias(x), F.col("sig").alias(f"sig_{x}"))
 
+        percent = self.percent
+
         def near(batches):
             for batch in batches:
-                ok = _near(_sigs(batch.column(2)), _sigs(batch.column(3)))
+                ok = _near(_sigs(batch.column(2)), _sigs(batch.column(3)), percent)
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
         return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
@@ -289,7 +315,7 @@ class NearDedup:
                 rows = rows.join(classes.select("class_id", "sig"), "class_id")
             rows = store.write(rows.select("key", "class_id", "comp", "sig", "n"), f"mixed_{level}")
             small = rows.filter(F.col("n") <= self.bucket).select("key", "class_id", "comp", "sig")
-            found = found.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(level == 1), "a long, b long"))
+            found = found.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(level == 1, self.percent), "a long, b long"))
             large = rows.filter(F.col("n") > self.bucket)
             if not large.limit(1).count():
                 return found
@@ -299,7 +325,7 @@ class NearDedup:
         blocks = large.withColumn("blocks", F.ceil(F.col("n") / self.bucket).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
         left = blocks.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).select("key", F.col("block").alias("i"), F.col("other").alias("j"), "class_id", "comp", "sig")
         right = blocks.withColumn("other", F.explode(F.expr("sequence(0, block)"))).select("key", F.col("other").alias("i"), F.col("block").alias("j"), "class_id", "comp", "sig")
-        return found.union(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_compare_blocks, "a long, b long"))
+        return found.union(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_compare_blocks(self.percent), "a long, b long"))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:

@@ -16,9 +16,12 @@ again matter, and of those only the context of ``least`` bytes around them.
    common-prefix intervals; inside an interval the left sides, sorted the same
    way, show by their diversity how far the repeat goes to the left. Intervals of
    ``least`` bytes or more are the maximal repeats, with all their occurrences.
-   A gram with more than ``HOT`` contexts is not gathered: its windows are
-   hashed, counted by a combined aggregation and joined back.
-5. The covered bytes of every text are the union of its occurrences.
+   A gram with more than ``HOT`` contexts is not gathered: those windows whose
+   smallest gram it is are hashed, counted by a combined aggregation and joined
+   back. Other windows are met under their own smallest gram.
+5. The covered bytes of every text are the union of its occurrences. All repeats
+   around an anchor include it, so their union is one run for each context, and
+   only that is written when just the covered bytes are asked for.
 
 Strings are judged on the input; matches never cross texts; a text may repeat
 itself, with overlaps. Null texts count as empty. Texts with the same bytes
@@ -156,13 +159,23 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list
     return out
 
 
-def _found_in_groups(least: int):
-    """Rows of one gram after another, at most HOT contexts each, to the repeats around it."""
-    names = ["gram", "ctx", "l", "r", "repeat"]
+def _found_in_groups(least: int, merged: bool):
+    """Rows of one gram after another, at most HOT contexts each, to the repeats around it, or with merged to their union for each context."""
+    names = ["gram", "ctx", "l", "r", "repeat"][: 4 if merged else 5]
 
     def group(rows):
         lefts, rights = [x[2][::-1] for x in rows], [x[3] for x in rows]
-        for members, left, right in maximal_repeats(lefts, rights, least):
+        found = maximal_repeats(lefts, rights, least)
+        if merged:
+            most: dict = {}
+            for members, left, right in found:
+                for m in members:
+                    l, r = most.get(m, (0, 0))
+                    most[m] = (max(l, left), max(r, right))
+            for m, (l, r) in most.items():
+                yield rows[m][0], rows[m][1], l, r
+            return
+        for members, left, right in found:
             m = members[0]
             name = hashlib.blake2b(lefts[m][:left][::-1] + rights[m][:right], digest_size=8).digest()
             for m in members:
@@ -185,14 +198,18 @@ def _found_in_groups(least: int):
     return run
 
 
-def _windows(least: int):
-    """All windows of a context: gram, ctx, bytes before and after the anchor, window hash."""
+def _windows(least: int, size: int):
+    """The windows of a context whose smallest gram is its anchor: gram, ctx, bytes before and after the anchor, window hash."""
     def run(batches):
         for batch in batches:
             out = []
             for gram, ctx, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = np.frombuffer(left + right, np.uint8)
-                start = np.arange(len(raw) - least + 1)
+                if len(raw) < least:
+                    continue
+                at = np.arange(len(raw) - size + 1)
+                grams = _prefix(raw, 0)(at, at + size)
+                start = np.flatnonzero(_sliding(grams, least - size + 1, np.minimum) == grams[len(left)])
                 if len(start):
                     out.append((np.full(len(start), gram), np.full(len(start), ctx), len(left) - start, start + least - len(left), _prefix(raw, 1)(start, start + least).view(np.int64)))
             if out:
@@ -208,7 +225,7 @@ def _collapse(keep_single: bool):
     gram of a partition may have company in the next one and stay.
     """
     def run(batches):
-        begun, carried, waiting = False, None, None
+        first, carried, waiting = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -226,9 +243,10 @@ def _collapse(keep_single: bool):
             start = np.flatnonzero(new_gram[at])
             length = np.diff(np.append(start, len(at)))
             each = np.repeat(length > 1, length) | (n > 1) | keep_single
-            if carried is not None and carried == cols[0][0] or not begun:
+            if first is None:
+                first = cols[0][0]
+            if cols[0][0] == first or carried is not None and carried == cols[0][0]:
                 each[: length[0]] = True
-            begun = True
             schema = batch.schema
             waiting = pa.RecordBatch.from_arrays([pa.array(c[-1:]) for c in cols], schema=schema)
             if len(at) > 1:
@@ -302,8 +320,11 @@ class Repeats:
         texts = self._packed().groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
         return wanted.join(texts, ["t1", "t2"]).select("of", "packed").mapInArrow(cut, "gram long, ctx long, left binary, right binary")
 
-    def occurrences(self) -> DataFrame:
-        """t1, t2 (text key), start, end, repeat (names the repeated string; null: the whole context of an anchor)."""
+    def occurrences(self, merged: bool = False) -> DataFrame:
+        """t1, t2 (text key), start, end, repeat (names the repeated string; null: the whole context of an anchor).
+
+        With merged, the repeats around one anchor come as one run, without a name.
+        """
         store, least = self.store, self.least
         met = self._anchors()
         first = F.min(F.struct("t1", "t2", "at")).alias("first")
@@ -312,15 +333,20 @@ class Repeats:
         contexts = store.write(self._contexts(classes.join(mixed, "gram").select("gram", "ctx", "t1", "t2", "at")).join(mixed, "gram"), "contexts")
         few = contexts.filter(F.col("contexts") <= self.hot).select("gram", "ctx", "left", "right")
         out = "gram long, ctx long, l long, r long, repeat long"
-        found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_found_in_groups(least), out)
+        columns = ["gram", "ctx", "l", "r", "repeat"][: 4 if merged else 5]
+        found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_found_in_groups(least, merged), out.removesuffix(", repeat long") if merged else out)
         many = contexts.filter(F.col("contexts") > self.hot).select("gram", "ctx", "left", "right")
         if many.limit(1).count():
-            windows = store.write(many.mapInArrow(_windows(least), out), "windows")
-            again = windows.groupBy("gram", "repeat").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "repeat")
-            found = found.union(windows.join(again, ["gram", "repeat"]).select("gram", "ctx", "l", "r", "repeat"))
+            windows = store.write(many.mapInArrow(_windows(least, self.gram), out), "windows")
+            # a window may have its smallest gram twice: only windows with the anchor at the same place are other occurrences
+            again = windows.groupBy("gram", "l", "repeat").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "l", "repeat")
+            hit = windows.join(again, ["gram", "l", "repeat"])
+            found = found.union(hit.groupBy("gram", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")) if merged else hit.select(columns))
         whole = classes.filter("n > 1").select("gram", "ctx", F.expr("shiftright(at, 10) & 1023").alias("l"), F.expr("at & 1023").alias("r"), F.lit(None).cast("long").alias("repeat"))
-        spans = store.write(whole.union(found), "spans")
-        return met.select("gram", "ctx", "t1", "t2", F.shiftright("at", 20).alias("p")).join(spans, ["gram", "ctx"]).select("t1", "t2", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + F.col("r")).alias("end"), "repeat")
+        spans = store.write(whole.select(columns).union(found), "spans")
+        store.drop("contexts", "windows", "anchors")
+        placed = met.select("gram", "ctx", "t1", "t2", F.shiftright("at", 20).alias("p")).join(spans, ["gram", "ctx"])
+        return placed.select("t1", "t2", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + F.col("r")).alias("end"), *columns[4:])
 
     def covered(self) -> DataFrame:
         """t1, t2, spans: the merged covered runs of every text that has some, in order."""
@@ -332,7 +358,7 @@ class Repeats:
                 F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
             ).otherwise(F.concat(done, F.array(x))),
         )
-        return self.occurrences().groupBy("t1", "t2").agg(merged.alias("spans"))
+        return self.occurrences(merged=True).groupBy("t1", "t2").agg(merged.alias("spans"))
 
     def removed(self, with_text: bool = False) -> DataFrame:
         """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""

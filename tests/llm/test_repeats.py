@@ -69,3 +69,17 @@ def test_maximal_repeats_have_all_occurrences():
         for m in range(n):
             want = max(repeats.common(lefts[m], lefts[k]) + repeats.common(rights[m], rights[k]) for k in range(n) if k != m)
             assert best[m] == (want if want >= 4 else 0)
+
+
+def test_a_window_with_its_smallest_gram_twice_is_no_repeat(spark):
+    """One long periodic text and texts that share a gram only: with every gram hot, nothing else goes than with none."""
+    import random
+
+    rng = random.Random(5)
+    unit = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [noise(150) + unit * 2 + noise(150) for _ in range(6)] + [unit * 5, noise(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cold, hot = (sorted(map(tuple, repeats.Repeats(docs, hot=h).removed().collect())) for h in (256, 1))
+    assert cold == hot
+    assert {r[0]: r[2] for r in cold} == {i: len(texts[i]) if i == 6 else 0 for i in range(8)}

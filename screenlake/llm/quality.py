@@ -8,15 +8,17 @@ shapes and whether a word repeats the one before), and the scorer decides.
 
 Votes and pattern counts cover every document; there are at most 3^7 patterns,
 so the estimation works on a small table. The scorer is fitted on a bounded
-sample (``TRAIN_DOCS`` documents, chosen by a hash of the text). Documents
+sample (``TRAIN_DOCS`` distinct texts at most, chosen by a hash, weighted by their counts). Documents
 without a word (null, empty, blank) score 0 and are rejected. Repeated rows
 score alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from screenlake.llm.common import id_text, map_batches, texts_of
 
 BITS = 16
-#: Documents, about, that the scorer is fitted on.
+#: Distinct texts at most that the scorer is fitted on.
 TRAIN_DOCS = 6000
 GOOD, BAD, NONE = 1, 0, 2
 #: A labeller rejects at most this share of good documents; keeps the estimate on the side of the precise labellers.
@@ -116,8 +118,8 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found, x / np.linalg.norm(x)
 
 
-def train(rows: list[tuple[float, np.ndarray, np.ndarray]], l2: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Weights of a logistic model on soft labels, the bias last; plain gradient steps with momentum."""
+def train(rows: list[tuple], l2: float = 1e-4, rounds: int = 300) -> np.ndarray:
+    """Weights of a logistic model on rows of soft label, features, values and perhaps a count, the bias last; plain gradient steps with momentum."""
     if not rows:
         return np.zeros((1 << BITS) + 1)
     y = np.array([r[0] for r in rows])
@@ -126,11 +128,12 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]], l2: float = 1e-4, ro
     used, col = np.unique(col, return_inverse=True)
     w, step, b = np.zeros(len(used)), np.zeros(len(used)), 0.0
     # both classes weigh the same
-    good = max(y.sum(), 1.0)
-    each = y * len(y) / (2 * good) + (1 - y) * len(y) / (2 * max(len(y) - y.sum(), 1.0))
+    n = np.array([r[3] if len(r) > 3 else 1 for r in rows], float)
+    total, good = n.sum(), (n * y).sum()
+    each = n * (y * total / (2 * max(good, 1.0)) + (1 - y) * total / (2 * max(total - good, 1.0)))
     for _ in range(rounds):
         z = np.bincount(row, val * w[col], len(rows)) + b
-        g = (1 / (1 + np.exp(-z)) - y) * each / len(rows)
+        g = (1 / (1 + np.exp(-z)) - y) * each / total
         step = 0.9 * step - 8.0 * (np.bincount(col, val * g[row], len(used)) + l2 * w)
         w += step
         b -= 2.0 * g.sum()
@@ -169,14 +172,17 @@ class QualityModel:
         limit = int(2**32 * min(1.0, train_docs / counts.sum()))
 
         def sample(batch: pa.RecordBatch) -> dict:
+            drawn = Counter(x for x in texts_of(batch) if zlib.crc32(x) < limit)
             out = []
-            for x in texts_of(batch):
-                if zlib.crc32(x) < limit and len((f := features(x))[0]):
-                    out.append((posterior.get(votes(x), prior), f[0].astype("<i4").tobytes(), f[1].astype("<f4").tobytes()))
-            return {k: [r[i] for r in out] for i, k in enumerate(("y", "i", "x"))}
-
-        drawn = map_batches(texts, sample, "y double, i binary, x binary")
-        rows = [(r.y, np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float)) for r in drawn.toLocalIterator()]
+            for x, n in drawn.items():
+                if len((f := features(x))[0]):
+                    out.append((hashlib.sha256(x).digest(), n, posterior.get(votes(x), prior), f[0].astype("<i4").tobytes(), f[1].astype("<f4").tobytes()))
+            return {k: [r[i] for r in out] for i, k in enumerate(("h", "n", "y", "i", "x"))}
+
+        drawn = map_batches(texts, sample, "h binary, n long, y double, i binary, x binary")
+        # one row a distinct text, and train_docs rows at most, however often a text repeats
+        drawn = drawn.groupBy("h").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in "yix"]).orderBy("h").limit(train_docs)
+        rows = [(r.y, np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float), r.n) for r in drawn.collect()]
         rows.sort(key=lambda r: (r[0], r[1].tobytes()))
         accuracy = {name: {"good": votes_by_class[1, i, GOOD], "bad": votes_by_class[0, i, BAD]} for i, name in enumerate(LABELLERS)}
         return cls(prior, accuracy, posterior, train(rows))

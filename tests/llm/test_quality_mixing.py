@@ -76,3 +76,15 @@ def test_mix_draws_by_probability(spark):
     assert {x.topic for x in out} <= {"none", *(f"topic{i}" for i in range(8))}
     assert {x.kept for x in out if x.doc_id == 3} in ({True}, {False})
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_training_sample_is_bounded_when_a_text_repeats(spark, monkeypatch):
+    import zlib
+
+    limit = 2**32 * 20 / 700
+    hot = next(x for i in range(10_000) if zlib.crc32((x := f"a hot text number {i}").encode()) < limit)
+    rows = [(i, hot if i < 300 else f"some other words {i}") for i in range(700)]
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or np.zeros((1 << quality.BITS) + 1))
+    quality.QualityModel.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), train_docs=20)
+    assert 0 < len(seen[0]) <= 20 and max(r[3] for r in seen[0]) == 300

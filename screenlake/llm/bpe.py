@@ -48,10 +48,11 @@ class ByteBPE:
         chars = byte_characters()
         spell = lambda x: "".join(map(chars.__getitem__, x))
         merges = [(spell(t[:i]), spell(t[i:])) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.table: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.table: list[str] = [""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.table[i] = token
+            self.table[i] = spell(token)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
+        self.byte_of = {ord(c): b for b, c in enumerate(chars)}
         self.tokenizer = Tokenizer(models.BPE(vocab={spell(t): i for t, i in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
         # every input is one match already; the byte-level step only maps its bytes to characters
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -76,7 +77,8 @@ class ByteBPE:
         return np.concatenate([[0], np.cumsum(self.lengths[ids])])
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
+        """Bytes of ids, by the reversed table of byte characters."""
+        return "".join(map(self.table.__getitem__, ids.tolist())).translate(self.byte_of).encode("latin-1")
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes of a character that the ids cut in two become U+FFFD."""
@@ -121,7 +123,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact (decoding gives the text again), and ids if asked for.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact (decoding gives the text again and the offsets end where it ends), and ids if asked for.
 
     Encodes and decodes in one pass, so the ids need not leave the task.
     """
@@ -135,7 +137,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
             "n_tokens": [len(x) for x in ids],
             "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
-            "exact": [x == y.encode() for x, y in zip(back, texts, strict=True)],
+            "exact": [x == y.encode() and int(bpe.offsets(i)[-1]) == len(x) for x, y, i in zip(back, texts, ids, strict=True)],
             "ids": [x.astype("i4") for x in ids] if with_ids else None,
         }
 

@@ -65,3 +65,12 @@ def test_exact_dedup_matches_brute_force(spark, fan_in):
 
 def test_exact_dedup_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decoding_reverses_the_byte_characters():
+    one = bpe.load(RANKS, P.PATTERN)
+    assert "".join(chr(x) for x in sorted(one.byte_of)) == "".join(sorted(bpe.byte_characters()))
+    texts = [x or "" for x in ODD]
+    for x, ids in zip(texts, one.encode_batch(texts)):
+        assert one.decode_bytes(ids) == x.encode()
+        assert one.offsets(ids)[-1] == len(x.encode())

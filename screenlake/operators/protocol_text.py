@@ -58,7 +58,7 @@ def plan_units(spans: DataFrame) -> DataFrame:
     known = spans.groupBy("nct_id").agg(F.map_from_entries(F.collect_list(F.struct("index", F.coalesce("parent_index", F.lit(-1))))).alias("parents"))
     rows = spans.join(known, "nct_id")
     climb = lambda i: F.when(F.col("parents")[i] >= 0, F.col("parents")[i]).otherwise(i)
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.col("index"), lambda i, _: climb(i))
+    root = F.aggregate(F.sequence(F.lit(1), F.size("parents")), F.col("index"), lambda i, _: climb(i))
     return rows.withColumn("unit", root).groupBy("nct_id", "unit").agg(F.min_by("section", "index").alias("section"), F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]).alias("lines"))
 
 
@@ -75,7 +75,7 @@ def claims(spans: DataFrame, criteria: DataFrame) -> DataFrame:
     rows = own.join(known, "nct_id")
     start = F.struct(F.coalesce("parent_index", F.lit(-1)).alias("at"), F.lit(False).alias("hit"))
     up = F.aggregate(
-        F.sequence(F.lit(1), F.lit(32)), start,
+        F.sequence(F.lit(1), F.size("tree")), start,
         lambda acc, _: F.when(acc["at"] < 0, acc).otherwise(F.struct(F.col("tree")[acc["at"]]["parent"].alias("at"), (acc["hit"] | F.col("tree")[acc["at"]]["direct"]).alias("hit"))),
     )
     return rows.select("nct_id", "index", F.when(F.col("direct"), "direct").when(up["hit"], "inherited").otherwise("unclaimed").alias("claim"))

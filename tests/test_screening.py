@@ -138,3 +138,12 @@ def test_streamed_charts(spark, tmp_path):
     query = latest_stream(stream, protocol, AS_OF).writeStream.format("memory").queryName("charts_latest").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("charts_latest").first().l0.value == 1.0
+
+
+def test_claims_and_units_climb_any_depth(spark):
+    from screenlake.operators import protocol_text
+
+    spans = spark.createDataFrame([("N", i, i - 1 if i else None, f"line {i:02d}.", "inclusion") for i in range(41)], "nct_id string, index int, parent_index int, text string, section string")
+    got = protocol_text.claims(spans, spark.createDataFrame([("N", "line 00.")], "nct_id string, quote string"))
+    assert {r["index"]: r["claim"] for r in got.collect()} == {0: "direct"} | {i: "inherited" for i in range(1, 41)}
+    assert [len(r["lines"]) for r in protocol_text.plan_units(spans).collect()] == [41]

@@ -16,9 +16,13 @@ again matter, and of those only the context of ``least`` bytes around them.
    common-prefix intervals; inside an interval the left sides, sorted the same
    way, show by their diversity how far the repeat goes to the left. Intervals of
    ``least`` bytes or more are the maximal repeats, with all their occurrences.
-   A gram with more than ``HOT`` contexts is not gathered: those windows whose
-   smallest gram it is are hashed, counted by a combined aggregation and joined
-   back. Other windows are met under their own smallest gram.
+   A gram with more than ``HOT`` contexts is not gathered but split: a repeat has
+   some number of bytes to the left of the anchor, the range of that number is
+   cut into ``PARTS`` parts, and contexts are filed under the bytes that all
+   repeats of a part have in common. Contexts alone under theirs are done with;
+   of contexts that are equal as far as the part reaches, which are repeats
+   already, one goes on. Groups of ``HOT`` or fewer get the interval scan, the
+   rest are split again; a part of one number ends it, as equal bytes are all it has.
 5. The covered bytes of every text are the union of its occurrences. All repeats
    around an anchor include it, so their union is one run for each context, and
    only that is written when just the covered bytes are asked for.
@@ -44,6 +48,7 @@ from screenlake.llm.shingles import mix
 LEAST = 200
 GRAM = 40
 HOT = 256
+PARTS = 4
 STEP = 1 << 20
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _random = np.random.Generator(np.random.Philox(key=200))
@@ -159,12 +164,16 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> list
     return out
 
 
+def _digest(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+
 def _found_in_groups(least: int, merged: bool):
-    """Rows of one gram after another, at most HOT contexts each, to the repeats around it, or with merged to their union for each context."""
-    names = ["gram", "ctx", "l", "r", "repeat"][: 4 if merged else 5]
+    """Rows (set, gram, ctx, left, right, like) of one set after another, at most HOT contexts each, to the repeats around the anchor, or with merged to their union for each context."""
+    names = ["gram", "ctx", "l", "r", *(() if merged else ("repeat", "like"))]
 
     def group(rows):
-        lefts, rights = [x[2][::-1] for x in rows], [x[3] for x in rows]
+        lefts, rights = [x[3][::-1] for x in rows], [x[4] for x in rows]
         found = maximal_repeats(lefts, rights, least)
         if merged:
             most: dict = {}
@@ -173,19 +182,18 @@ def _found_in_groups(least: int, merged: bool):
                     l, r = most.get(m, (0, 0))
                     most[m] = (max(l, left), max(r, right))
             for m, (l, r) in most.items():
-                yield rows[m][0], rows[m][1], l, r
+                yield rows[m][1], rows[m][2], l, r
             return
         for members, left, right in found:
-            m = members[0]
-            name = hashlib.blake2b(lefts[m][:left][::-1] + rights[m][:right], digest_size=8).digest()
+            name = _digest(lefts[members[0]][:left][::-1] + rights[members[0]][:right])
             for m in members:
-                yield rows[m][0], rows[m][1], left, right, int.from_bytes(name, "little", signed=True)
+                yield rows[m][1], rows[m][2], left, right, name, rows[m][5]
 
     def run(batches):
         held: list = []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if held and held[0][0] != row[0]:
                     out += group(held)
                     held = []
@@ -198,22 +206,34 @@ def _found_in_groups(least: int, merged: bool):
     return run
 
 
-def _windows(least: int, size: int):
-    """The windows of a context whose smallest gram is its anchor: gram, ctx, bytes before and after the anchor, window hash."""
+def parts_of(lo: int, hi: int, parts: int) -> list[tuple[int, int]]:
+    """The range lo to hi, both included, cut into so many parts at most."""
+    step = -(-(hi - lo + 1) // parts)
+    return [(a, min(hi, a + step - 1)) for a in range(lo, hi + 1, step)]
+
+
+PART = "gram long, lo long, hi long, key long, like long, l long, r long, ctx long"
+PART_KEYS = ["gram", "lo", "hi", "key"]
+
+
+def _split(least: int, parts: int):
+    """Rows (gram, ctx, lo, hi, left, right): each part of lo to hi in which the context has windows.
+
+    key: what windows of that part have in common, like: all that they reach,
+    l and r: how far that is on both sides of the anchor.
+    """
     def run(batches):
+        names = [x.split()[0] for x in PART.split(", ")]
         for batch in batches:
             out = []
-            for gram, ctx, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = np.frombuffer(left + right, np.uint8)
-                if len(raw) < least:
-                    continue
-                at = np.arange(len(raw) - size + 1)
-                grams = _prefix(raw, 0)(at, at + size)
-                start = np.flatnonzero(_sliding(grams, least - size + 1, np.minimum) == grams[len(left)])
-                if len(start):
-                    out.append((np.full(len(start), gram), np.full(len(start), ctx), len(left) - start, start + least - len(left), _prefix(raw, 1)(start, start + least).view(np.int64)))
+            for gram, ctx, low, high, left, right in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                n = len(left)
+                for lo, hi in parts_of(low, high, parts):
+                    l, r = min(hi, n), min(least - lo, len(right))
+                    if l >= lo and least - l <= len(right):
+                        out.append((gram, lo, hi, _digest(left[n - lo :] + right[: least - hi]), _digest(left[n - l :] + right[:r]), l, r, ctx))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["gram", "ctx", "l", "r", "repeat"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
 
     return run
 
@@ -271,7 +291,7 @@ class Repeats:
         if not gram <= least <= 1000:
             raise ValueError("gram <= least <= 1000 is needed")
         self.docs, self.least, self.gram, self.hot = id_text(docs), least, gram, hot
-        self.store = SharedTables(docs.sparkSession, "repeats")
+        self.store, self.parts = SharedTables(docs.sparkSession, "repeats"), []
 
     def _anchors(self) -> DataFrame:
         least, gram = self.least, self.gram
@@ -320,6 +340,40 @@ class Repeats:
         texts = self._packed().groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
         return wanted.join(texts, ["t1", "t2"]).select("of", "packed").mapInArrow(cut, "gram long, ctx long, left binary, right binary")
 
+    def _scanned(self, sets: DataFrame, merged: bool) -> DataFrame:
+        """The interval scan over each set of contexts."""
+        out = "gram long, ctx long, l long, r long" + ", repeat long, like long" * (not merged)
+        return sets.repartition("set").sortWithinPartitions("set").mapInArrow(_found_in_groups(self.least, merged), out)
+
+    def _split_hot(self, contexts: DataFrame, merged: bool) -> list[DataFrame]:
+        """The repeats of grams with more than hot contexts."""
+        store, found, level = self.store, [], 0
+        texts = contexts.select("gram", "ctx", "left", "right")
+        many = contexts.filter(F.col("contexts") > self.hot).select("gram", "ctx", F.lit(0).alias("lo"), F.lit(self.least - self.gram).alias("hi"))
+        # ends as every level has narrower parts, and those of a single number have no group of two
+        while many.limit(1).count():
+            level += 1
+            self.parts += [f"parts_{level}", f"groups_{level}"]
+            rows = many.join(texts, ["gram", "ctx"]).select("gram", "ctx", "lo", "hi", "left", "right")
+            parts = store.write(rows.mapInArrow(_split(self.least, PARTS), PART), f"parts_{level}")
+            groups = parts.groupBy(*PART_KEYS, "like", "l", "r").agg(F.min("ctx").alias("ctx"), F.count("*").alias("n"))
+            sizes = groups.groupBy(*PART_KEYS).agg(F.count("*").alias("size"), F.sum("n").alias("all")).filter("all > 1").drop("all")
+            groups = store.write(groups.join(sizes, PART_KEYS), f"groups_{level}")
+            alike = [*PART_KEYS, "like", "l", "r"]
+            found.append(parts.join(groups.filter("n > 1").select(alike), alike).withColumn("repeat", F.col("like")))
+            least = F.lit(self.least)
+            few = groups.filter(F.col("size").between(2, self.hot)).join(texts, ["gram", "ctx"])
+            # no further than the part reaches, as far as those go that were taken for one
+            ends = (F.expr("substring(left, length(left) - l + 1, l)").alias("left"), F.substring("right", F.lit(1), (least - F.col("lo")).cast("int")).alias("right"))
+            name = F.xxhash64(*alike)
+            scanned = self._scanned(few.select(F.xxhash64(*PART_KEYS).alias("set"), "gram", "ctx", *ends, name.alias("like")), merged)
+            if not merged:
+                members = parts.join(groups.select(alike), alike).select(name.alias("like"), "gram", F.col("ctx").alias("own"))
+                scanned = scanned.join(members, ["gram", "like"]).withColumn("ctx", F.col("own"))
+            found.append(scanned)
+            many = groups.filter(F.col("size") > self.hot).select("gram", "ctx", "lo", "hi")
+        return found
+
     def occurrences(self, merged: bool = False) -> DataFrame:
         """t1, t2 (text key), start, end, repeat (names the repeated string; null: the whole context of an anchor).
 
@@ -331,20 +385,16 @@ class Repeats:
         classes = store.write(met.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), first).select("gram", "ctx", "n", "first.*"), "classes")
         mixed = classes.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1")
         contexts = store.write(self._contexts(classes.join(mixed, "gram").select("gram", "ctx", "t1", "t2", "at")).join(mixed, "gram"), "contexts")
-        few = contexts.filter(F.col("contexts") <= self.hot).select("gram", "ctx", "left", "right")
-        out = "gram long, ctx long, l long, r long, repeat long"
+        few = contexts.filter(F.col("contexts") <= self.hot).select(F.col("gram").alias("set"), "gram", "ctx", "left", "right", F.lit(0).cast("long").alias("like"))
         columns = ["gram", "ctx", "l", "r", "repeat"][: 4 if merged else 5]
-        found = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_found_in_groups(least, merged), out.removesuffix(", repeat long") if merged else out)
-        many = contexts.filter(F.col("contexts") > self.hot).select("gram", "ctx", "left", "right")
-        if many.limit(1).count():
-            windows = store.write(many.mapInArrow(_windows(least, self.gram), out), "windows")
-            # a window may have its smallest gram twice: only windows with the anchor at the same place are other occurrences
-            again = windows.groupBy("gram", "l", "repeat").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "l", "repeat")
-            hit = windows.join(again, ["gram", "l", "repeat"])
-            found = found.union(hit.groupBy("gram", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")) if merged else hit.select(columns))
+        found = self._scanned(few, merged).select(columns)
+        for more in self._split_hot(contexts, merged):
+            found = found.union(more.select(columns))
+        if merged:  # all of them include the anchor
+            found = found.groupBy("gram", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
         whole = classes.filter("n > 1").select("gram", "ctx", F.expr("shiftright(at, 10) & 1023").alias("l"), F.expr("at & 1023").alias("r"), F.lit(None).cast("long").alias("repeat"))
         spans = store.write(whole.select(columns).union(found), "spans")
-        store.drop("contexts", "windows", "anchors")
+        store.drop("contexts", "anchors", *self.parts)
         placed = met.select("gram", "ctx", "t1", "t2", F.shiftright("at", 20).alias("p")).join(spans, ["gram", "ctx"])
         return placed.select("t1", "t2", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + F.col("r")).alias("end"), *columns[4:])
 

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Letters whose full folding has several letters, and those that fold to another one than their lower case, of the scripts that charts use.
+LONG = ("ß", "ﬀ", "ﬁ", "ﬂ")
+SHORT = "".join(c for c in map(chr, range(0x80, 0x2000)) if len(c.casefold()) == len(c.lower()) == 1 and c.lower().casefold() != c.lower())
+
+
 def folded(text: Column) -> Column:
-    """Lower case with ß as ss, which covers the texts of European charts."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, ß as ss, ligatures as letters, and letters with several small forms as one."""
+    out = F.translate(F.lower(text), SHORT.lower(), SHORT.lower().casefold())
+    for c in LONG:
+        out = F.replace(out, F.lit(c), F.lit(c.casefold()))
+    # most texts have none of these
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(out)
 
 
 def quote_key(text: Column) -> Column:
@@ -33,10 +42,10 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
 
 
-@F.pandas_udf(StringType())
-def short_number(values: pd.Series) -> pd.Series:
-    """Numbers with six significant digits and no trailing zeros."""
-    return values.map(lambda x: None if pd.isna(x) else f"{x:g}")
+def short_number(value: Column) -> Column:
+    """Numbers with six significant digits and no trailing zeros, large and small ones with an exponent."""
+    shown = F.format_string("%.6g", value.cast("double"))
+    return F.when(value.isNotNull(), F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", ""))
 
 
 @F.pandas_udf(StringType())

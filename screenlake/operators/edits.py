@@ -72,5 +72,22 @@ def add_condition(evidence: DataFrame, patient_id: int, system: str, code: str,
     return evidence.unionByName(row)
 
 
+def add_observation(evidence: DataFrame, patient_id: int, loinc: str, display: str, value: float, unit: str, when: date) -> DataFrame:
+    """With one more result, which is the latest of its code or tests nothing."""
+    later = analyte(loinc) & (F.col("patient_id") == patient_id) & (F.col("date") >= F.lit(when))
+    if evidence.filter(later).limit(1).count():
+        raise NothingToEdit(f"{loinc} has a result as late already")
+    given = {"patient_id": patient_id, "kind": "observation", "system": "LOINC", "code": loinc, "display": display, "value": float(value), "unit": unit, "date": when, "seq": f"added-{loinc}-{when}"}
+    row = evidence.sparkSession.range(1).select(*[F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in evidence.schema])
+    return evidence.unionByName(row)
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """seq, side (before or after) and the columns of the rows that an edit took away or brought, which is what a key publishes of it."""
+    columns = [c for c in before.columns if c in after.columns]
+    side = lambda a, b, name: a.select(columns).exceptAll(b.select(columns)).withColumn("side", F.lit(name))
+    return side(before, after, "before").unionByName(side(after, before, "after"))
+
+
 def record_death(patients: DataFrame, patient_id: int, on: date) -> DataFrame:
     return patients.withColumn("deceased", F.when(F.col("patient_id") == patient_id, F.lit(on)).otherwise(F.col("deceased")))

@@ -2,55 +2,89 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions.text import quote_key
 
-# The line shapes of registry text.
+# The line shapes of registry text; bullets and numbers have one body.
 HEADER = r"(?i)^\s*(?:key\s+)?(inclusion|exclusion)\s+criteri(?:on|a)\b\s*:?\s*$"
-ITEM = r"^(\s*)(?:[*\-\x{2022}]|\(?\d+[.)]|[a-z][.)])\s+(\S.*)$"
+ITEM = r"^(\s*)(?:[*\-•]|\(?\d+[.)]|[a-z][.)])\s+(\S.*)$"
 BOILERPLATE = "the above information is not intended to contain all considerations relevant to a participant's potential participation in a clinical trial"
 
 
+def spans_of(text: str) -> list[tuple[int, str, str, int, int | None]]:
+    """Index, section, text, start and parent of the criteria in one text, in one pass with a stack of the open, less indented lines above."""
+    out, open_, section, offset = [], [], "unspecified", 0
+    for raw in text.split("\n"):
+        start, trimmed = offset, raw.strip()
+        offset += len(raw) + 1
+        if not trimmed or BOILERPLATE in trimmed.lower():
+            continue
+        if header := re.match(HEADER, trimmed):
+            section = header[1].lower()
+            continue
+        item = re.match(ITEM, raw)
+        indent, body = (len(item[1]), item[2].rstrip()) if item else (0, trimmed)
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()
+        parent = open_[-1] if open_ else None
+        own = parent[2] if parent else section
+        open_.append((indent, len(out), own))
+        out.append((len(out), own, body, start + raw.index(body), parent[1] if parent else None))
+    return out
+
+
 def segment(protocols: DataFrame) -> DataFrame:
     """nct_id, index, section, text, char_start, char_end, parent_index of the criteria in protocols(nct_id, text).
 
     One criterion a line, with its place in the text. Headers set the section of
     what follows, deeper indented lines belong to the last shallower one above,
-    and children have the section of their parent. Lines are windows of one
-    protocol, which is a page of text.
+    and children have the section of their parent. A task holds one text at a
+    time, in memory that grows with its length; nothing is shuffled. A null text
+    has no criteria.
     """
-    # the text up to a line gives its offset
-    lines = protocols.select("nct_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    order = Window.partitionBy("nct_id").orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("offset", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)))
-    trimmed = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    lines = lines.withColumn("trimmed", trimmed).filter((F.col("trimmed") != "") & ~F.lower("trimmed").contains(BOILERPLATE))
-    header = F.lower(F.nullif(F.regexp_extract("trimmed", HEADER, 1), F.lit("")))
-    lines = lines.withColumn("header", header).withColumn("own", F.coalesce(F.last("header", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("unspecified")))
-    item = F.col("raw").rlike(ITEM)
-    body = F.when(item, F.regexp_replace(F.regexp_extract("raw", ITEM, 2), r"\s+$", "")).otherwise(F.col("trimmed"))
-    spans = lines.filter("header IS NULL").select(
-        "nct_id",
-        (F.row_number().over(order) - 1).cast("int").alias("index"),
-        F.when(item, F.length(F.regexp_extract("raw", ITEM, 1))).otherwise(0).alias("indent"),
-        "own",
-        body.alias("text"),
-        (F.col("offset") + F.position(body, F.col("raw")) - 1).alias("char_start"),
-    )
-    # the last line above that is less indented; a protocol's lines as an array, so no join is needed
-    seen = F.collect_list(F.struct("indent", "index", "own")).over(Window.partitionBy("nct_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
-    shallower = F.filter("seen", lambda x: x["indent"] < F.col("indent"))
-    spans = spans.withColumn("seen", seen).withColumn("parent_index", F.try_element_at(shallower, F.lit(-1))["index"])
-    # the section of a child is that of its topmost ancestor: the last line above without indent below its own chain
-    top = F.aggregate(
-        F.reverse("seen"),
-        F.struct(F.col("indent").alias("indent"), F.col("own").alias("own")),
-        lambda acc, x: F.when(x["indent"] < acc["indent"], F.struct(x["indent"].alias("indent"), x["own"].alias("own"))).otherwise(acc),
-    )
-    return spans.select("nct_id", "index", top["own"].alias("section"), "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "parent_index")
+    shape = f"nct_id {dict(protocols.dtypes)['nct_id']}, index int, section string, text string, char_start long, char_end long, parent_index int"
+    names = [x.split()[0] for x in shape.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = spans_of(batch.column(1)[i].as_py() or "")
+                if found:
+                    index, section, text, start, parent = zip(*found, strict=True)
+                    cols = [pa.array(index, pa.int32()), pa.array(section), pa.array(text), pa.array(start, pa.int64()), pa.array([s + len(t) for s, t in zip(start, text, strict=True)], pa.int64()), pa.array(parent, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found))), *cols], names=names)
+
+    return protocols.select("nct_id", "text").mapInArrow(run, shape)
+
+
+def rendered_units(units: DataFrame) -> DataFrame:
+    """units with prompt: the section and the lines of a unit, the first as it is and those below it as a list."""
+    lines = F.transform("lines", lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("  - "), x)))
+    return units.withColumn("prompt", F.concat(F.lit("Section: "), F.col("section"), F.lit("\n"), F.array_join(lines, "\n")))
+
+
+def ordinal_ids(criteria: DataFrame) -> DataFrame:
+    """criteria(nct_id, kind, ord) with criterion_id: INC-01, EXC-01 and so on in order within a trial and kind."""
+    place = F.row_number().over(Window.partitionBy("nct_id", "kind").orderBy("ord")).cast("string")
+    shown = F.when(F.length(place) < 2, F.lpad(place, 2, "0")).otherwise(place)
+    return criteria.withColumn("criterion_id", F.concat(F.when(F.col("kind") == "inclusion", "INC-").otherwise("EXC-"), shown))
+
+
+def fingerprints(protocols: DataFrame) -> DataFrame:
+    """nct_id, sha256 of the text that criteria were compiled from."""
+    return protocols.select("nct_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+def downgraded(criteria: DataFrame, protocols: DataFrame) -> DataFrame:
+    """criteria with type and reason: those whose quote the protocol has not become unsupported."""
+    wrong = unfaithful_quotes(criteria, protocols).select("nct_id", "criterion_id", F.lit(True).alias("wrong")).distinct()
+    rows = criteria.join(wrong, ["nct_id", "criterion_id"], "left")
+    return rows.withColumn("type", F.when(F.col("wrong"), "unsupported").otherwise(F.col("type"))).withColumn("reason", F.when(F.col("wrong"), "the quote is not in the protocol")).drop("wrong")
 
 
 def plan_units(spans: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Screening: criteria against evidence under three-valued logic.
 
-One pass over the evidence serves all criteria. The lookups of a protocol (a
-kind, a concept, a window) are a small broadcast table; evidence meets it by an
-equi-join on kind and code, and one aggregation by patient keeps, for each
+One pass over the evidence serves all criteria of all protocols. Their lookups
+(a kind, a concept, a window) are a small broadcast table; evidence meets it by
+one join on kind and code, and one aggregation by patient keeps, for each
 lookup, the latest row. Verdicts are then nullable booleans of columns (true:
 met, false: not met, null: unknown), and the rollup works on an array in the
-patient's own row, so nothing moves again.
+patient's own row, so nothing moves again. Several protocols or policies are
+rows made from the same patient row.
 
 evidence: patient_id, kind, system, code, display, value, unit, date, seq and
 optionally source; seq orders rows of the same date. Rows with several codes
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from screenlake.functions.dates import age_years, in_window, window_start
@@ -26,8 +28,8 @@ from screenlake.functions.units import convert
 from screenlake.plans.criteria import Composite, Criterion, Demographic, Observation, Presence, Protocol, Window, leaves
 
 POLICIES = ("coverage_gated", "closed_world", "open_world")
-#: A protocol with more lookups than this isn't one; their table is broadcast.
-MAX_LOOKUPS = 5000
+#: Lookups that one aggregation keeps; more are taken in several, joined by patient.
+WIDTH = 250
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,6 @@ def lookups(protocols: list[Protocol]) -> list[Lookup]:
                     found[Lookup(p.type, p.concept.text, p.concept.codes, p.window)] = None
                 if isinstance(p, Presence):
                     found[visits(p.window)] = None
-    if len(found) > MAX_LOOKUPS:
-        raise ValueError(f"more than {MAX_LOOKUPS} lookups")
     return list(found)
 
 
@@ -62,31 +62,42 @@ def _start(window: Window | None, as_of: date) -> date | None:
 
 
 def latest(evidence: DataFrame, wanted: list[Lookup], as_of: date) -> DataFrame:
-    """patient_id and a struct l0, l1, ... for each lookup: its latest row (value, unit, date, seq), null if none.
+    """patient_id and a struct l0, l1, ... for each lookup: its latest row (seq, date, value, unit, display), null if none.
 
     Dated rows come first, the latest before the others, ties in order of seq.
     """
+    out = None
+    for first in range(0, max(len(wanted), 1), WIDTH):
+        part = _latest(evidence, wanted, range(first, min(first + WIDTH, len(wanted))), as_of)
+        out = part if out is None else out.join(part, "patient_id", "full_outer")
+    return out
+
+
+def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: date) -> DataFrame:
     spark = evidence.sparkSession
-    coded = [(i, x.kind, s, c) for i, x in enumerate(wanted) for s, c in x.codes]
-    by_text = [(i, x.kind, x.text) for i, x in enumerate(wanted) if not x.codes and x.kind != "encounter"]
-    by_kind = [(i, x.kind) for i, x in enumerate(wanted) if x.kind == "encounter"]
+    mine = [(i, wanted[i]) for i in places]
+    by_code: dict[tuple[str, str, str], list[int]] = {}
+    for i, x in mine:
+        for s, c in x.codes:
+            by_code.setdefault((x.kind, s, c), []).append(i)
     rows = evidence if "source" in evidence.columns else evidence.withColumn("source", F.lit("structured"))
-    rows = rows.filter(F.col("kind").isin(sorted({x.kind for x in wanted}))).filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of)))
-    hits = rows.join(F.broadcast(spark.createDataFrame(coded, "lookup int, kind string, system string, code string")), ["kind", "system", "code"])
-    columns = ["patient_id", "lookup", "value", "unit", "date", "seq"]
-    hits = hits.select(columns)
-    if by_text:
-        texts = F.broadcast(spark.createDataFrame(by_text, "lookup int, wanted_kind string, wanted_text string"))
-        named = rows.filter((F.col("source") != "narrative") & (F.trim("display") != ""))
-        hits = hits.union(named.join(texts, (F.col("kind") == F.col("wanted_kind")) & folded(F.col("display")).contains(folded(F.col("wanted_text")))).select(columns))
-    if by_kind:
-        hits = hits.union(rows.join(F.broadcast(spark.createDataFrame(by_kind, "lookup int, kind string")), "kind").select(columns))
-    inside = F.lit(False)
-    for i, x in enumerate(wanted):
-        counts = in_window(F.col("date"), x.window.relation if x.window else None, _start(x.window, as_of), as_of)
-        inside = F.when(F.col("lookup") == i, counts).otherwise(inside)
-    first = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit")
-    return hits.filter(inside).groupBy("patient_id").agg(*[F.min(F.when(F.col("lookup") == i, first)).alias(f"l{i}") for i in range(len(wanted))])
+    rows = rows.filter(F.col("kind").isin(sorted({x.kind for _, x in mine}))).filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of)))
+    # at most a row for each code of the protocols
+    coded = F.broadcast(spark.createDataFrame([(*k, v) for k, v in by_code.items()], "kind string, system string, code string, coded array<int>"))
+    rows = rows.join(coded, ["kind", "system", "code"], "left")
+    none = F.array().cast("array<int>")
+    named = (F.col("source") != "narrative") & (F.trim("display") != "")
+    others = []
+    for i, x in mine:
+        if x.kind == "encounter":
+            others.append(F.when(F.col("kind") == "encounter", F.lit(i)))
+        elif not x.codes:
+            others.append(F.when((F.col("kind") == x.kind) & named & folded(F.col("display")).contains(F.lit(x.text.casefold())), F.lit(i)))
+    hits = F.concat(F.coalesce("coded", none), F.array_compact(F.array(*others)) if others else none)
+    rows = rows.select("patient_id", "date", "seq", "value", "unit", "display", F.explode(hits).alias("lookup"))
+    first = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit", "display")
+    counts = {i: in_window(F.col("date"), x.window.relation if x.window else None, _start(x.window, as_of), as_of) for i, x in mine}
+    return rows.groupBy("patient_id").agg(*[F.min(F.when((F.col("lookup") == i) & counts[i], first)).alias(f"l{i}") for i, _ in mine])
 
 
 def _compare(x: Column, op: str, value, high=None) -> Column:
@@ -95,8 +106,18 @@ def _compare(x: Column, op: str, value, high=None) -> Column:
     return {"<": x < value, "<=": x <= value, ">": x > value, ">=": x >= value, "==": x == value, "!=": x != value}[op]
 
 
-def verdict(p, place: dict[Lookup, int], as_of: date, policy: str) -> Column:
-    """A predicate as a nullable boolean: a decisive member settles a composite whatever its siblings are."""
+def verdict(p, place: dict, as_of: date, policy: str) -> Column:
+    """A predicate as a nullable boolean: a decisive member settles a composite whatever its siblings are.
+
+    Made once for each predicate and policy and kept beside the places of the lookups.
+    """
+    made = place.setdefault("made", {})
+    if (p, policy, as_of) not in made:
+        made[p, policy, as_of] = _verdict(p, place, as_of, policy)
+    return made[p, policy, as_of]
+
+
+def _verdict(p, place: dict, as_of: date, policy: str) -> Column:
     if isinstance(p, Composite):
         members = [verdict(x, place, as_of, policy) for x in p.operands]
         if p.type == "not":
@@ -117,7 +138,7 @@ def verdict(p, place: dict[Lookup, int], as_of: date, policy: str) -> Column:
     if isinstance(p, Demographic):
         if p.field == "age":
             return _compare(age_years(F.col("birth_date"), F.lit(as_of)), p.op, F.lit(float(p.value)))
-        equal = folded(F.col("sex")) == folded(F.lit(str(p.value)))
+        equal = folded(F.col("sex")) == str(p.value).casefold()
         return equal if p.op == "==" else ~equal
     return F.lit(None).cast("boolean")
 
@@ -146,13 +167,11 @@ def dead(as_of: date) -> Column:
     return F.coalesce(F.col("deceased") <= F.lit(as_of), F.lit(False)) | F.coalesce("deceased_undated", F.lit(False))
 
 
-def criterion_results(patients: DataFrame, evidence: DataFrame, protocol: Protocol, as_of: date, policy: str = POLICIES[0]) -> DataFrame:
-    """patients with results: an array of criterion_id, kind, ord, verdict, blocking and caveats, for those not dead by as_of."""
-    wanted = lookups([protocol])
-    place = {x: i for i, x in enumerate(wanted)}
-    alive = patients.filter(~dead(as_of))
-    rows = alive.join(latest(evidence, wanted, as_of), "patient_id", "left") if wanted else alive
+RESULTS = "array<struct<criterion_id:string,kind:string,ord:int,verdict:boolean,blocking:boolean,caveats:array<string>>>"
+
 
+def _results(protocol: Protocol, place: dict[Lookup, int], as_of: date, policy: str) -> Column:
+    """The results of one protocol as an array column."""
     def one(i: int, c: Criterion) -> Column:
         return F.struct(
             F.lit(c.id).alias("criterion_id"),
@@ -163,8 +182,20 @@ def criterion_results(patients: DataFrame, evidence: DataFrame, protocol: Protoc
             F.array(*[F.lit(x) for x in caveats(c.predicate)]).cast("array<string>").alias("caveats"),
         )
 
-    shape = "array<struct<criterion_id:string,kind:string,ord:int,verdict:boolean,blocking:boolean,caveats:array<string>>>"
-    return rows.select(*patients.columns, F.array(*[one(i, c) for i, c in enumerate(protocol.criteria)]).cast(shape).alias("results"))
+    return F.array(*[one(i, c) for i, c in enumerate(protocol.criteria)]).cast(RESULTS)
+
+
+def looked_up(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date) -> tuple[DataFrame, dict[Lookup, int]]:
+    """Patients alive at as_of with the latest row of every lookup, and the place of each lookup."""
+    wanted = lookups(protocols)
+    alive = patients.filter(~dead(as_of))
+    return (alive.join(latest(evidence, wanted, as_of), "patient_id", "left") if wanted else alive), {x: i for i, x in enumerate(wanted)}
+
+
+def criterion_results(patients: DataFrame, evidence: DataFrame, protocol: Protocol, as_of: date, policy: str = POLICIES[0]) -> DataFrame:
+    """patients with results: an array of criterion_id, kind, ord, verdict, blocking and caveats, for those not dead by as_of."""
+    rows, place = looked_up(patients, evidence, [protocol], as_of)
+    return rows.select(*patients.columns, _results(protocol, place, as_of, policy).alias("results"))
 
 
 def settle(results: DataFrame, settlements: DataFrame, nct_id: str) -> DataFrame:
@@ -224,25 +255,71 @@ def screen(patients: DataFrame, evidence: DataFrame, protocol: Protocol, as_of:
     results = criterion_results(patients, evidence, protocol, as_of, policy)
     if settlements is not None:
         results = settle(results, settlements, protocol.nct_id)
-    decided = roll_up(results).withColumn("blocked_by", F.lit(None).cast("string"))
+    return _with_the_dead(roll_up(results), patients.filter(dead(as_of)))
+
+
+def _with_the_dead(rolled: DataFrame, gone: DataFrame) -> DataFrame:
+    decided = rolled.withColumn("blocked_by", F.lit(None).cast("string"))
     none = F.array().cast("array<string>")
-    gone = patients.filter(dead(as_of)).withColumns({
+    gone = gone.withColumns({
         "results": F.array().cast(decided.schema["results"].dataType), "deciding_ids": none, "unresolved_ids": none, "deferred_ids": none,
         "decision": F.lit("ineligible"), "coverage": F.lit(1.0), "forced_decision": F.lit("eligible"), "blocked_by": F.lit("deceased"),
     })
     return decided.unionByName(gone)
 
 
+def screen_all(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policies: tuple[str, ...] = POLICIES[:1]) -> DataFrame:
+    """screen() for several protocols and policies at once: nct_id and policy lead the columns.
+
+    Evidence is read and aggregated once; each pair is a row made from the patient's own.
+    """
+    rows, place = looked_up(patients, evidence, protocols, as_of)
+    pairs = [(p, policy) for p in protocols for policy in policies]
+    each = F.explode(F.array(*[F.struct(F.lit(p.nct_id).alias("nct_id"), F.lit(policy).alias("policy"), _results(p, place, as_of, policy).alias("results")) for p, policy in pairs]))
+    results = rows.select(*patients.columns, each.alias("x")).select("x.nct_id", "x.policy", *patients.columns, "x.results")
+    names = F.explode(F.array(*[F.struct(F.lit(p.nct_id).alias("nct_id"), F.lit(policy).alias("policy")) for p, policy in pairs]))
+    gone = patients.filter(dead(as_of)).select("*", names.alias("x")).select("x.nct_id", "x.policy", *patients.columns)
+    return _with_the_dead(roll_up(results), gone)
+
+
+def measures(screenings: DataFrame) -> DataFrame:
+    """Adds criteria_total, criteria_resolved (of those that the record should settle), at_visit_ids, settled coverage and all distinct caveats in order."""
+    blocks = F.filter("results", lambda r: r["blocking"])
+    return screenings.withColumns({
+        "criteria_total": F.size(blocks),
+        "criteria_resolved": F.size(F.filter(blocks, lambda r: r["verdict"].isNotNull())),
+        "at_visit_ids": _ids(F.filter("results", lambda r: r["verdict"].isNull() & ~r["blocking"])),
+        "all_caveats": F.array_distinct(F.flatten(F.transform("results", lambda r: r["caveats"]))),
+    })
+
+
 def worklist(screenings: DataFrame) -> DataFrame:
-    """patient_id, criterion_id, ord of what the record should settle and does not, for patients not ruled out."""
-    return screenings.filter("decision = 'needs_review'").select("patient_id", F.explode("results").alias("r")).filter("r.verdict IS NULL AND r.blocking").select("patient_id", "r.criterion_id", "r.ord")
+    """patient_id, criterion_id, ord (and nct_id, if there) of what the record should settle and does not, in every screening that read criteria."""
+    lead = [c for c in ("nct_id", "policy") if c in screenings.columns]
+    return screenings.select(*lead, "patient_id", F.explode("results").alias("r")).filter("r.verdict IS NULL AND r.blocking").select(*lead, "patient_id", "r.criterion_id", "r.ord")
+
 
+def blockers(screenings: DataFrame, reasons: DataFrame | None = None, quotes: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """nct_id, criterion_id, n, screenings (of its own trial, all of them), reason, missing, quote, others: the criteria that leave most screenings open.
 
-def blockers(screenings: DataFrame, top: int = 10) -> DataFrame:
-    """criterion_id, n, screenings: the criteria that leave most screenings open, with all screenings as the denominator."""
-    counted = worklist(screenings).groupBy("criterion_id").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    total = screenings.agg(F.count("*").alias("screenings"))
-    return counted.crossJoin(F.broadcast(total)).orderBy(F.desc("n"), "ord").limit(top).select("criterion_id", "n", "screenings")  # one total
+    Ties keep the order in which the criteria were met, by patient and place;
+    reason and missing are those of the first patient. others counts the
+    criteria beyond the top. reasons: nct_id, criterion_id, patient_id,
+    rationale, missing; quotes: nct_id, criterion_id, quote.
+    """
+    key = ["nct_id", "criterion_id"]
+    counted = worklist(screenings).groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("patient_id", "ord")).alias("met"))
+    total = screenings.groupBy("nct_id").agg(F.count("*").alias("screenings"))
+    out = counted.join(F.broadcast(total), "nct_id")  # a row a trial
+    if reasons is not None:
+        first = reasons.select(*key, "patient_id", F.col("rationale").alias("reason"), "missing")
+        out = out.join(first, (out.nct_id == first.nct_id) & (out.criterion_id == first.criterion_id) & (out.met["patient_id"] == first.patient_id), "left").drop(first.nct_id, first.criterion_id, first.patient_id)
+    if quotes is not None:
+        out = out.join(quotes.select(*key, "quote"), key, "left")
+    # a row a criterion of a protocol
+    order = Over.orderBy(F.desc("n"), "met")
+    out = out.withColumn("place", F.row_number().over(order)).withColumn("others", F.greatest(F.count("*").over(Over.partitionBy()) - F.lit(top), F.lit(0)))
+    return out.filter(F.col("place") <= top).drop("met")
 
 
 def verdict_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from screenlake.functions import dates, stats, text, units
-from screenlake.operators import chart, edits, lookups, metrics, protocol_text, screening
+from screenlake.operators import edits, lookups, metrics, protocol_text, screening
+from screenlake.plans import oracles
 from screenlake.plans.criteria import Composite, Concept, Criterion, Demographic, Observation, Presence, Protocol, Unsupported, Window
 from screenlake.sources import fhir
 from screenlake.sources.testdata import EVIDENCE_SQL, PATIENTS_DUCKDB, evidence, patients
@@ -31,6 +33,17 @@ PROTOCOL = Protocol("NCT-A", (
 ))
 
 
+GLUCOSE = Concept("Glucose", (("LOINC", "2345-7"),))
+LOW = Concept("low priority", (("SNOMED", "5-LOW"),))
+SECOND = Protocol("NCT-B", (
+    Criterion("INC-01", "inclusion", Demographic("age", "<=", 85)),
+    Criterion("INC-02", "inclusion", Observation(GLUCOSE, ">=", 5, "mg/dL", None, Window("within", 18, "months"))),
+    Criterion("EXC-01", "exclusion", Presence("condition", LOW, "present", Window("within", 9, "months"))),
+    Criterion("EXC-02", "exclusion", Unsupported("the investigator's view")),
+    Criterion("EXC-03", "exclusion", Demographic("sex", "!=", "Female")),
+))
+
+
 def tables(spark, d):
     return patients(spark, d), evidence(spark, d)
 
@@ -45,11 +58,16 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return patients(spark, d).filter("patient_id % 7 = 0").select(F.lit("NCT-A").alias("nct_id"), "patient_id", F.lit("INC-02").alias("criterion_id"), F.expr("if(patient_id % 2 = 0, 'MET', 'NOT_MET')").alias("verdict"))
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of an arm that screens with one policy against a key that screens with another."""
-    key = screened(spark, d, "closed_world").select("patient_id", F.col("decision").alias("expected"))
-    rows = [screened(spark, d, p).select("patient_id", F.lit(p).alias("arm"), "decision", "forced_decision", F.col("coverage").alias("criteria_coverage"), F.coalesce("blocked_by", F.lit("none")).alias("trap"), F.expr("if(patient_id % 3 = 0, 'constructed', 'recorded')").alias("provenance")) for p in ("coverage_gated", "open_world")]
-    return rows[0].union(rows[1]).join(key, "patient_id").withColumn("case_id", F.col("patient_id").cast("string"))
+def scores(spark: SparkSession, d: str, key: str = "closed_world") -> DataFrame:
+    """Scores of two arms that screen with one policy each against a key that screens with another: one screening, three policies."""
+    rows = screening.screen_all(*tables(spark, d), [PROTOCOL], AS_OF, ("coverage_gated", "open_world", "closed_world"))
+    expected = F.max(F.when(F.col("policy") == key, F.col("decision"))).over(Over.partitionBy("patient_id"))
+    rows = rows.select("patient_id", F.col("policy").alias("arm"), "decision", "forced_decision", F.col("coverage").alias("criteria_coverage"), F.coalesce("blocked_by", F.lit("none")).alias("trap"), F.expr("if(patient_id % 3 = 0, 'constructed', 'recorded')").alias("provenance"), expected.alias("expected"))
+    return rows.filter("arm <> 'closed_world'").withColumn("case_id", F.col("patient_id").cast("string"))
+
+
+def both_trials(spark: SparkSession, d: str, policies=("coverage_gated",)) -> DataFrame:
+    return screening.screen_all(*tables(spark, d), [PROTOCOL, SECOND], AS_OF, policies)
 
 
 def raters(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +132,7 @@ QUERIES = {
     "screen_open_world": lambda s, d: screened(s, d, "open_world").select("patient_id", "decision"),
     "screen_closed_world": lambda s, d: screened(s, d, "closed_world").select("patient_id", "decision"),
     "worklist": lambda s, d: screening.worklist(screened(s, d)).select("patient_id", "criterion_id"),
-    "blockers_top10": lambda s, d: screening.blockers(screened(s, d)),
+    "blockers_top10": lambda s, d: screening.blockers(both_trials(s, d), top=4).select("nct_id", "criterion_id", "n", "screenings", "place", "others"),
     "settlements_applied": lambda s, d: long_verdicts(screened(s, d, settlements=answers(s, d))).filter("criterion_id = 'INC-02' AND verdict <> 'unknown'").select("patient_id", "verdict"),
     "settlements_refused": lambda s, d: screening.refused(screening.criterion_results(*tables(s, d), PROTOCOL, AS_OF), answers(s, d), "NCT-A"),
     "latest_in_window": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("observation", "Creatinine", CREATININE.codes, Window("within", 24, "months"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", day("l0.date").alias("date"), "l0.value", "l0.unit"),
@@ -133,12 +151,9 @@ QUERIES = {
     "perturb_convert_units": lambda s, d: edits.convert_units(evidence(s, d), "2160-0", "mg/L", 10.0).filter("code = '2160-0'").groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")),
     "perturb_remove_encounters": lambda s, d: edits.remove_encounters(evidence(s, d), date(1998, 1, 1)).filter("kind = 'encounter'").groupBy("patient_id").agg(F.count("*").alias("n"), F.max(day("date")).alias("last")),
     "verdict_diff": lambda s, d: screening.verdict_changes(screened(s, d), screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0"))).select("patient_id", "criterion_id", word(F.col("before")).alias("before"), word(F.col("after")).alias("after")),
-    "analyte_trend": lambda s, d: chart.analyte_trend(evidence(s, d)).withColumns({c: day(c) for c in ("first_date", "latest_date")}),
-    "latest_medication": lambda s, d: chart.latest_medication(evidence(s, d)).withColumn("latest_date", day("latest_date")),
-    "chart_counts": lambda s, d: chart.chart_counts(evidence(s, d)).withColumns({c: day(c) for c in ("first_date", "last_date")}),
     "segment_spans": lambda s, d: protocol_text.segment(documents_lines(s, d)),
     "concept_keys": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(text.concept_key(F.concat(F.lit("  "), F.col("p_type"), F.lit(" ., "))).alias("key")).agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n")),
-    "number_tokens": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(text.numbers(F.col("text")), 1, 5), " ").alias("first")),
+    "number_tokens": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(text.numbers(F.col("text")), " ").cast("binary")).alias("all_md5")),
     "cost_rollup": lambda s, d: metrics.cost_rollup(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("agent"), F.expr("if(event_id % 10 = 0, null, value)").alias("usd"))).select("agent", "calls", "priced", "unpriced", F.round("usd", 4).alias("usd")),
     "tape_replay": lambda s, d: lookups.replay(*tape(s, d), strict=False).groupBy("agent").agg(F.count("*").alias("requests"), F.count("response").alias("hits")),
     "concept_store_misses": lambda s, d: lookups.store_misses(concept_requests(s, d), concept_store(s, d)),
@@ -256,14 +271,20 @@ _SCORES = ", ".join([
 _ANSWERS = "answers AS (SELECT patient_id, patient_id % 2 = 0 AS answer FROM patients WHERE patient_id % 7 = 0)"
 _UNIT = lambda to: f"round(CASE WHEN value IS NULL THEN NULL ELSE {to} END, 6)"
 
+SECOND_SQL = oracles.second(AS_OF, _latest, _within, dates.window_start)
+
 SQL: dict[str, str] = {
     "screen_outcomes": _q("SELECT decision, blocked_by, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM decided GROUP BY ALL", _screen()),
     "screen_patients": _q("SELECT patient_id, decision, forced_decision, blocked_by, round(coverage, 6) AS coverage, deciding_ids, unresolved_ids, deferred_ids FROM decided", _screen()),
     "criterion_verdicts": _q(f"SELECT patient_id, criterion_id, {_word('verdict')} AS verdict, blocking FROM verdicts", _screen()),
     "screen_open_world": _q("SELECT patient_id, decision FROM decided", _screen("open_world")),
     "screen_closed_world": _q("SELECT patient_id, decision FROM decided", _screen("closed_world")),
-    "worklist": _q("SELECT patient_id, criterion_id FROM verdicts JOIN decided USING (patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND verdicts.blocking", _screen()),
-    "blockers_top10": _q("SELECT criterion_id, count(*) AS n, (SELECT count(*) FROM decided) AS screenings FROM verdicts JOIN decided USING (patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND verdicts.blocking GROUP BY criterion_id ORDER BY n DESC, min(ord) LIMIT 10", _screen()),
+    "worklist": _q("SELECT patient_id, criterion_id FROM verdicts WHERE verdict IS NULL AND blocking", _screen()),
+    "blockers_top10": _q("""SELECT nct_id, criterion_id, n, screenings, place, greatest(total - 4, 0) AS others FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY n DESC, first_patient, ord) AS INTEGER) AS place, count(*) OVER () AS total FROM (
+    SELECT nct_id, criterion_id, count(*) AS n, min(patient_id) AS first_patient, any_value(ord) AS ord, (SELECT count(*) FROM patients) AS screenings
+    FROM (SELECT 'NCT-A' AS nct_id, criterion_id, patient_id, ord, verdict, blocking FROM verdicts UNION ALL SELECT 'NCT-B', criterion_id, patient_id, ord, verdict, blocking FROM second)
+    WHERE verdict IS NULL AND blocking GROUP BY nct_id, criterion_id)) WHERE place <= 4""", _screen(), SECOND_SQL),
     "settlements_applied": _q(f"SELECT patient_id, {_word('coalesce(verdict, answer)')} AS verdict FROM verdicts LEFT JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND coalesce(verdict, answer) IS NOT NULL", _screen(), _ANSWERS),
     "settlements_refused": _q("SELECT patient_id, criterion_id FROM verdicts JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND verdict IS NOT NULL", _screen(), _ANSWERS),
     "latest_in_window": _q("SELECT patient_id, seq, CAST(date AS VARCHAR) AS date, value, unit FROM l", _latest("l", f"kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}")),
@@ -298,23 +319,20 @@ SELECT n, round(agree / n, 9) AS observed, round(chance / (n * n), 9) AS expecte
     "fhir_evidence": """SELECT CAST(o_custkey AS VARCHAR) AS patient_id, 'observation' AS kind, 'LOINC' AS system, '8480-6' AS code, 'Systolic' AS display, o_totalprice AS value, 'mm[Hg]' AS unit, strftime(o_orderdate, '%Y-%m-%d') AS date,
   lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR), 8, '0') || '-0000' AS seq FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
     "fhir_patients": f"SELECT CAST(patient_id AS VARCHAR) AS patient_id, CAST(birth_date AS VARCHAR) AS birth_date, sex, CAST(deceased AS VARCHAR) AS deceased, deceased_undated AND deceased IS NULL AS deceased_undated FROM ({PATIENTS_DUCKDB})",
-    "quote_fidelity": "SELECT doc_id AS nct_id, 'INC-01' AS criterion_id FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0",
+    "quote_fidelity": oracles.QUOTES,
     "perturb_convert_units": _q("SELECT CASE WHEN value IS NULL THEN unit ELSE 'mg/L' END AS unit, count(*) AS n, round(sum(value * 10.0), 3) AS total FROM evidence WHERE kind = 'observation' AND code = '2160-0' GROUP BY 1"),
     "perturb_remove_encounters": _q("SELECT patient_id, count(*) AS n, CAST(max(date) AS VARCHAR) AS last FROM evidence WHERE kind = 'encounter' AND date <= DATE '1998-01-01' GROUP BY patient_id"),
     "verdict_diff": _q(f"SELECT a.patient_id, a.criterion_id, {_word('a.verdict')} AS before, {_word('b.verdict')} AS after FROM verdicts a JOIN verdicts_r b ON a.patient_id = b.patient_id AND a.criterion_id = b.criterion_id WHERE a.verdict IS DISTINCT FROM b.verdict", _REDACTED, _screen(), _screen(ev="redacted", tag="_r")),
-    "analyte_trend": _q("""SELECT patient_id, code, n, CAST(first_date AS VARCHAR) AS first_date, value AS latest, unit, CAST(date AS VARCHAR) AS latest_date, previous,
-  CASE WHEN previous IS NULL THEN NULL WHEN previous_unit <> unit THEN 'unit changed' WHEN value > previous THEN 'rising' WHEN value < previous THEN 'falling' ELSE 'unchanged' END AS trend
- FROM (SELECT *, lead(value) OVER w AS previous, lead(unit) OVER w AS previous_unit, row_number() OVER w AS k, count(*) OVER (PARTITION BY patient_id, code) AS n, min(date) OVER (PARTITION BY patient_id, code) AS first_date
-  FROM evidence WHERE kind = 'observation' AND value IS NOT NULL WINDOW w AS (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq)) WHERE k = 1"""),
-    "latest_medication": _q("SELECT patient_id, code AS drug, n AS orders, CAST(date AS VARCHAR) AS latest_date, display FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, code ORDER BY date DESC NULLS LAST, seq) AS k, count(*) OVER (PARTITION BY patient_id, code) AS n FROM evidence WHERE kind = 'medication') WHERE k = 1"),
-    "chart_counts": _q("SELECT patient_id, kind, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, CAST(year(max(date)) - year(min(date)) AS INTEGER) AS span_years FROM evidence GROUP BY ALL"),
     "concept_keys": "SELECT lower(p_type) AS key, min(p_partkey) AS first_part, count(*) AS n FROM part GROUP BY 1",
-    "number_tokens": r"SELECT doc_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '\d+(?:\.\d+)?')[1:5], ' ') AS first FROM documents",
+    "number_tokens": r"SELECT doc_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, md5(array_to_string(regexp_extract_all(text, '\d+(?:\.\d+)?'), ' ')) AS all_md5 FROM documents",
     "cost_rollup": "SELECT event_type AS agent, count(*) AS calls, count(*) FILTER (event_id % 10 <> 0) AS priced, count(*) FILTER (event_id % 10 = 0) AS unpriced, round(coalesce(sum(CASE WHEN event_id % 10 <> 0 THEN value END), 0), 4) AS usd FROM events GROUP BY ROLLUP (event_type)",
     "tape_replay": "WITH c AS (SELECT conv_id, role AS agent, coalesce(text, '') AS u FROM conversations), r AS (SELECT DISTINCT agent, u FROM c WHERE conv_id % 2 = 1) SELECT c.agent, count(*) AS requests, count(r.u) AS hits FROM c LEFT JOIN r ON c.agent = r.agent AND c.u = r.u GROUP BY c.agent",
     "concept_store_misses": "SELECT DISTINCT lower(p_name) AS key FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 2 = 0 AND p_size > 45)",
     "adjudicated_labels": """WITH a AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l FROM labels), b AS (SELECT doc_id AS pair_id, CASE WHEN toxic = 1 THEN 'no' ELSE 'yes' END AS l FROM labels WHERE doc_id % 11 <> 0)
 SELECT pair_id, a.l AS first, b.l AS second, CASE WHEN a.l = b.l THEN a.l WHEN b.l IS NOT NULL AND pair_id % 2 = 0 THEN 'yes' END AS label, (a.l = b.l OR (b.l IS NOT NULL AND pair_id % 2 = 0)) IS NOT TRUE AS open FROM a LEFT JOIN b USING (pair_id)""",
+    "clopper_pearson": oracles.CLOPPER_PEARSON,
+    "segment_spans": oracles.SPANS + " SELECT nct_id, index, section, text, char_start, char_end, parent_index FROM spans",
+    "span_claims": oracles.CLAIMS + " SELECT nct_id, claim, count(*) AS n FROM claims GROUP BY ALL",
     "duplicate_ids": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }
 FLAGSHIP = "screen_outcomes"

@@ -70,7 +70,7 @@ def status(concept: Column) -> Column:
 
 
 def entries(bundles: DataFrame) -> DataFrame:
-    """patient_id, n_patients, position, full_url, type, resource (JSON), medications (reference to JSON) of every entry with a resource."""
+    """patient_id, n_patients, position, type, id, resource (JSON), medication (JSON of the one that an order refers to) of every entry with a resource."""
     parsed = F.from_json("bundle", "entry array<struct<fullUrl:string,resource:string>>")["entry"]
     typed = F.transform(parsed, lambda e, i: F.named_struct(F.lit("position"), i, F.lit("full_url"), e["fullUrl"], F.lit("type"), F.get_json_object(e["resource"], "$.resourceType"), F.lit("id"), F.get_json_object(e["resource"], "$.id"), F.lit("resource"), e["resource"]))
     rows = bundles.select(F.filter(typed, lambda e: F.coalesce(e["type"] != "", F.lit(False))).alias("entries"))
@@ -78,10 +78,12 @@ def entries(bundles: DataFrame) -> DataFrame:
     drugs = F.filter("entries", lambda e: e["type"] == "Medication")
     name = lambda e: F.coalesce(_text(e["id"]), F.concat(F.lit("entry-"), e["position"]))
     # the first resource under a key wins
-    keyed = F.flatten(F.transform(drugs, lambda e: F.filter(F.transform(F.array(e["full_url"], F.concat(F.lit("Medication/"), name(e)), name(e)), lambda k: F.named_struct(F.lit("k"), k, F.lit("v"), e["resource"])), lambda x: F.coalesce(x["k"] != "", F.lit(False)))))
-    once = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, 1, i), lambda y: y["k"] == x["k"]))
-    rows = rows.select(F.try_element_at(F.transform(people, name), F.lit(1)).alias("patient_id"), F.size(people).alias("n_patients"), F.map_from_entries(once).alias("medications"), F.explode("entries").alias("e"))
-    return rows.select("patient_id", "n_patients", "e.position", "e.type", "e.resource", "medications")
+    keyed = F.flatten(F.transform(drugs, lambda e: F.filter(F.transform(F.array(e["full_url"], F.concat(F.lit("Medication/"), name(e)), name(e)), lambda k: F.named_struct(F.lit("k"), k, F.lit("at"), e["position"], F.lit("v"), e["resource"])), lambda x: F.coalesce(x["k"] != "", F.lit(False)))))
+    rows = rows.withColumn("people", people).withColumn("keyed", F.array_sort(keyed))
+    once = F.filter("keyed", lambda x, i: (i == 0) | (F.get("keyed", i - 1)["k"] != x["k"]))
+    rows = rows.withColumn("drugs", F.map_from_entries(F.transform(once, lambda x: F.struct(x["k"], x["v"]))))
+    rows = rows.select(F.try_element_at(F.transform("people", name), F.lit(1)).alias("patient_id"), F.size("people").alias("n_patients"), F.explode(F.transform("entries", lambda e: F.struct(e.alias("e"), F.when(e["type"] == "MedicationRequest", F.try_element_at("drugs", F.get_json_object(e["resource"], "$.medicationReference.reference"))).alias("medication")))).alias("x"))
+    return rows.select("patient_id", "n_patients", "x.e.position", "x.e.type", name(F.col("x.e")).alias("id"), "x.e.resource", "x.medication")
 
 
 def _checked(rows: DataFrame) -> DataFrame:
@@ -126,9 +128,9 @@ def evidence(bundles: DataFrame) -> DataFrame:
 
     inline = F.get_json_object("resource", "$.medicationCodeableConcept").isNotNull()
     reference = F.nullif(r["medicationReference"]["reference"], F.lit(""))
-    referred = F.from_json(F.try_element_at("medications", reference), f"code {CONCEPT}")["code"]
+    referred = F.from_json("medication", f"code {CONCEPT}")["code"]
     concept = F.when(inline, r["medicationCodeableConcept"]).otherwise(referred)
-    missing = F.when(~inline & reference.isNotNull() & F.try_element_at("medications", reference).isNull(), F.coalesce(_text(r["medicationReference"]["display"]), F.concat(F.lit(f"{UNRESOLVED_MEDICATION} "), reference))).otherwise(F.lit(NO_MEDICATION_CODE))
+    missing = F.when(~inline & reference.isNotNull() & F.col("medication").isNull(), F.coalesce(_text(r["medicationReference"]["display"]), F.concat(F.lit(f"{UNRESOLVED_MEDICATION} "), reference))).otherwise(F.lit(NO_MEDICATION_CODE))
     medication = F.array(fact(label(concept, missing), codes(concept), written_date(r["authoredOn"])))
 
     procedure = F.array(fact(named, codes(r["code"]), first_date(r["performedDateTime"], r["performedPeriod"]["start"])))
@@ -140,7 +142,58 @@ def evidence(bundles: DataFrame) -> DataFrame:
     facts = F.when(F.col("type") == "Observation", observation).when(F.col("type") == "Condition", condition).when(F.col("type") == "MedicationRequest", medication).when(F.col("type") == "Procedure", procedure).otherwise(encounter)
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     withdrawn = (F.col("type") == "Condition") & F.coalesce(status(r["verificationStatus"]).isin(*RETRACTED), F.lit(False))
-    rows = rows.filter(~withdrawn).select("patient_id", kinds[F.col("type")].alias("kind"), "position", F.posexplode(facts).alias("part", "f"))
+    rows = rows.filter(~withdrawn).select("patient_id", kinds[F.col("type")].alias("kind"), F.col("type").alias("resource_type"), F.col("id").alias("resource_id"), F.format_string("Bundle.entry[%d].resource", "position").alias("fhir_path"), "position", F.posexplode(facts).alias("part", "f"))
     seq = F.concat_ws("-", F.lpad(F.col("position").cast("string"), 8, "0"), F.lpad(F.col("part").cast("string"), 4, "0"))
-    rows = rows.select("patient_id", "kind", F.explode_outer("f.codes").alias("c"), "f.display", "f.value", "f.unit", "f.date", seq.alias("seq"), F.lit("structured").alias("source"))
-    return rows.select("patient_id", "kind", "c.system", "c.code", "display", "value", "unit", "date", "seq", "source")
+    record = ["resource_type", "resource_id", "fhir_path"]
+    rows = rows.select("patient_id", "kind", F.explode_outer("f.codes").alias("c"), "f.display", "f.value", "f.unit", "f.date", seq.alias("seq"), F.lit("structured").alias("source"), *record)
+    return rows.select("patient_id", "kind", "c.system", "c.code", "display", "value", "unit", "date", "seq", "source", *record)
+
+
+def embedded_notes(bundles: DataFrame) -> DataFrame:
+    """patient_id, resource_id, fhir_path, date, text: the text attachments of a bundle's documents, which are no evidence by themselves.
+
+    Attachments that are not text, not strict base64 or not UTF-8 are left out; a document without any gives no row.
+    """
+    rows = _checked(entries(bundles)).filter("type = 'DocumentReference'")
+    rows = rows.withColumn("r", F.from_json("resource", "date string, content array<struct<attachment:struct<contentType:string,data:string>>>"))
+    raw = F.transform("r.content", lambda c: F.when(F.coalesce(F.ltrim(c["attachment"]["contentType"]).startswith("text/"), F.lit(True)), F.try_to_binary(c["attachment"]["data"], F.lit("base64"))))
+    texts = F.transform(F.filter(raw, lambda b: b.isNotNull()), lambda b: F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")))
+    told = F.array_join(F.filter(texts, lambda t: F.coalesce(t != "", F.lit(False))), "\n\n")
+    out = rows.select("patient_id", F.col("id").alias("resource_id"), F.format_string("Bundle.entry[%d].resource", "position").alias("fhir_path"), written_date(F.col("r.date")).alias("date"), told.alias("text"))
+    return out.filter("text <> ''")
+
+
+def dropped_types(bundles: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """type, n of the entries that trimming to some resource types leaves out."""
+    parsed = F.from_json("bundle", "entry array<struct<resource:string>>")["entry"]
+    types = bundles.select(F.explode(parsed).alias("e")).select(F.coalesce(F.get_json_object("e.resource", "$.resourceType"), F.lit("<unknown>")).alias("type"))
+    return types.filter(~F.col("type").isin(*allowed)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def trimmed(bundles: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """bundle with the entries of some resource types only, as they were."""
+    parsed = F.from_json("bundle", "entry array<string>")["entry"]
+    kept = F.filter(parsed, lambda e: F.coalesce(F.get_json_object(e, "$.resource.resourceType").isin(*allowed), F.lit(False)))
+    return bundles.withColumn("bundle", F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.array_join(kept, ","), F.lit("]}")))
+
+
+def summaries(bundles: DataFrame) -> DataFrame:
+    """One row a bundle with one patient: patient_id, birth_date, deceased, sex, condition names and codes, result codes, visits with first and last day, span_years, n_entries, n_bytes."""
+    rows = entries(bundles.withColumn("bundle", F.col("bundle"))).filter("n_patients = 1")
+    rows = rows.withColumn("r", F.from_json("resource", RESOURCE + ", birthDate string, gender string, deceasedDateTime string"))
+    coded = lambda c: F.coalesce(c["coding"], F.array().cast(CODING))
+    names = F.array_compact(F.concat(F.transform(coded(F.col("r.code")), lambda x: _text(x["display"])), F.array(_text(F.col("r.code.text")))))
+    own = F.transform(coded(F.col("r.code")), lambda x: _text(x["code"]))
+    parts = F.flatten(F.transform(F.coalesce("r.component", F.array().cast(f"array<struct<code:{CONCEPT},valueQuantity:{QUANTITY}>>")), lambda c: coded(c["code"])))
+    loinc = F.transform(F.filter(F.concat(coded(F.col("r.code")), parts), lambda x: x["system"] == "http://loinc.org"), lambda x: _text(x["code"]))
+    is_ = lambda t: F.col("type") == t
+    sets = lambda t, values: F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.when(is_(t), values))))))
+    day = F.substring(F.coalesce(F.get_json_object("resource", "$.period.end"), F.col("r.period.start")), 1, 10)
+    own_value = lambda c: F.max(F.when(is_("Patient"), F.col(c)))
+    out = rows.groupBy("patient_id").agg(
+        own_value("r.birthDate").alias("birth_date"), F.substring(own_value("r.deceasedDateTime"), 1, 10).alias("deceased"), own_value("r.gender").alias("sex"),
+        sets("Condition", names).alias("condition_names"), sets("Condition", own).alias("condition_codes"), sets("Observation", loinc).alias("result_codes"),
+        F.count_if(is_("Encounter")).alias("visits"), F.min(F.when(is_("Encounter"), day)).alias("first_visit"), F.max(F.when(is_("Encounter"), day)).alias("last_visit"),
+        F.count("*").alias("n_entries"), F.sum(F.octet_length("resource")).alias("n_bytes"),
+    )
+    return out.withColumn("span_years", F.coalesce(F.substring("last_visit", 1, 4).cast("int") - F.substring("first_visit", 1, 4).cast("int"), F.lit(0)))

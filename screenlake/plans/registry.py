@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from screenlake.plans import catalog, charts
+from screenlake.plans import catalog, charts, evaluation, texts
 
-QUERIES = catalog.QUERIES | charts.QUERIES
-SQL = catalog.SQL | charts.SQL
+QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES
+SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL
 FLAGSHIP = catalog.FLAGSHIP

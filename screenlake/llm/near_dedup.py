@@ -22,13 +22,19 @@ Only connected components are asked for, so no group is expanded into pairs:
 3. Components of the confirmed pairs. Keys whose classes are all in one
    component are done, however many classes those are.
 4. Classes of different components under one key are compared by signature.
-   A key with more than ``BUCKET`` classes is first filed again, under the key
-   and each of the other chunks (up to twice, which keeps the guarantee for 27
-   differing symbols); what is still larger is compared in pairs of blocks.
+   A key with more than ``BUCKET`` classes would be quadratic, so its classes are
+   joined exactly instead, whatever their signatures: two sets that are similar
+   enough share one of their rarest shingles (the prefix filter of set joins; the
+   smaller one even one of its rarest seventh). Shingles of one class alone drop
+   out, and with them all that a family has beside its common text. Prefixes
+   are compared by size and counts in the same way, in pairs of blocks if they
+   still have more than ``BUCKET`` classes.
 
 Documents without words have an empty set and are linked with nothing; a null
 doc_id is linked with nothing, has no component and is kept. Rows that repeat a
-doc_id are one document with several texts, linked through each of them.
+doc_id are one document with several texts, linked through each of them. Very
+long texts count whole. Other columns of the table, whatever their names, are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.llm.common import SharedTables, id_text, map_batches, texts_of
@@ -51,19 +57,20 @@ CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 FAR = 36
 BUCKET = 2048
-LEVELS = 3
 COUNTS = 128
 #: Counts stop here, and say nothing from then on.
 FULL = 2**16 - 1
 
 
 def _features(batch: pa.RecordBatch) -> dict:
-    sets = [shingle_set(x) for x in texts_of(batch)]
+    z, texts = zstandard.ZstdCompressor(3), texts_of(batch)
+    sets = [shingle_set(x) for x in texts]
     return {
         "doc_id": batch.column(0),
         "n_shingles": [len(x) for x in sets],
         "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
         "sig": [signature(x).tobytes() + counts(x).tobytes() if len(x) else None for x in sets],
+        "packed": [z.compress(x) if len(y) else None for x, y in zip(texts, sets, strict=True)],
     }
 
 
@@ -102,16 +109,16 @@ def _file(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "class_id"])
 
 
-def _file_again(batches):
-    """key, class_id, comp, sig under the key and each of the keys of the class."""
+def _shingles(batches):
+    """class_id, packed: a row for each shingle of each class."""
+    z = zstandard.ZstdDecompressor()
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            part = batch.slice(i, 1024)
-            old = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = chunk_keys(_sigs(part.column(3)))
-            new = mix(old[:, None] * np.uint64(0x9E3779B97F4A7C15) + keys)
-            take = np.repeat(np.arange(len(old)), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(new.ravel().view(np.int64)), *(part.column(c).take(pa.array(take)) for c in (1, 2, 3))], names=["key", "class_id", "comp", "sig"])
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            sets = [shingle_set(z.decompress(x)) for x in part.column(1).to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids), pa.array(np.repeat(size, size))], names=["key", "class_id", "size"])
 
 
 def _met(batches):
@@ -140,9 +147,9 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (waiting[0], waiting[1], waiting[1])], names=["key", "class_id", "rep"])
 
 
-def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def _near(a: np.ndarray, b: np.ndarray, percent: int, far: int = FAR) -> np.ndarray:
     """Which rows of a are near b (one row, or as many): few other symbols, and counts that allow the similarity."""
-    ok = (a[:, :SYMBOLS] != b[..., :SYMBOLS]).sum(1) <= FAR
+    ok = (a[:, :SYMBOLS] != b[..., :SYMBOLS]).sum(1) <= far
     at = np.flatnonzero(ok)
     if len(at):
         x, y = a[at, SYMBOLS:], b[SYMBOLS:] if b.ndim == 1 else b[at, SYMBOLS:]
@@ -159,22 +166,29 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + differ[np.arange(len(b)), chunk].argmax(1)
 
 
-def _compare(own_keys: bool, percent: int):
-    """Pairs of one key in different components with near signatures; rows are sorted by key, keys have BUCKET rows at most.
+def _compare(percent: int, prefixes: bool = False):
+    """Pairs of one key in different components with near signatures; rows (key, class_id, comp, sig) are sorted by key, keys have BUCKET rows at most.
 
-    With own_keys the keys are those of the signatures, and a pair that shares
-    several comes out under the first of them only.
+    The keys are those of the signatures, and a pair that shares several comes
+    out under the first of them only. With prefixes they are shingles, and rows
+    also have size and short: a pair counts if the smaller one is short.
     """
     def pairs(batch):
         key, cls, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         sig, found = _sigs(batch.column(3)), set()
+        size, short = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)) if prefixes else (None, None)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
-            for i in range(lo, hi - 1):
+            for i in range(lo, hi if prefixes else hi - 1):
+                if prefixes:
+                    if short[i]:
+                        j = np.arange(lo, hi)
+                        found |= _larger(cls[i], comp[i], size[i], sig[i], cls[j], comp[j], size[j], sig[j], percent)
+                    continue
                 j = np.arange(i + 1, hi)
                 j = j[comp[j] != comp[i]]
                 j = j[_near(sig[j], sig[i], percent)]
-                if own_keys and len(j):
+                if len(j):
                     j = j[chunk_keys(sig[i : i + 1])[0][_first_shared(sig[i], sig[j])].view(np.int64) == key[lo]]
                 found.update((min(cls[i], cls[x]), max(cls[i], cls[x])) for x in j)
         return found
@@ -202,16 +216,23 @@ def _edge_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _larger(cls, comp, size, sig, others, comps, sizes, sigs, percent: int) -> set[tuple[int, int]]:
+    """Pairs of one class with the others that are as large or larger, not too large, of other components, and have counts that allow the similarity."""
+    at = np.flatnonzero((comps != comp) & (sizes >= size) & (percent * sizes <= 100 * size))
+    at = at[_near(sigs[at], sig, percent, SYMBOLS)] if len(at) else at
+    return {(min(int(cls), x), max(int(cls), x)) for x in others[at].tolist()}
+
+
 def _compare_blocks(percent: int):
-    """The same for two blocks of a large key."""
+    """The same for two blocks of a large prefix; the rows to the left are short."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found: set = set()
         if len(left) and len(right):
-            s, t = (_sigs(pa.array(x.sig)) for x in (left, right))
-            for i, (c, k) in enumerate(zip(left.class_id, left.comp, strict=True)):
-                ok = (right.comp.to_numpy() != k) & _near(t, s[i], percent)
-                found += [(min(c, x), max(c, x)) for x in right.class_id.to_numpy()[ok]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+            s, t = _sigs(pa.array(left.sig)), _sigs(pa.array(right.sigs))
+            other = [right[c].to_numpy() for c in ("class_ids", "comps", "sizes")]
+            for i, (c, k, n) in enumerate(zip(left.class_id, left.comp, left["size"], strict=True)):
+                found |= _larger(c, k, n, s[i], *other, t, percent)
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -225,45 +246,34 @@ class NearDedup:
 
     def run(self) -> DataFrame:
         store = self.store
-        rows = store.write(map_batches(self.docs, _features, "doc_id long, n_shingles long, digest binary, sig binary", 1_000_000), "features")
+        rows = store.write(map_batches(self.docs, _features, "doc_id long, n_shingles long, digest binary, sig binary, packed binary", 1_000_000), "features")
         usable = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
         classes = store.write(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("sig").alias("sig")), "classes")
         filed = classes.select("class_id", "sig").mapInArrow(_file, "key long, class_id long")
         met = store.write(filed.repartitionByRange("key", "class_id").sortWithinPartitions("key", "class_id").mapInArrow(_met, "key long, class_id long, rep long"), "met")
-        texts = store.write(self._texts(met, classes), "texts")
+        texts = store.write(self._texts(met, classes, usable), "texts")
         # with each class, the first one that it shares most keys with
         firsts = met.filter("class_id <> rep").groupBy("class_id", "rep").agg(F.count("*").alias("n"))
         firsts = firsts.groupBy(F.col("class_id").alias("b")).agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("a")).select("a", "b")
-        links = store.write(self._confirm(self._close(firsts, classes), texts), "links_1")
+        # written in between, so that a task has one Python worker
+        links = store.write(self._confirm(store.write(self._close(firsts, classes), "close"), texts), "links_1")
         links = links.union(self._same_id(usable, classes))
         labels = components(links, store, "comp_1")
-        more = self._across(met, labels, classes)
+        more = self._across(met, labels, classes, texts)
         links_2 = store.write(self._confirm(more.distinct(), texts), "links_2")
         if links_2.limit(1).count():
             labels = components(links.union(links_2), store, "comp_2")
+        store.drop("mixed", "sets", "prefixes", "texts", "close", "links_1", "links_2")
         named = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component"))
         linked = usable.join(named, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
         alone = rows.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return linked.union(alone).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-    def _texts(self, met: DataFrame, classes: DataFrame) -> DataFrame:
-        """Packed text of every class that met another one."""
-        wanted = met.select("class_id").distinct().join(classes.select("class_id", "digest"), "class_id").select(F.col("class_id").alias("doc_id"), "digest")
-
-        def pack(batch: pa.RecordBatch) -> dict:
-            z = zstandard.ZstdCompressor(3)
-            return {"doc_id": batch.column(0), "packed": [z.compress(x) for x in texts_of(batch)]}
-
-        packed = map_batches(self.docs.filter("doc_id IS NOT NULL"), pack, "doc_id long, packed binary")
-
-        def right(batches):  # an id may have several texts: the one with the digest of the class
-            z = zstandard.ZstdDecompressor()
-            for batch in batches:
-                ok = [hashlib.blake2b(shingle_set(z.decompress(p)).tobytes(), digest_size=16).digest() == d for p, d in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                batch = batch.filter(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["class_id", "packed"])
-
-        return wanted.join(packed, "doc_id").select("doc_id", "digest", "packed").mapInArrow(right, "class_id long, packed binary").dropDuplicates(["class_id"])
+    def _texts(self, met: DataFrame, classes: DataFrame, usable: DataFrame) -> DataFrame:
+        """Packed text of every class that met another one: that of its first document, which may have others."""
+        wanted = met.select("class_id").distinct().join(classes.select("class_id", "digest"), "class_id")
+        rows = usable.select(F.col("doc_id").alias("class_id"), "digest", "packed")
+        return wanted.join(rows, ["class_id", "digest"]).select("class_id", "packed").dropDuplicates(["class_id"])
 
     def _close(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs with near signatures."""
@@ -301,31 +311,48 @@ class NearDedup:
         firsts = own.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a <> z")
         return own.join(firsts, "doc_id").filter("a <> class_id").select("a", F.col("class_id").alias("b")).distinct()
 
-    def _across(self, met: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    def _across(self, met: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs with near signatures under one key but in different components so far."""
-        spark, store = met.sparkSession, self.store
+        store = self.store
         named = met.select("class_id").distinct().join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("comp"))
-        open_keys = store.write(met.select("key", "class_id").distinct().join(named, "class_id").select("key", "class_id", "comp"), "open_0")
+        open_keys = store.write(met.select("key", "class_id").distinct().join(named, "class_id").select("key", "class_id", "comp"), "open")
         store.drop("met")
-        found = spark.createDataFrame([], "a long, b long")
-        for level in range(1, LEVELS + 1):
-            sizes = open_keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
-            rows = open_keys.join(sizes, "key")
-            if "sig" not in rows.columns:
-                rows = rows.join(classes.select("class_id", "sig"), "class_id")
-            rows = store.write(rows.select("key", "class_id", "comp", "sig", "n"), f"mixed_{level}")
-            small = rows.filter(F.col("n") <= self.bucket).select("key", "class_id", "comp", "sig")
-            found = found.union(small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(level == 1, self.percent), "a long, b long"))
-            large = rows.filter(F.col("n") > self.bucket)
-            if not large.limit(1).count():
-                return found
-            if level < LEVELS:
-                again = large.select("key", "class_id", "comp", "sig").mapInArrow(_file_again, "key long, class_id long, comp long, sig binary")
-                open_keys = store.write(again, f"open_{level}")
-        blocks = large.withColumn("blocks", F.ceil(F.col("n") / self.bucket).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-        left = blocks.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).select("key", F.col("block").alias("i"), F.col("other").alias("j"), "class_id", "comp", "sig")
-        right = blocks.withColumn("other", F.explode(F.expr("sequence(0, block)"))).select("key", F.col("other").alias("i"), F.col("block").alias("j"), "class_id", "comp", "sig")
-        return found.union(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_compare_blocks(self.percent), "a long, b long"))
+        sizes = open_keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
+        mixed = store.write(open_keys.join(sizes, "key"), "mixed")
+        store.drop("open")
+        small = mixed.filter(F.col("n") <= self.bucket).join(classes.select("class_id", "sig"), "class_id").select("key", "class_id", "comp", "sig")
+        found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(self.percent), "a long, b long")
+        large = mixed.filter(F.col("n") > self.bucket).select("class_id", "comp").distinct()
+        if not large.limit(1).count():
+            return found
+        short = self._prefixes(large, texts).join(classes.select("class_id", "sig"), "class_id").select("key", "class_id", "comp", "sig", "size", "short", "n")
+        few = short.filter(F.col("n") <= self.bucket).drop("n")
+        found = found.union(few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(self.percent, True), "a long, b long"))
+        blocks = short.filter(F.col("n") > self.bucket).withColumn("blocks", F.ceil(F.col("n") / self.bucket).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+        each = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rows = ("class_id", "comp", "sig", "size")
+        left = each.filter("short").select("key", F.col("block").alias("i"), F.col("other").alias("j"), *rows)
+        # under names of their own, as both come from one table
+        right = each.select(F.col("key").alias("k"), F.col("other").alias("p"), F.col("block").alias("q"), *(F.col(c).alias(f"{c}s") for c in rows))
+        return found.union(left.groupBy("key", "i", "j").cogroup(right.groupBy("k", "p", "q")).applyInPandas(_compare_blocks(self.percent), "a long, b long"))
+
+    def _prefixes(self, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+        """key (a shingle), class_id, comp, size, short, n (classes of the key) for the shingles that a similar set must share one of.
+
+        Of two similar sets the larger one has a shared shingle among its rarest
+        size - ceil(p * size) + 1, the smaller one among size - ceil(2p / (1 + p) * size) + 1
+        (short), p being the similarity and rare counting over the wanted classes.
+        """
+        p = self.percent
+        sets = self.store.write(texts.join(wanted.select("class_id"), "class_id").select("class_id", "packed").mapInArrow(_shingles, "key long, class_id long, size long"), "sets")
+        counted = sets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        by_class = Window.partitionBy("class_id")
+        shared = sets.join(counted, "key").withColumn("last", F.count("*").over(by_class)).withColumn("i", F.row_number().over(by_class.orderBy("n", "key")))
+        place = F.col("size") - F.col("last") + F.col("i")  # those that nobody shares come first
+        prefix = shared.select("key", "class_id", "size", place.alias("place")).filter(f"place <= size - ({p} * size + 99) div 100 + 1")
+        prefix = prefix.withColumn("short", F.expr(f"place <= size - ({2 * p} * size + {99 + p}) div {100 + p} + 1")).drop("place").join(wanted, "class_id")
+        kept = prefix.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any"), F.count("*").alias("n")).filter("lo <> hi AND any").select("key", "n")
+        return self.store.write(prefix.join(kept, "key"), "prefixes")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:

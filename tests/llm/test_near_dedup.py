@@ -85,3 +85,36 @@ def test_met_keeps_runs_across_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size], pa.int64()), pa.array(range(i, min(len(keys), i + size)), pa.int64())], names=["key", "class_id"]) for i in range(0, len(keys), size)]
         out = [x for b in near_dedup._met(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         assert out == [(1, 0, 0), (2, 1, 1), (2, 2, 1), (4, 4, 4), (4, 5, 4), (4, 6, 4), (6, 8, 8), (6, 9, 8), (7, 10, 10)], size
+
+
+def family(r, n, own, base):
+    """n texts of which a share of the words in a row is their own."""
+    return [" ".join([*base, *(f"v{r.random()}" for _ in range(own))]) for _ in range(n)]
+
+
+def test_a_hot_family_leaves_no_large_bucket(spark):
+    """Texts that share most words but not enough: every signature key is hot, and the prefixes of the sets are not."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(84)]
+    texts = family(r, 300, 20, base)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(1000, texts[7] + " more"), (1001, texts[9] + " words")], "doc_id long, text string").repartition(5)
+    job = near_dedup.NearDedup(docs, bucket=16)
+    job.store.drop = lambda *names: None
+    out = {x.doc_id: x.component_id for x in job.run().collect()}
+    assert {i: c for i, c in out.items() if i != c} == {1000: 7, 1001: 9}
+    texts = spark.read.parquet(f"{job.store.root}/texts")
+    wanted = texts.selectExpr("class_id", "class_id AS comp")
+    job.store = near_dedup.SharedTables(spark, "prefixes")
+    sizes = [x["count"] for x in job._prefixes(wanted, texts).groupBy("key").count().collect()]
+    assert max(sizes, default=0) <= 16
+
+
+@pytest.mark.parametrize("bucket", [4, 1000])
+def test_links_inside_a_hot_family_are_exact(spark, bucket):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    texts = [x for n in (12, 16, 20, 24) for x in family(r, 12, n, base)]
+    texts += [" ".join(x.split()[:-k]) for x, k in zip(texts, range(1, 30), strict=False)]
+    rows = list(enumerate(texts))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute(rows)

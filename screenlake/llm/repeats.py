@@ -29,7 +29,9 @@ again matter, and of those only the context of ``least`` bytes around them.
 
 Strings are judged on the input; matches never cross texts; a text may repeat
 itself, with overlaps. Null texts count as empty. Texts with the same bytes
-share a 128-bit key, so repeated rows and ids, or null ids, do no harm.
+share a 128-bit key, so repeated rows and ids, or null ids, do no harm. Very
+long texts count whole. Other columns of the table, whatever their names, are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -83,3 +83,26 @@ def test_a_window_with_its_smallest_gram_twice_is_no_repeat(spark):
     cold, hot = (sorted(map(tuple, repeats.Repeats(docs, hot=h).removed().collect())) for h in (256, 1))
     assert cold == hot
     assert {r[0]: r[2] for r in cold} == {i: len(texts[i]) if i == 6 else 0 for i in range(8)}
+
+
+def test_split_groups_name_the_same_repeats(spark):
+    """Not merged, hot grams give occurrences whose bytes are equal under one name, and the same union as the scan of whole groups."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(260)
+    texts = [noise(120) + passage[: 200 + 5 * i] + noise(120) for i in range(12)] + [noise(100) + passage[40 - i :] + noise(90) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_key = {repeats.text_key(t.encode()): t.encode() for t in texts}
+    unions = []
+    for hot in (256, 2):
+        rows = repeats.Repeats(docs, hot=hot).occurrences().collect()
+        names, gone = {}, {k: bytearray(len(t)) for k, t in by_key.items()}
+        for r in rows:
+            text = by_key[r.t1, r.t2]
+            gone[r.t1, r.t2][r.start : r.end] = b"\1" * (r.end - r.start)
+            if r.repeat is not None:
+                names.setdefault(r.repeat, set()).add(text[r.start : r.end])
+                assert r.end - r.start >= 200
+        assert names and all(len(x) == 1 for x in names.values())
+        unions.append(gone)
+    assert unions[0] == unions[1]

@@ -6,7 +6,7 @@ trap, provenance. All metrics are grouped by arm in one aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions.stats import clopper_pearson, share
@@ -67,13 +67,19 @@ def risk_coverage_curve(scores: DataFrame) -> DataFrame:
 
     A case answers at a threshold up to its own, unrounded coverage, so one that
     rounds up drops out at its own threshold. Counts by exact coverage come
-    first; what meets the thresholds is one row for each distinct coverage.
+    first, and one running sum over those meets all thresholds.
     """
     by = scores.groupBy("arm", "criteria_coverage").agg(F.count("*").alias("n"), F.count_if(F.col("forced_decision") != F.col("expected")).alias("wrong"), F.count_if(unsafe("forced_decision")).alias("unsafe"))
-    at = by.select("arm", F.round("criteria_coverage", 6).alias("threshold")).union(by.select("arm", F.lit(0.0))).distinct()
-    total = by.groupBy("arm").agg(F.sum("n").alias("cases"))
-    met = at.join(by, (at.arm == by.arm) & (by.criteria_coverage >= at.threshold)).groupBy(at.arm, "threshold").agg(F.sum("n").alias("answered"), F.sum("wrong").alias("wrong"), F.sum("unsafe").alias("unsafe"))
-    return met.join(total, "arm").select("arm", "threshold", share(F.col("answered"), F.col("cases")).alias("coverage"), share(F.col("wrong"), F.col("answered")).alias("risk"), "unsafe", "answered")
+    counts = ("n", "wrong", "unsafe")
+    own = F.struct(F.col("criteria_coverage").alias("at"), F.lit(0).alias("threshold"), *counts)
+    mark = lambda x: F.struct(x.alias("at"), F.lit(1).alias("threshold"), *[F.lit(0).cast("long").alias(c) for c in counts])
+    rows = by.select("arm", F.explode(F.array(own, mark(F.round("criteria_coverage", 6)), mark(F.lit(0.0)))).alias("x")).select("arm", "x.*")
+    # one running sum from the highest coverage down; those that reach a threshold come before it
+    every = Window.partitionBy("arm")
+    down = every.orderBy(F.desc("at"), "threshold").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("arm", "at", "threshold", *[F.sum(c).over(down).alias(c) for c in counts], F.sum("n").over(every).alias("cases"))
+    met = rows.filter("threshold = 1 AND n > 0").select("arm", F.col("at").alias("threshold"), *counts, "cases").distinct()
+    return met.select("arm", "threshold", share(F.col("n"), F.col("cases")).alias("coverage"), share(F.col("wrong"), F.col("n")).alias("risk"), "unsafe", F.col("n").alias("answered"))
 
 
 def kappa(pairs: DataFrame, first: str, second: str) -> DataFrame:

@@ -35,7 +35,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), power=0.5, keep_share=0.5)
+    count = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    return mixing.mix(table(spark, sf_dir, "documents"), power=0.5, keep_share=0.5, tokens=lambda texts: count(texts)[1])
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ that of greedy longest match from the left.
 
 A word is what stands between characters of [\\x20\\x09-\\x0D], with the mark
 for a word's start before it. A character that no piece begins with costs as
-many tokens as it has UTF-8 bytes. Null and empty texts have no words.
+many tokens as it has UTF-8 bytes. Null and empty texts have no words. Long
+words and long texts count whole, repeated rows alike; a null doc_id is kept as
+it is. Other columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from screenlake.llm.common import id_text, map_batches, texts_of
 
 #: Words whose counts a worker keeps.
-CACHED = 500_000
+CACHED = 100_000
 MARK = "▁"
 
 
@@ -85,17 +88,28 @@ def load(model_path: str) -> tuple[Automaton, dict[bytes, int]]:
     return Automaton(pieces), {}
 
 
-def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_words, n_tokens of every whole text."""
+def counter(model_path: str) -> Callable[[list[bytes]], tuple[list[int], list[int]]]:
+    """A function from texts to their numbers of words and of tokens."""
 
-    def one(batch: pa.RecordBatch) -> dict:
+    def count(texts: list[bytes]) -> tuple[list[int], list[int]]:
         automaton, known = load(model_path)
         if len(known) > CACHED:
             known.clear()
-        words = [x.split() for x in texts_of(batch)]
+        words = [x.split() for x in texts]
         for w in {w for ws in words for w in ws if w not in known}:
             known[w] = automaton.count(w.decode("utf-8", "replace"))
         get = known.__getitem__
-        return {"doc_id": batch.column(0), "n_words": [len(x) for x in words], "n_tokens": [sum(map(get, x)) for x in words]}
+        return [len(x) for x in words], [sum(map(get, x)) for x in words]
+
+    return count
+
+
+def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_words, n_tokens of every whole text."""
+    count = counter(model_path)
+
+    def one(batch: pa.RecordBatch) -> dict:
+        words, tokens = count(texts_of(batch))
+        return {"doc_id": batch.column(0), "n_words": words, "n_tokens": tokens}
 
     return map_batches(id_text(docs), one, "doc_id long, n_words long, n_tokens long")

@@ -8,7 +8,9 @@ byte-level tokenizers use for them.
 Matches of the pattern repeat a lot, so each Arrow batch is split once, every
 distinct match is encoded once by the library, and ids and byte offsets of the
 texts are put together from those. Null texts count as empty; an empty text has
-no ids. Texts of any length are encoded whole.
+no ids. Texts of any length are encoded whole. A null or repeated doc_id is kept
+as it is, and repeated rows encode alike. Other columns, whatever their names,
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from screenlake.llm.common import id_text, map_batches
 
 #: Distinct matches that a worker keeps between batches.
-CACHED = 400_000
+CACHED = 100_000
 
 
 def byte_characters() -> list[str]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,16 @@ class SharedTables:
     """Intermediate tables in the folder that spark.checkpoint.dir names.
 
     Writing a table cuts the lineage, so a lost executor repeats one step and
-    not the whole job. Only a session without that setting (tests) gets a
-    temporary folder.
+    not the whole job. A session on one machine without that setting (tests)
+    gets a temporary folder; on a cluster the setting is needed.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = f"file://{tempfile.mkdtemp(prefix='screenlake-')}"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -48,12 +52,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> None:
+    """Arrow batches that go to Python take so many bytes at most, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece take a few megabytes; a longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most_bytes:
@@ -71,6 +81,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, most_bytes: int = 4_000_000, column: str = "text") -> DataFrame:
     """Apply fn to pieces of bounded size; fn gives arrays by column name."""
     fields = df.sparkSession.createDataFrame([], schema).schema
+    bound_batches(df.sparkSession)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -79,5 +90,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
         for batch in pieces(batches, most_bytes, column):
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in out], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, fields)

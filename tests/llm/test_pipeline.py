@@ -53,3 +53,34 @@ def test_empty_documents(spark, docs):
     for _, stage in P.STAGES:
         now = stage(spark, now, "")
     assert now.count() == 0
+
+
+def test_stages_with_clashing_columns_nulls_and_a_long_text(spark, docs):
+    """Helper columns have no name that a table could not have; every case has a defined row or none."""
+    long_text = " ".join(f"this is sentence number {i} about the river and the house" for i in range(20_000))
+    extra = spark.createDataFrame([(700, long_text, None, None, 1), (701, "", None, None, 0), (702, " \n", "en", "s0", 2)], docs.schema)
+    now = docs.unionByName(extra).selectExpr("*", "1 AS row", "2 AS key", "3 AS mix", "4 AS by", "'x' AS kept", "5 AS score", "6 AS keep_id", "7 AS __sha")
+    columns = now.columns
+    stays = quality._score(long_text.encode(), quality.QualityModel.fit(now).weights) >= 0.5
+    for i, (_, stage) in enumerate(P.STAGES):
+        now = stage(spark, now, "")
+        if i < 4:
+            assert now.columns == columns
+        if i in (0, 1, 2):
+            kept = {r.doc_id for r in now.select("doc_id").collect()}
+            assert (700 in kept) == stays and not {301, 701, 702} & kept  # texts without words go, a long one counts whole
+    assert now.filter("doc_id = 700").count() <= 1
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest as pt
+    from screenlake.llm.common import SharedTables
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pt.raises(ValueError, match="checkpoint"):
+        SharedTables(cluster, "x")
+    cluster.sparkContext.master = "local[4]"
+    assert SharedTables(cluster, "x").root.startswith("file:")

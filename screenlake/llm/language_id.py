@@ -9,7 +9,9 @@ unit text vectors, and the language with the largest cosine is predicted.
 Texts that are null or have no letter are ``und`` with score 0; so is every
 text if nothing was learned. Ties go to the first language in order. Whole
 texts count, of any length. Sums are of whole numbers, so results do not depend
-on how rows are dealt.
+on how rows are dealt. Repeated rows and rows with a null doc_id count each; the
+sample is drawn by a hash of id and text. Columns beside doc_id, text and lang,
+whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,14 +109,14 @@ def space(dim: int) -> Space:
 def fit(docs: DataFrame, dim: int = DIM, train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
     """Language prototypes from doc_id, text and lang; rows without a language don't count.
 
-    About train_docs texts of each language are taken, by a hash of doc_id.
+    About train_docs texts of each language are taken, by a hash of doc_id and text.
     """
     known = docs.filter("lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     # one number a language: a label set, not data
-    share = [F.lit(x) for r in known.groupBy("lang").count().toLocalIterator() for x in (r.lang, float(train_docs * SCALE / r["count"]))]
+    share = [F.lit(x) for r in known.groupBy("lang").count().collect() for x in (r.lang, float(train_docs * SCALE / r["count"]))]
     if not share:
         return {}
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < F.create_map(*share)[F.col("lang")])
+    picked = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SCALE)) < F.create_map(*share)[F.col("lang")])
 
     def partial(batch: pa.RecordBatch) -> dict:
         vectors = space(dim).bundle(texts_of(batch))
@@ -122,13 +124,15 @@ def fit(docs: DataFrame, dim: int = DIM, train_docs: int = TRAIN_DOCS) -> dict[s
         unit = np.rint(vectors / np.maximum(norm, 1)[:, None] * SCALE).astype(np.int64)
         langs = np.array(batch.column(2).to_pylist())
         found = sorted(set(langs.tolist()))
-        return {"lang": found, "total": [unit[langs == x].sum(0).astype("<i8").tobytes() for x in found]}
-
-    sums: dict[str, np.ndarray] = {}
-    # a bounded sample: a few vectors a language come back
-    for row in map_batches(picked.select("doc_id", "text", "lang").coalesce(16), partial, "lang string, total binary", 16_000_000).toLocalIterator():
-        sums[row.lang] = sums.get(row.lang, 0) + np.frombuffer(row.total, "<i8")
-    return {x: sums[x].astype(float) for x in sorted(sums) if np.any(sums[x])}
+        return {"lang": found, "total": [unit[langs == x].sum(0) for x in found]}
+
+    # every partition adds up its own, and dim numbers a language come back
+    sums = map_batches(picked.select("doc_id", "text", "lang"), partial, "lang string, total array<long>", 16_000_000)
+    sums = sums.select("lang", F.posexplode("total").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    totals: dict[str, np.ndarray] = {}
+    for row in sums.collect():
+        totals.setdefault(row.lang, np.zeros(dim))[row.i] = row.x
+    return {x: totals[x] for x in sorted(totals) if np.any(totals[x])}
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:

@@ -89,3 +89,31 @@ def test_token_counts(spark):
     for i, x in enumerate(texts):
         words = [w.decode() for w in (x or "").encode().split()]
         assert got[i] == (len(words), sum(greedy(w, pieces) for w in words))
+
+
+def test_held_out_accuracy_and_plain_cosines(spark):
+    """On a real table: accuracy on rows outside the sample, and every prediction by plain vectors."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {x.doc_id: x for x in language_id.language_id(docs).collect()}
+    lang = {x.doc_id: x.lang for x in docs.collect()}
+    held = [i for i, x in rows.items() if x.held_out and lang[i] is not None]
+    assert len(held) > 200 and np.mean([rows[i].lang_pred == lang[i] for i in held]) > 0.98
+    profiles = language_id.fit(docs.selectExpr("*", "false AS held_out").filter("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    space = language_id.Space(language_id.DIM)
+    for x in docs.limit(40).collect():
+        letters = [c.lower() if len(c.lower()) == 1 else c for c in f" {x.text} "]
+        total = np.zeros(language_id.DIM)
+        code = [ord(c) if c.isalpha() else 0 for c in letters]
+        for i in range(1, len(code) - 1):
+            if code[i]:
+                total += np.roll(space.letter(code[i - 1]), 2) * np.roll(space.letter(code[i]), 1).astype(int) * space.letter(code[i + 1])
+        cos = {k: total @ v / np.linalg.norm(total) / np.linalg.norm(v) for k, v in profiles.items()}
+        best = max(cos, key=cos.get)
+        assert rows[x.doc_id].lang_pred == best and abs(rows[x.doc_id].score - max(0, cos[best])) < 1e-9
+
+
+def test_ties_go_to_the_first_language_and_copies_agree(spark):
+    docs = spark.createDataFrame([(1, "abc abd", "x"), (2, "abc abd", "a"), (2, "abc abd", "a"), (None, "abc abd", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.language_id(docs).collect()} == {"a"}

@@ -11,7 +11,9 @@ with a smaller id could still win. The best k of the blocks meet by query.
 Rows with a null id, a null vector, or null or non-finite components take no
 part. Vectors of other lengths than the query's are no candidates. Repeated
 candidate rows are candidates each; of repeated query ids the smallest vector
-asks. A score beyond 64 bits raises an error.
+asks. Columns beside id and vector, whatever their names, are not read. Very
+long vectors make smaller blocks. An empty table gives an empty result. A score
+beyond 64 bits raises an error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES, QUERIES = 8192, 2048
+BLOCK_BYTES = 32 << 20
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -58,7 +61,11 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_c
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     )
     asked = usable.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, m = usable.count(), asked.count()
+    n, width = usable.agg(F.count("*"), F.max(F.size("v"))).first()
+    m = asked.count()
+    # a block takes so many bytes at most, however long its vectors are
+    room = max(1, BLOCK_BYTES // (8 * max(width or 1, 1)))
+    candidates, queries = min(candidates, room), min(queries, room)
     c_blocks = max(1, -(-n // candidates), min(12, -(-n // 1024)))
     q_blocks = max(1, -(-m // queries))
     each = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))

@@ -6,7 +6,7 @@ windows have equal anchors at the same place. Only anchors whose gram occurs
 again matter, and of those only the context of ``least`` bytes around them.
 
 1. Every text gives its anchors: gram hash, hash of the context, text key and
-   place. Equal rows are merged inside each partition before anything moves.
+   place. A text that a task meets again is only counted.
 2. Anchors are range-partitioned by gram and context, which splits grams of any
    frequency, and one pass drops grams that occur once.
 3. A context that occurs twice is a repeat as a whole. For grams with several
@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.common import SharedTables, id_text, map_batches, texts_of
+from screenlake.llm.common import SharedTables, bound_batches, id_text, map_batches, pieces, texts_of
 from screenlake.llm.shingles import mix
 
 LEAST = 200
@@ -52,6 +52,8 @@ GRAM = 40
 HOT = 256
 PARTS = 4
 STEP = 1 << 20
+#: Bytes of texts met again that a task keeps before it counts them.
+HELD = 32 << 20
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _random = np.random.Generator(np.random.Philox(key=200))
 TABLES = _random.integers(0, 2**64, (2, 256), np.uint64)
@@ -240,47 +242,43 @@ def _split(least: int, parts: int):
     return run
 
 
-def _collapse(keep_single: bool):
-    """Sorted rows (gram, ctx, t1, t2, at, n): equal rows become one, with n added.
+def _collapse(batches):
+    """Sorted rows (gram, ctx, t1, t2, at, n): equal rows become one, with n added, and rows of grams that occur once go.
 
-    Unless keep_single, rows of grams that occur once go; the first and the last
-    gram of a partition may have company in the next one and stay.
+    The first and the last gram of a partition may have company in the next one and stay.
     """
-    def run(batches):
-        first, carried, waiting = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if waiting is not None:
-                batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            new_gram = np.concatenate([[True], cols[0][1:] != cols[0][:-1]])
-            new = new_gram.copy()
-            for c in cols[1:5]:
-                new[1:] |= c[1:] != c[:-1]
-            # the last distinct row may go on and waits
-            at = np.flatnonzero(new)
-            n = np.add.reduceat(cols[5], at)
-            cols = [c[at] for c in cols[:5]] + [n]
-            start = np.flatnonzero(new_gram[at])
-            length = np.diff(np.append(start, len(at)))
-            each = np.repeat(length > 1, length) | (n > 1) | keep_single
-            if first is None:
-                first = cols[0][0]
-            if cols[0][0] == first or carried is not None and carried == cols[0][0]:
-                each[: length[0]] = True
-            schema = batch.schema
-            waiting = pa.RecordBatch.from_arrays([pa.array(c[-1:]) for c in cols], schema=schema)
-            if len(at) > 1:
-                if length[-1] > 1:
-                    carried = cols[0][-1]
-                elif not (carried is not None and carried == cols[0][-1]):
-                    carried = None
-                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][each[:-1]]) for c in cols], schema=schema)
+    first, carried, waiting = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
         if waiting is not None:
-            yield waiting
-
-    return run
+            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        new_gram = np.concatenate([[True], cols[0][1:] != cols[0][:-1]])
+        new = new_gram.copy()
+        for c in cols[1:5]:
+            new[1:] |= c[1:] != c[:-1]
+        # the last distinct row may go on and waits
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(cols[5], at)
+        cols = [c[at] for c in cols[:5]] + [n]
+        start = np.flatnonzero(new_gram[at])
+        length = np.diff(np.append(start, len(at)))
+        each = np.repeat(length > 1, length) | (n > 1)
+        if first is None:
+            first = cols[0][0]
+        if cols[0][0] == first or carried is not None and carried == cols[0][0]:
+            each[: length[0]] = True
+        schema = batch.schema
+        waiting = pa.RecordBatch.from_arrays([pa.array(c[-1:]) for c in cols], schema=schema)
+        if len(at) > 1:
+            if length[-1] > 1:
+                carried = cols[0][-1]
+            elif not (carried is not None and carried == cols[0][-1]):
+                carried = None
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][each[:-1]]) for c in cols], schema=schema)
+    if waiting is not None:
+        yield waiting
 
 
 ROW = "gram long, ctx long, t1 long, t2 long, at long, n long"
@@ -298,20 +296,41 @@ class Repeats:
     def _anchors(self) -> DataFrame:
         least, gram = self.least, self.gram
 
-        def one(batch: pa.RecordBatch) -> dict:
-            rows = []
-            for x in texts_of(batch):
+        def rows(texts: list[tuple[tuple[int, int], bytes, int]]):
+            """The anchors of texts with their key and how often they count."""
+            out = []
+            for key, x, n in texts:
                 place, h, ctx, left, right = anchors(x, least, gram)
                 if len(place):
-                    t1, t2 = text_key(x)
-                    rows.append((h.view(np.int64), ctx.view(np.int64), np.full(len(place), t1), np.full(len(place), t2), _pack_place(place, left, right), np.ones(len(place), np.int64)))
-            cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 6
-            return dict(zip(("gram", "ctx", "t1", "t2", "at", "n"), cols, strict=True))
+                    out.append((h.view(np.int64), ctx.view(np.int64), np.full(len(place), key[0]), np.full(len(place), key[1]), _pack_place(place, left, right), np.full(len(place), n)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in ROW.split(", ")])
+
+        def run(batches):
+            met, again, size = set(), {}, 0
+            for batch in pieces(batches, 2_000_000):
+                fresh = []
+                for x in texts_of(batch):
+                    if len(x) < least:
+                        continue
+                    key = text_key(x)
+                    if key not in met:
+                        met.add(key)
+                        fresh.append((key, x, 1))
+                    elif key in again:
+                        again[key] = (x, again[key][1] + 1)
+                    else:
+                        again[key], size = (x, 1), size + len(x)
+                yield from rows(fresh)
+                if size > HELD:
+                    yield from rows([(k, x, n) for k, (x, n) in again.items()])
+                    again, size = {}, 0
+            yield from rows([(k, x, n) for k, (x, n) in again.items()])
 
         order = ("gram", "ctx", "t1", "t2", "at")
-        own = map_batches(self.docs, one, ROW, 2_000_000).sortWithinPartitions(*order).mapInArrow(_collapse(True), ROW)
-        own = self.store.write(own, "anchors")
-        return self.store.write(own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_collapse(False), ROW), "met")
+        bound_batches(self.docs.sparkSession)
+        own = self.store.write(self.docs.mapInArrow(run, ROW), "anchors")
+        return self.store.write(own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_collapse, ROW), "met")
 
     def _packed(self) -> DataFrame:
         def pack(batch: pa.RecordBatch) -> dict:

@@ -88,3 +88,72 @@ def test_training_sample_is_bounded_when_a_text_repeats(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or np.zeros((1 << quality.BITS) + 1))
     quality.QualityModel.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), train_docs=20)
     assert 0 < len(seen[0]) <= 20 and max(r[3] for r in seen[0]) == 300
+
+
+def test_cells_beyond_the_driver_are_raked_alike(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(f"s{i % 7}" if i % 7 else None, f"l{i % 3}", f"topic{i % 5}", float(r.randint(0, 900))) for i in range(105)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    targets = {"source": {"s1": 0.3, "s2": 0.3, "s3": 0.1, "s4": 0.1, "s5": 0.1, "s6": 0.05, None: 0.05}}
+    for given in (None, targets):
+        here = {tuple(x)[:3]: x.probability for x in mixing.probabilities(cells, 0.5, 0.4, given).collect()}
+        monkeypatch.setattr(mixing, "MAX_CELLS", 10)
+        there = {tuple(x)[:3]: x.probability for x in mixing.probabilities(cells, 0.5, 0.4, given).collect()}
+        monkeypatch.undo()
+        assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-5 for k in here)
+
+
+def test_draws_match_a_plain_version(spark):
+    """Probabilities by plain dictionaries, and the draw of each document by its own hash."""
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choices(["alphabet", "borough", "chair", "dictionary", "elm"], k=r.randint(1, 30))), r.choice(["a", "b"]), r.choice(["x", "y"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(docs, power=0.5, keep_share=0.6, seed=3).collect()
+    tokens = {}
+    for x in out:
+        assert x.n_tokens == len(rows[x.doc_id][1].split())
+        k = (x.source, x.lang, x.topic)
+        tokens[k] = tokens.get(k, 0) + x.n_tokens
+    weight, total = dict.fromkeys(tokens, 1.0), sum(tokens.values())
+    targets = []
+    for m in range(3):
+        share = {}
+        for k, n in tokens.items():
+            share[k[m]] = share.get(k[m], 0) + n
+        share = {v: (n / total) ** 0.5 for v, n in share.items()}
+        targets.append({v: x / sum(share.values()) for v, x in share.items()})
+    for _ in range(500):
+        for m in range(3):
+            now = {}
+            for k, n in tokens.items():
+                now[k[m]] = now.get(k[m], 0) + n * weight[k]
+            weight = {k: w * targets[m][k[m]] * total / now[k[m]] for k, w in weight.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1, c * weight[k]) * n for k, n in tokens.items()) < 0.6 * total else (low, c)
+    u = {x.doc_id: x.u for x in docs.select("doc_id", mixing.uniform(docs.doc_id, 3).alias("u")).collect()}
+    for x in out:
+        p = min(1, high * weight[x.source, x.lang, x.topic])
+        assert abs(x.probability - p) < 1e-6 and (abs(u[x.doc_id] - p) < 1e-6 or x.kept == (u[x.doc_id] < p))
+
+
+def test_scores_match_a_plain_version_and_the_labels(spark):
+    """Every score of a real table by the plain formula, and the decisions against the labels."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.QualityModel.fit(docs)
+    out = {x.doc_id: x for x in model.transform(docs).collect()}
+    for x in docs.collect():
+        at, value = quality.features((x.text or "").encode())
+        want = 1 / (1 + np.exp(-(sum(model.weights[i] * v for i, v in zip(at, value, strict=True)) + model.weights[-1]))) if len(at) else 0
+        assert abs(out[x.doc_id].score - want) < 1e-9
+    labels = spark.read.parquet(f"{d}/labels.parquet").collect()
+    assert np.mean([out[x.doc_id].kept == (x.quality == 1) for x in labels]) > 0.99
+
+
+def test_one_kind_only_and_ties(spark):
+    good = spark.createDataFrame([(i, t) for i, t, k in corpus(random.Random(3), 200) if k == "good"], "doc_id long, text string")
+    assert quality.QualityModel.fit(good).transform(good).filter("NOT kept").count() == 0
+    empty = quality.QualityModel(0.5, {}, {}, np.zeros((1 << quality.BITS) + 1))
+    assert [x.kept for x in empty.transform(good.limit(3)).collect()] == [True] * 3  # exactly 0.5 stays

@@ -93,3 +93,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
         pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, fields)
+
+
+def lookup(rows: DataFrame, unique: DataFrame, on: list[str], counts: DataFrame, total: int, how: str = "inner", share: int = 256, least: int = 10_000) -> DataFrame:
+    """Join rows with a table that has one row a key, when many rows may share a key.
+
+    counts has the number n of rows of each key. Keys with over ``least`` rows and
+    over total/share of all rows, so fewer than share of them, are looked up by
+    broadcast, and only the rest is shuffled by key.
+    """
+    hot = counts.filter(F.col("n") > max(total // share, least)).select(*on)
+    if not hot.count():
+        return rows.join(unique, on, how)
+    best = F.broadcast(unique.join(F.broadcast(hot), on))
+    cold = rows.join(best, on, "left_anti").join(unique, on, how)
+    return rows.join(best, on).unionByName(cold)

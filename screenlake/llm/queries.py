@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, passages, quality, repeats, token_counts, topk
+from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, passages, prefix_trie, quality, repeats, token_counts, topk
 from screenlake.llm.common import table
 
 
@@ -51,6 +52,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.Repeats(table(spark, sf_dir, "documents"), least=200).removed()
 
 
+def shared_heads(conv_id: Column) -> tuple[Column, Column]:
+    """crc32(id) % 4 first turns come from the conversation whose id is the next lower multiple of 20."""
+    return F.crc32(conv_id.cast("string").cast("binary")) % 4, conv_id - conv_id % 20
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads, most=3)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -62,6 +72,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_collinear_passages": op9_collinear_passages,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 SQL = {
@@ -110,5 +121,36 @@ WITH norm AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM norm JOIN best USING (text_sha256)
+""",
+    "op11_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), headed AS (
+  SELECT *, (4294967295 - list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END))) % 4 AS h
+  FROM own
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.s[1:c.h], []), c.s[c.h + 1:]) AS s
+  FROM headed c LEFT JOIN headed b ON b.conv_id = c.conv_id - c.conv_id % 20
+), members AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built),
+keyed AS (SELECT conv_id, d, len(s) AS size, s[1:d] AS k, CASE WHEN d > 0 THEN s[1:d - 1] END AS pk FROM members),
+nodes AS (
+  SELECT k, any_value(pk) AS pk, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM keyed GROUP BY k
+), children AS (SELECT pk AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY pk),
+own_part AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(nodes.k[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saving
+  FROM nodes LEFT JOIN children USING (k)
+), sums AS (
+  SELECT a.k, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(u.saving)::BIGINT AS saved_tokens
+  FROM own_part u JOIN keyed a ON a.conv_id = u.conv_id AND a.d <= u.d GROUP BY a.k
+)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM own_part v JOIN sums USING (k) LEFT JOIN nodes p ON p.k = v.pk
 """,
 }

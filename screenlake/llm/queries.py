@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, passages, prefix_trie, quality, repeats, token_counts, topk
+from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, passages, prefix_trie, quality, repeats, token_counts, topk, whitening
 from screenlake.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads, most=3)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, components=16)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_collinear_passages": op9_collinear_passages,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 SQL = {

@@ -3,7 +3,8 @@
 Entries become whole numbers, floor(scale * c) + shift. The distinct vectors are
 the fit list, written once. One aggregation gives their number and the sum of
 every dimension; the next one sums, as generated Spark SQL, the centred product
-of every pair of dimensions of the upper triangle. The driver puts the
+of every pair of dimensions: an expression a column of the upper triangle, in
+groups by its row. The driver puts the
 covariance together (a number for each pair, whatever the number of rows) and
 decomposes it with LAPACK. A last pair of aggregations over the whitened fit
 list measures how far its covariance is from the identity.
@@ -14,7 +15,7 @@ each, but a vector counts once in the fit. Vectors of each length are whitened
 among themselves, those without entries give no rows. Directions in which the
 fit list doesn't vary can't be whitened and are left out, so a fit list of one
 vector gives none. Beyond 64 bits an entry is an error and a deviation is null. Very
-long vectors take several aggregations, each of at most ``MOST_SUMS`` pairs.
+long vectors take several aggregations, each of at most ``MOST_SUMS`` columns.
 Columns beside id and vector, whatever their names, are not read. An empty table
 gives an empty result.
 """
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from screenlake.llm.common import SharedTables
 
-#: Sums in one aggregation, at most.
-MOST_SUMS = 4096
+#: Sums (columns of the triangle) in one aggregation, at most.
+MOST_SUMS = 256
 #: A variance counts as none below this part of the largest one.
 NO_VARIANCE = 1e-12
 RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -46,19 +47,21 @@ def whole_numbers(vectors: DataFrame, scale: int, shift: int) -> DataFrame:
 
 
 def pair_sums(rows: DataFrame, column: str, centre: list[float]) -> np.ndarray:
-    """Sums over all rows of (x_i - centre_i) * (x_j - centre_j), as a symmetric matrix."""
+    """Sums over all rows of (x_i - centre_i) * (x_j - centre_j), as a symmetric matrix.
+
+    A generated expression is a column j of the upper triangle, and a group is
+    its row i, so all pairs are sums of one aggregation with a small plan.
+    """
     dim = len(centre)
-    pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
     out = np.zeros((dim, dim))
-    for at in range(0, len(pairs), MOST_SUMS):
-        some = pairs[at : at + MOST_SUMS]
-        used = sorted({x for p in some for x in p})
+    for at in range(0, dim, MOST_SUMS):
+        end = min(dim, at + MOST_SUMS)
         # every centred column is made once, the products are of columns
-        centred = rows.selectExpr(*[f"{column}[{i}] - double('{float(centre[i])!r}') AS c{i}" for i in used])
-        sums = centred.agg(*[F.expr(f"sum(c{i} * c{j})") for i, j in some]).first()
-        for (i, j), s in zip(some, sums, strict=True):
-            out[i, j] = out[j, i] = s
-    return out
+        centred = rows.selectExpr(*[f"{column}[{i}] - double('{float(centre[i])!r}') AS c{i}" for i in range(end)])
+        each = centred.selectExpr("*", f"posexplode(array({', '.join(f'c{i}' for i in range(end))})) AS (i, ci)")
+        for row in each.groupBy("i").agg(*[F.expr(f"sum(if(i <= {j}, ci * c{j}, 0d))") for j in range(at, end)]).collect():
+            out[row.i, at:end] = row[1:]
+    return np.triu(out) + np.triu(out, 1).T
 
 
 def _columns(rows: DataFrame, dim: int, make) -> list[tuple]:

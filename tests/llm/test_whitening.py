@@ -33,7 +33,7 @@ def made(seed, n, dim):
 
 @pytest.mark.parametrize(("n", "dim"), [(300, 5), (400, 20)])
 def test_matches_plain_version(spark, n, dim, monkeypatch):
-    monkeypatch.setattr(whitening, "MOST_SUMS", 70)  # several aggregations
+    monkeypatch.setattr(whitening, "MOST_SUMS", 7)  # several aggregations
     rows = made(3, n, dim)
     rows += [(1000 + i, rows[0][1], "copy", 2) for i in range(150)]  # a third of all rows is one vector
     rows += [(2000, None, None, None), (2001, [None] * dim, "", 0), (2002, [float("nan")] * dim, "", 0), (2003, [float("inf")] + [0.0] * (dim - 1), "", 0), (None, rows[1][1], "", 0)]

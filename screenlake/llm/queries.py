@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, passages, prefix_trie, quality, repeats, token_counts, topk, whitening
+from screenlake.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, passages, prefix_trie, quality, repeats, token_counts, topk, whitening
 from screenlake.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, components=16)
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_html_text": op13_html_text,
 }
 
 SQL = {

@@ -27,10 +27,15 @@ def without_addresses(text: Column, codes: Column) -> Column:
 
 
 def numbers_in(text: Column, codes: Column) -> Column:
-    """The numbers of a sentence beside dates and addresses, as written."""
+    """The numbers of a rationale or quote beside addresses and dates, as written."""
     return F.regexp_extract_all(F.regexp_replace(without_addresses(text, codes), DATE, " "), F.lit(NUMBER), F.lit(0))
 
 
+def numbers_of_sentence(text: Column, codes: Column) -> Column:
+    """The numbers of a sentence beside dates and addresses, as written: dates go first, so that no code is cut out of one."""
+    return F.regexp_extract_all(without_addresses(F.regexp_replace(text, DATE, " "), codes), F.lit(NUMBER), F.lit(0))
+
+
 def allowed_numbers(rationale: Column, quote: Column, codes: Column, own: Column) -> Column:
     """The numbers that a criterion is entitled to: its own bounds and values, those of its rationale and of its quote."""
     of = lambda x: F.transform(numbers_in(F.coalesce(x, F.lit("")), codes), lambda n: n.cast("double"))
@@ -59,7 +64,7 @@ def violations(sentences: DataFrame) -> DataFrame:
     """
     keys = [c for c in sentences.columns if c not in ("sentence", "dates", "numbers", "codes")]
     days = F.transform(F.filter(F.regexp_extract_all("sentence", F.lit(DATE), F.lit(0)), lambda d: ~F.array_contains("dates", d)), lambda d: F.struct(F.lit("unbound_date").alias("kind"), d.alias("token")))
-    loose = F.transform(F.filter(numbers_in(F.col("sentence"), F.col("codes")), lambda n: ~F.coalesce(bound(n, F.col("numbers")), F.lit(False))), lambda n: F.struct(F.lit("unbound_number").alias("kind"), n.alias("token")))
+    loose = F.transform(F.filter(numbers_of_sentence(F.col("sentence"), F.col("codes")), lambda n: ~F.coalesce(bound(n, F.col("numbers")), F.lit(False))), lambda n: F.struct(F.lit("unbound_number").alias("kind"), n.alias("token")))
     return sentences.select(*keys, F.explode(F.concat(days, loose)).alias("x")).select(*keys, "x.kind", "x.token")
 
 

@@ -68,7 +68,9 @@ def replay(cases: DataFrame, evidence: DataFrame, edits: DataFrame, steps: int)
     columns = rows.columns
     for step in range(1, steps + 1):
         now = edits.filter(F.col("step") == step)
-        before = now.filter("side = 'before'").select("case_id", *[F.col(c).alias(f"b_{c}") for c in RECORD]).withColumn("named", F.monotonically_increasing_id())
+        # a name that any task gives alike: the case and the place in its sorted list
+        place = F.row_number().over(Window.partitionBy("case_id").orderBy(*[f"b_{c}" for c in RECORD]))
+        before = now.filter("side = 'before'").select("case_id", *[F.col(c).alias(f"b_{c}") for c in RECORD]).withColumn("named", F.struct("case_id", place.alias("place")))
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in RECORD])
         tagged = rows.join(before.withColumnRenamed("case_id", "b_case"), (F.col("case_id") == F.col("b_case")) & same, "left")
         hit = tagged.filter("named IS NOT NULL").groupBy("named").agg(F.count("*").alias("found"))

@@ -4,32 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from screenlake.functions.canonical import canonical, quoted
 from screenlake.functions.text import concept_key
 
-REQUEST = ("agent", "model", "system", "user")
+MESSAGE = "array<struct<role:string,content:string>>"
 
 
-def request_key() -> Column:
-    """SHA-256 of the JSON of a request; equal requests have equal keys."""
-    return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(x), F.lit("")).alias(x) for x in REQUEST])), 256)
+def request_key(requests: DataFrame) -> Column:
+    """SHA-256 of what a request asks: model, the whole message list and the name of the schema demanded back, as canonical JSON.
+
+    requests: model, messages (an array of structs or maps) and optionally schema.
+    Who asks doesn't count.
+    """
+    kinds = {f.name: f.dataType for f in requests.schema}
+    schema = F.coalesce(F.col("schema"), F.lit("")) if "schema" in kinds else F.lit("")
+    parts = {"messages": canonical(F.col("messages"), kinds["messages"]), "model": canonical(F.col("model"), kinds["model"]), "schema": quoted(schema)}
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}")), 256)
+
+
+def schema_name(response_format: Column, kind: T.StructType) -> Column:
+    """The name of the schema that a request demands back, else the type of its format, else nothing."""
+    own = response_format["type"] if "type" in kind.names else F.lit(None).cast("string")
+    if "json_schema" in kind.names:
+        own = F.coalesce(response_format["json_schema"]["name"], own)
+    return F.coalesce(own, F.lit(""))
+
+
+def said(role: str) -> Column:
+    """The first message of a role, empty if there is none."""
+    return F.coalesce(F.try_element_at(F.filter("messages", lambda m: m["role"] == role), F.lit(1))["content"], F.lit(""))
 
 
 def recorded(exchanges: DataFrame) -> DataFrame:
-    """key, response and other columns, one row a key; a request recorded twice keeps the smallest response."""
-    keyed = exchanges.withColumn("key", request_key())
-    return keyed.groupBy("key").agg(F.min("response").alias("response"), F.first("agent").alias("recorded_agent"))
+    """A tape (key, agent, model, system, user, response, usage), one row a key; of a request recorded twice the smallest response stays, with its agent.
+
+    exchanges: agent, model, messages, response, and optionally schema and usage.
+    """
+    usage = F.col("usage") if "usage" in exchanges.columns else F.lit(None)
+    keyed = exchanges.select(request_key(exchanges).alias("key"), F.struct("response", "agent", "model", said("system").alias("system"), said("user").alias("user"), usage.cast("struct<prompt_tokens:long,completion_tokens:long>").alias("usage")).alias("x"))
+    return keyed.groupBy("key").agg(F.min("x").alias("x")).select("key", *[f"x.{c}" for c in ("agent", "model", "system", "user", "response", "usage")])
 
 
 def replay(requests: DataFrame, tape: DataFrame, strict: bool = True) -> DataFrame:
-    """requests with the recorded response; with strict, one that was not recorded fails the job and is never answered live."""
-    out = requests.withColumn("key", request_key()).join(tape.select("key", "response"), "key", "left")
+    """requests with key and the recorded response; with strict, one that was not recorded fails the job and is never answered live.
+
+    tape: as recorded makes it or corpus.read_tape reads it; the keys are those of the recording.
+    """
+    out = requests.withColumn("key", request_key(requests)).join(tape.select("key", "response"), "key", "left")
     if strict:
-        missing = F.raise_error(F.concat(F.lit("no recorded exchange for "), F.col("key"))).cast("string")
+        missing = F.raise_error(F.concat(F.lit("no recorded answer for this request, model "), F.coalesce("model", F.lit("null")), F.lit(", user "), F.substring(said("user"), 1, 200))).cast("string")
         out = out.withColumn("response", F.coalesce("response", missing))
     return out
 
 
+def to_record(requests: DataFrame, tape: DataFrame, refresh: bool = False) -> DataFrame:
+    """One row a key of the requests that a recording still has to ask: those not on the tape, or with refresh all."""
+    keyed = requests.withColumn("key", request_key(requests)).dropDuplicates(["key"])
+    return keyed if refresh else keyed.join(tape.select("key"), "key", "left_anti")
+
+
 def prune(tape: DataFrame, used: DataFrame) -> DataFrame:
     """Exchanges whose key is used; a used key that is missing fails the job."""
     missing = used.select("key").distinct().join(tape, "key", "left_anti").limit(5).collect()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from screenlake.functions.dates import age_years
 from screenlake.functions.text import short_number
 from screenlake.functions.units import convert
-from screenlake.operators.screening import Lookup, _start, blocking, caveats, looked_up, verdict
+from screenlake.operators.screening import Lookup, _start, blocking, caveats, looked_up, settling, verdict
 from screenlake.plans.criteria import Composite, Demographic, Observation, Presence, Protocol
 
 # The words that packets and worklists use.
@@ -46,7 +46,7 @@ DIED_UNDATED = "the chart records that the patient has died, without giving a da
 
 @dataclass(frozen=True)
 class Reason:
-    """Columns: rationale, evidence (array of seq), missing, where, query; the last three are null for a decided verdict."""
+    """Columns: rationale, evidence (array of CITED), missing, where, query; the last three are null for a decided verdict."""
 
     rationale: Column
     evidence: Column
@@ -59,8 +59,27 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+#: A record that a verdict rests on.
+CITED = "struct<seq:string,resource:string,description:string,recorded_on:string,fhir_path:string>"
+
+
 def _nothing() -> Column:
-    return F.array().cast("array<string>")
+    return F.array().cast(f"array<{CITED}>")
+
+
+def _cited(resource: str, row: Column, fields: tuple[str, ...]) -> Column:
+    """The row of a lookup as it is printed: what was found, when, and where to open it. Evidence without resources goes by its place."""
+    told = F.when(row["value"].isNotNull(), F.concat(F.lit(" "), short_number(row["value"]), F.when(F.coalesce(row["unit"], F.lit("")) != "", F.concat(F.lit(" "), row["unit"])).otherwise("")))
+    of_its_own = F.concat(F.lit(f"{resource}/"), row["seq"])
+    name = F.coalesce(F.concat(row["resource_type"], F.lit("/"), row["resource_id"]), of_its_own) if {"resource_type", "resource_id"} <= set(fields) else of_its_own
+    one = F.struct(
+        row["seq"].cast("string").alias("seq"),
+        name.alias("resource"),
+        F.concat(F.coalesce(row["display"], F.lit("")), F.coalesce(told, F.lit(""))).alias("description"),
+        F.coalesce(row["date"].cast("string"), F.lit("not dated")).alias("recorded_on"),
+        (F.coalesce(row["fhir_path"], of_its_own) if "fhir_path" in fields else of_its_own).alias("fhir_path"),
+    )
+    return F.when(row.isNotNull(), F.array(one.cast(CITED))).otherwise(_nothing())
 
 
 def _day(x: Column) -> Column:
@@ -88,9 +107,7 @@ def reason(p, place: dict[Lookup, int], as_of: date, policy: str) -> Reason:
             m = members[0][1]
             return Reason(F.concat(text("not ("), m.rationale, text(")")), m.evidence, m.missing, m.where, m.query)
         # the members that decide speak alone; where none does, all of them
-        decisive = F.lit(p.type == "any_of")
-        settled = own.eqNullSafe(decisive)
-        speaks = [~settled | v.eqNullSafe(decisive) for v, _ in members]
+        speaks = settling(p, place, as_of, policy)
         joiner = " and " if p.type == "all_of" else " or "
         rationale = F.array_join(F.array_compact(F.array(*[F.when(s, m.rationale) for s, (_, m) in zip(speaks, members, strict=True)])), joiner)
         evidence = F.flatten(F.array(*[F.when(s, m.evidence).otherwise(_nothing()) for s, (_, m) in zip(speaks, members, strict=True)]))
@@ -110,14 +127,14 @@ def reason(p, place: dict[Lookup, int], as_of: date, policy: str) -> Reason:
         )
         missing = pick(text(NO_RESULT[0].format(name)), text(NO_VALUE[0].format(name)), F.concat(text(f"{name} in {p.unit} (the chart reports "), row["unit"], text(", which we cannot convert)")), _none())
         open_ = lambda x: F.when(own.isNull(), x)
-        return Reason(rationale, F.when(row.isNotNull(), F.array(row["seq"])).otherwise(_nothing()), missing, open_(text(PLACES["observation"])), open_(_query("Observation", p, as_of)))
+        return Reason(rationale, _cited("Observation", row, place.get("fields", ())), missing, open_(text(PLACES["observation"])), open_(_query("Observation", p, as_of)))
     if isinstance(p, Presence):
         name = p.concept.text
         row = F.col(f"l{place[Lookup(p.type, name, p.concept.codes, p.window)]}")
         cited = citation(F.concat(text(f"{RESOURCES[p.type]}/"), row["seq"]), row["value"], row["unit"], row["display"], row["date"])
         rationale = F.when(row.isNotNull(), F.concat(text(f"{name} is documented ("), cited, text(")"))).when(own.isNull(), text(NOT_COVERED[1].format(name))).otherwise(text(ABSENT.format(name)))
         open_ = lambda x: F.when(own.isNull(), x)
-        return Reason(rationale, F.when(row.isNotNull(), F.array(row["seq"])).otherwise(_nothing()), open_(text(NOT_COVERED[0].format(name))), open_(text(PLACES[p.type])), open_(_query(RESOURCES[p.type], p, as_of)))
+        return Reason(rationale, _cited(RESOURCES[p.type], row, place.get("fields", ())), open_(text(NOT_COVERED[0].format(name))), open_(text(PLACES[p.type])), open_(_query(RESOURCES[p.type], p, as_of)))
     if isinstance(p, Demographic):
         where, query = text(PLACES["demographic"]), F.concat(text("Patient/"), F.col("patient_id").cast("string"))
         open_ = lambda x: F.when(own.isNull(), x)
@@ -130,21 +147,61 @@ def reason(p, place: dict[Lookup, int], as_of: date, policy: str) -> Reason:
     return Reason(text(words[1]), _nothing(), text(words[0].format(p.reason)), text(PLACES["at_visit" if p.settlement == "at_visit" else "from_data"]), text(""))
 
 
-def explain(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policy: str = "coverage_gated") -> DataFrame:
-    """nct_id, patient_id, criterion_id, kind, ord, verdict, blocking, rationale, evidence, missing, where, query, caveats: one row for each criterion of each patient alive."""
-    rows, place = looked_up(patients, evidence, protocols, as_of)
+#: One criterion of one screening with its reason.
+DETAIL = (
+    "struct<criterion_id:string,kind:string,ord:int,verdict:boolean,blocking:boolean,caveats:array<string>,quote:string,rationale:string,"
+    f"evidence:array<{CITED}>,missing:string,where:string,query:string,settled_by:struct<verdict:string,answered_by:string,answered_on:date,note:string>>"
+)
 
-    def one(nct_id, i, c):
+
+def detail(protocol: Protocol, place: dict[Lookup, int], as_of: date, policy: str) -> Column:
+    """The criteria of a protocol with verdict and reason, as an array on the patient's row."""
+    def one(i, c):
         r = reason(c.predicate, place, as_of, policy)
         return F.struct(
-            F.lit(nct_id).alias("nct_id"), F.lit(c.id).alias("criterion_id"), F.lit(c.kind).alias("kind"), F.lit(i).alias("ord"),
-            verdict(c.predicate, place, as_of, policy).alias("verdict"), blocking(c.predicate, place, as_of, policy).alias("blocking"),
-            r.rationale.alias("rationale"), r.evidence.alias("evidence"), r.missing.cast("string").alias("missing"), r.where.cast("string").alias("where"), r.query.cast("string").alias("query"),
-            F.array(*[F.lit(x) for x in caveats(c.predicate)]).cast("array<string>").alias("caveats"),
-        )
+            F.lit(c.id).alias("criterion_id"), F.lit(c.kind).alias("kind"), F.lit(i).alias("ord"),
+            verdict(c.predicate, place, as_of, policy).alias("verdict"), blocking(c.predicate, place, as_of, policy).alias("blocking"), caveats(c.predicate, place, as_of, policy).alias("caveats"),
+            F.lit(c.quote).alias("quote"), r.rationale.alias("rationale"), r.evidence.alias("evidence"), r.missing.alias("missing"), r.where.alias("where"), r.query.alias("query"),
+            F.lit(None).alias("settled_by"),
+        ).cast(DETAIL)
+
+    return F.array(*[one(i, c) for i, c in enumerate(protocol.criteria)]).cast(f"array<{DETAIL}>")
 
-    all_of_them = F.array(*[one(p.nct_id, i, c) for p in protocols for i, c in enumerate(p.criteria)])
-    return rows.select("patient_id", F.explode(all_of_them).alias("x")).select("x.nct_id", "patient_id", *[f"x.{c}" for c in ("criterion_id", "kind", "ord", "verdict", "blocking", "rationale", "evidence", "missing", "where", "query", "caveats")])
+
+def reasoned(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policy: str = "coverage_gated", settlements: DataFrame | None = None) -> DataFrame:
+    """nct_id, the columns of patients and results (array of DETAIL) for each protocol and patient alive: one lookup of the evidence.
+
+    settlements: nct_id, patient_id, criterion_id, verdict, answered_by,
+    answered_on, note. The latest answer counts, and only where the record is silent.
+    """
+    rows, place = looked_up(patients, evidence, protocols, as_of)
+    place["fields"] = tuple(c for c in ("resource_type", "resource_id", "fhir_path") if c in evidence.columns)
+    each = F.explode(F.array(*[F.struct(F.lit(p.nct_id).alias("nct_id"), detail(p, place, as_of, policy).alias("results")) for p in protocols]))
+    out = rows.select(*patients.columns, each.alias("x")).select("x.nct_id", *patients.columns, "x.results")
+    if settlements is None:
+        return out
+    key = ["nct_id", "patient_id"]
+    last = settlements.groupBy(*key, "criterion_id").agg(F.max(F.struct("answered_on", "answered_by", "verdict", "note")).alias("s"))
+    own = last.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("criterion_id", F.struct("s.verdict", "s.answered_by", "s.answered_on", "s.note")))).alias("answers"))
+
+    def answered(x: Column) -> Column:
+        s = F.try_element_at("answers", x["criterion_id"])
+        sentence = settled_sentence(s["verdict"], s["answered_by"], s["answered_on"], s["note"])
+        settled = x.withField("verdict", s["verdict"] == "MET").withField("rationale", sentence).withField("evidence", _nothing()).withField("settled_by", s)
+        for c in ("missing", "where", "query"):
+            settled = settled.withField(c, _none())
+        return F.when(x["verdict"].isNull() & s.isNotNull(), settled).otherwise(x)
+
+    return out.join(own, key, "left").withColumn("results", F.when(F.col("answers").isNull(), F.col("results")).otherwise(F.transform("results", answered))).drop("answers")
+
+
+def explain(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policy: str = "coverage_gated", settlements: DataFrame | None = None) -> DataFrame:
+    """nct_id, patient_id, criterion_id, kind, ord, verdict, blocking, rationale, evidence (array of seq), missing, where, query, caveats: one row for each criterion of each patient alive."""
+    rows = reasoned(patients, evidence, protocols, as_of, policy, settlements).select("nct_id", "patient_id", F.explode("results").alias("x"))
+    return rows.select(
+        "nct_id", "patient_id", *[f"x.{c}" for c in ("criterion_id", "kind", "ord", "verdict", "blocking", "rationale")],
+        F.transform("x.evidence", lambda e: e["seq"]).alias("evidence"), *[f"x.{c}" for c in ("missing", "where", "query", "caveats")],
+    )
 
 
 def settled_sentence(verdict: Column, answered_by: Column, answered_on: Column, note: Column) -> Column:

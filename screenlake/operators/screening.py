@@ -30,6 +30,8 @@ from screenlake.plans.criteria import Composite, Criterion, Demographic, Observa
 POLICIES = ("coverage_gated", "closed_world", "open_world")
 #: Lookups that one aggregation keeps; more are taken in several, joined by patient.
 WIDTH = 250
+#: Where a fact stands in its source; kept with the latest row, if evidence has it.
+RECORD = ("resource_type", "resource_id", "fhir_path")
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,9 @@ def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: dat
         elif not x.codes:
             others.append(F.when((F.col("kind") == x.kind) & named & folded(F.col("display")).contains(F.lit(x.text.casefold())), F.lit(i)))
     hits = F.concat(F.coalesce("coded", none), F.array_compact(F.array(*others)) if others else none)
-    rows = rows.select("patient_id", "date", "seq", "value", "unit", "display", F.explode(hits).alias("lookup"))
-    first = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit", "display")
+    record = [c for c in RECORD if c in rows.columns]
+    rows = rows.select("patient_id", "date", "seq", "value", "unit", "display", *record, F.explode(hits).alias("lookup"))
+    first = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit", "display", *record)
     counts = {i: in_window(F.col("date"), x.window.relation if x.window else None, _start(x.window, as_of), as_of) for i, x in mine}
     return rows.groupBy("patient_id").agg(*[F.min(F.when((F.col("lookup") == i) & counts[i], first)).alias(f"l{i}") for i, _ in mine])
 
@@ -153,14 +156,29 @@ def blocking(p, place: dict[Lookup, int], as_of: date, policy: str) -> Column:
     return F.lit(getattr(p, "settlement", None) != "at_visit" or p.type != "unsupported")
 
 
-def caveats(p) -> list[str]:
-    """Windows that the protocol counts from another event than screening."""
-    out = []
-    for x in leaves(p):
-        window = getattr(x, "window", None)
-        if window is not None and window.anchor != "screening":
-            out.append(f"window counted from {window.anchor} in the protocol, from the screening date here")
-    return out
+# Fixed value: how a packet words a window that is counted from another event.
+CAVEAT = "the protocol anchors this window to {0}, which was evaluated against the screening date"
+
+
+def caveats(p, place: dict, as_of: date, policy: str) -> Column:
+    """Windows that the protocol counts from another event than screening: of the members that settle a composite, else of all."""
+    none = F.array().cast("array<string>")
+    anchored = [x for x in leaves(p) if getattr(x, "window", None) is not None and x.window.anchor != "screening"]
+    if not anchored:
+        return none
+    if not isinstance(p, Composite):
+        return F.array(F.lit(CAVEAT.format(p.window.anchor)))
+    members = [caveats(x, place, as_of, policy) for x in p.operands]
+    if p.type == "not":
+        return members[0]
+    return F.flatten(F.array(*[F.when(s, m).otherwise(none) for s, m in zip(settling(p, place, as_of, policy), members, strict=True)]))
+
+
+def settling(p: Composite, place: dict, as_of: date, policy: str) -> list[Column]:
+    """For each member, whether the composite rests on it: the decisive members alone, where there are any."""
+    decisive = F.lit(p.type == "any_of")
+    settled = verdict(p, place, as_of, policy).eqNullSafe(decisive)
+    return [~settled | verdict(x, place, as_of, policy).eqNullSafe(decisive) for x in p.operands]
 
 
 def dead(as_of: date) -> Column:
@@ -179,7 +197,7 @@ def _results(protocol: Protocol, place: dict[Lookup, int], as_of: date, policy:
             F.lit(i).alias("ord"),
             verdict(c.predicate, place, as_of, policy).alias("verdict"),
             blocking(c.predicate, place, as_of, policy).alias("blocking"),
-            F.array(*[F.lit(x) for x in caveats(c.predicate)]).cast("array<string>").alias("caveats"),
+            caveats(c.predicate, place, as_of, policy).alias("caveats"),
         )
 
     return F.array(*[one(i, c) for i, c in enumerate(protocol.criteria)]).cast(RESULTS)
@@ -255,10 +273,10 @@ def screen(patients: DataFrame, evidence: DataFrame, protocol: Protocol, as_of:
     results = criterion_results(patients, evidence, protocol, as_of, policy)
     if settlements is not None:
         results = settle(results, settlements, protocol.nct_id)
-    return _with_the_dead(roll_up(results), patients.filter(dead(as_of)))
+    return with_the_dead(roll_up(results), patients.filter(dead(as_of)))
 
 
-def _with_the_dead(rolled: DataFrame, gone: DataFrame) -> DataFrame:
+def with_the_dead(rolled: DataFrame, gone: DataFrame) -> DataFrame:
     decided = rolled.withColumn("blocked_by", F.lit(None).cast("string"))
     none = F.array().cast("array<string>")
     gone = gone.withColumns({
@@ -279,7 +297,7 @@ def screen_all(patients: DataFrame, evidence: DataFrame, protocols: list[Protoco
     results = rows.select(*patients.columns, each.alias("x")).select("x.nct_id", "x.policy", *patients.columns, "x.results")
     names = F.explode(F.array(*[F.struct(F.lit(p.nct_id).alias("nct_id"), F.lit(policy).alias("policy")) for p, policy in pairs]))
     gone = patients.filter(dead(as_of)).select("*", names.alias("x")).select("x.nct_id", "x.policy", *patients.columns)
-    return _with_the_dead(roll_up(results), gone)
+    return with_the_dead(roll_up(results), gone)
 
 
 def measures(screenings: DataFrame) -> DataFrame:

@@ -155,7 +155,8 @@ QUERIES = {
     "concept_keys": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(text.concept_key(F.concat(F.lit("  "), F.col("p_type"), F.lit(" ., "))).alias("key")).agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n")),
     "number_tokens": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(text.numbers(F.col("text")), " ").cast("binary")).alias("all_md5")),
     "cost_rollup": lambda s, d: metrics.cost_rollup(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("agent"), F.expr("if(event_id % 10 = 0, null, value)").alias("usd"))).select("agent", "calls", "priced", "unpriced", F.round("usd", 4).alias("usd")),
-    "tape_replay": lambda s, d: lookups.replay(*tape(s, d), strict=False).groupBy("agent").agg(F.count("*").alias("requests"), F.count("response").alias("hits")),
+    "tape_replay": lambda s, d: lookups.replay(*tape(s, d), strict=False).groupBy("agent", "schema").agg(F.count("*").alias("requests"), F.count("response").alias("hits")),
+    "tape_keys": lambda s, d: tape(s, d)[1].select("key", "agent", "system", F.length("user").alias("n_user"), F.sha2("response", 256).alias("response")),
     "concept_store_misses": lambda s, d: lookups.store_misses(concept_requests(s, d), concept_store(s, d)),
     "adjudicated_labels": lambda s, d: lookups.adjudicate(*passes(s, d)).select("pair_id", "first", "second", "label", "open"),
     "span_claims": lambda s, d: protocol_text.claims(protocol_text.segment(documents_lines(s, d)), documents_quotes(s, d)).groupBy("nct_id", "claim").agg(F.count("*").alias("n")),
@@ -180,10 +181,11 @@ def window_relations(rows: DataFrame) -> DataFrame:
 
 
 def tape(spark, d):
-    """Requests and recorded exchanges from conversations: an odd conversation was recorded."""
+    """Requests and recorded exchanges from conversations: an odd conversation was recorded, and every third one under another schema."""
     c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("role").alias("agent"), F.coalesce("text", F.lit("")).alias("user"))
-    requests = c.select("agent", F.lit("m").alias("model"), F.lit("").alias("system"), "user")
-    return requests, lookups.recorded(c.filter("conv_id % 2 = 1").select("agent", F.lit("m").alias("model"), F.lit("").alias("system"), "user", F.upper("user").alias("response")))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    asked = c.select("conv_id", "agent", F.lit("m").alias("model"), F.array(message("system", F.lit("Answer.")), message("user", F.col("user"))).alias("messages"), F.expr("if(conv_id % 3 = 0, 'plan', 'critique')").alias("schema"))
+    return asked.drop("conv_id"), lookups.recorded(asked.filter("conv_id % 2 = 1").withColumn("response", F.upper(lookups.said("user"))))
 
 
 def concept_requests(spark, d):
@@ -326,7 +328,11 @@ SELECT n, round(agree / n, 9) AS observed, round(chance / (n * n), 9) AS expecte
     "concept_keys": "SELECT lower(p_type) AS key, min(p_partkey) AS first_part, count(*) AS n FROM part GROUP BY 1",
     "number_tokens": r"SELECT doc_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, md5(array_to_string(regexp_extract_all(text, '\d+(?:\.\d+)?'), ' ')) AS all_md5 FROM documents",
     "cost_rollup": "SELECT event_type AS agent, count(*) AS calls, count(*) FILTER (event_id % 10 <> 0) AS priced, count(*) FILTER (event_id % 10 = 0) AS unpriced, round(coalesce(sum(CASE WHEN event_id % 10 <> 0 THEN value END), 0), 4) AS usd FROM events GROUP BY ROLLUP (event_type)",
-    "tape_replay": "WITH c AS (SELECT conv_id, role AS agent, coalesce(text, '') AS u FROM conversations), r AS (SELECT DISTINCT agent, u FROM c WHERE conv_id % 2 = 1) SELECT c.agent, count(*) AS requests, count(r.u) AS hits FROM c LEFT JOIN r ON c.agent = r.agent AND c.u = r.u GROUP BY c.agent",
+    "tape_replay": """WITH c AS (SELECT conv_id, role AS agent, coalesce(text, '') AS u, CASE WHEN conv_id % 3 = 0 THEN 'plan' ELSE 'critique' END AS schema FROM conversations), r AS (SELECT DISTINCT u, schema FROM c WHERE conv_id % 2 = 1)
+ SELECT c.agent, c.schema, count(*) AS requests, count(r.u) AS hits FROM c LEFT JOIN r USING (u, schema) GROUP BY ALL""",
+    "tape_keys": r"""WITH c AS (SELECT role AS agent, coalesce(text, '') AS u, CASE WHEN conv_id % 3 = 0 THEN 'plan' ELSE 'critique' END AS schema FROM conversations WHERE conv_id % 2 = 1),
+ k AS (SELECT agent, u, sha256('{"messages":[{"content":"Answer.","role":"system"},{"content":' || CAST(to_json(u) AS VARCHAR) || ',"role":"user"}],"model":"m","schema":"' || schema || '"}') AS key FROM c)
+ SELECT key, min(agent) AS agent, 'Answer.' AS system, length(any_value(u)) AS n_user, sha256(upper(any_value(u))) AS response FROM k GROUP BY key""",
     "concept_store_misses": "SELECT DISTINCT lower(p_name) AS key FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 2 = 0 AND p_size > 45)",
     "adjudicated_labels": """WITH a AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l FROM labels), b AS (SELECT doc_id AS pair_id, CASE WHEN toxic = 1 THEN 'no' ELSE 'yes' END AS l FROM labels WHERE doc_id % 11 <> 0)
 SELECT pair_id, a.l AS first, b.l AS second, CASE WHEN a.l = b.l THEN a.l WHEN b.l IS NOT NULL AND pair_id % 2 = 0 THEN 'yes' END AS label, (a.l = b.l OR (b.l IS NOT NULL AND pair_id % 2 = 0)) IS NOT TRUE AS open FROM a LEFT JOIN b USING (pair_id)""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from screenlake.plans import catalog, charts, evaluation, texts
+from screenlake.plans import catalog, charts, evaluation, packets, texts
 
-QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES
-SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL
+QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES | packets.QUERIES
+SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL | packets.SQL
 FLAGSHIP = catalog.FLAGSHIP

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 def paired(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row a patient: decision, coverage, blocked and results of both runs, and the criteria that moved."""
     side = lambda df, tail: df.select("patient_id", *[F.col(c).alias(f"{c}_{tail}") for c in ("decision", "coverage", "results")], F.col("blocked_by").isNotNull().alias(f"blocked_{tail}"))
-    both = side(before, "b").join(side(after, "a"), "patient_id")
+    return moved(side(before, "b").join(side(after, "a"), "patient_id"))
+
+
+def moved(both: DataFrame) -> DataFrame:
+    """Adds the verdicts of both runs by criterion (b, a) and the criteria whose verdict moved, to rows with results_b and results_a."""
     verdicts = lambda c: F.map_from_entries(F.transform(c, lambda r: F.struct(r["criterion_id"], r["verdict"])))
     both = both.withColumn("b", verdicts("results_b")).withColumn("a", verdicts("results_a"))
     ids = F.array_sort(F.array_union(F.map_keys("b"), F.map_keys("a")))

@@ -75,15 +75,18 @@ def latest(evidence: DataFrame, wanted: list[Lookup], as_of: date) -> DataFrame:
     return out
 
 
-def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: date) -> DataFrame:
-    spark = evidence.sparkSession
-    mine = [(i, wanted[i]) for i in places]
+def with_lookups(rows: DataFrame, wanted: list[Lookup], places: range | None = None, keep: Column | None = None) -> DataFrame:
+    """Rows of evidence, one for each lookup (its place) that they meet by kind and code, or by wording if it has no code; of the others those to keep, with none."""
+    spark = rows.sparkSession
+    mine = [(i, wanted[i]) for i in (range(len(wanted)) if places is None else places)]
     by_code: dict[tuple[str, str, str], list[int]] = {}
     for i, x in mine:
         for s, c in x.codes:
             by_code.setdefault((x.kind, s, c), []).append(i)
-    rows = evidence if "source" in evidence.columns else evidence.withColumn("source", F.lit("structured"))
-    rows = rows.filter(F.col("kind").isin(sorted({x.kind for _, x in mine}))).filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of)))
+    if "source" not in rows.columns:
+        rows = rows.withColumn("source", F.lit("structured"))
+    of_kind = F.col("kind").isin(sorted({x.kind for _, x in mine}))
+    rows = rows.filter(of_kind if keep is None else of_kind | keep)
     # at most a row for each code of the protocols
     coded = F.broadcast(spark.createDataFrame([(*k, v) for k, v in by_code.items()], "kind string, system string, code string, coded array<int>"))
     rows = rows.join(coded, ["kind", "system", "code"], "left")
@@ -96,8 +99,16 @@ def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: dat
         elif not x.codes:
             others.append(F.when((F.col("kind") == x.kind) & named & folded(F.col("display")).contains(F.lit(x.text.casefold())), F.lit(i)))
     hits = F.concat(F.coalesce("coded", none), F.array_compact(F.array(*others)) if others else none)
-    record = [c for c in RECORD if c in rows.columns]
-    rows = rows.select("patient_id", "date", "seq", "value", "unit", "display", *record, F.explode(hits).alias("lookup"))
+    if keep is None:
+        return rows.withColumn("lookup", F.explode(hits))
+    return rows.withColumn("lookup", F.explode_outer(hits)).filter(F.col("lookup").isNotNull() | keep)
+
+
+def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: date) -> DataFrame:
+    mine = [(i, wanted[i]) for i in places]
+    record = [c for c in RECORD if c in evidence.columns]
+    rows = with_lookups(evidence.filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of))), wanted, places)
+    rows = rows.select("patient_id", "date", "seq", "value", "unit", "display", *record, "lookup")
     first = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit", "display", *record)
     counts = {i: in_window(F.col("date"), x.window.relation if x.window else None, _start(x.window, as_of), as_of) for i, x in mine}
     return rows.groupBy("patient_id").agg(*[F.min(F.when((F.col("lookup") == i) & counts[i], first)).alias(f"l{i}") for i, _ in mine])

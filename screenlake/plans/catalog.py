@@ -185,7 +185,7 @@ def tape(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("role").alias("agent"), F.coalesce("text", F.lit("")).alias("user"))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     asked = c.select("conv_id", "agent", F.lit("m").alias("model"), F.array(message("system", F.lit("Answer.")), message("user", F.col("user"))).alias("messages"), F.expr("if(conv_id % 3 = 0, 'plan', 'critique')").alias("schema"))
-    return asked.drop("conv_id"), lookups.recorded(asked.filter("conv_id % 2 = 1").withColumn("response", F.upper(lookups.said("user"))))
+    return asked.drop("conv_id"), lookups.recorded(asked.filter("conv_id % 2 = 1").withColumn("response", F.concat(F.lit("Answer to: "), lookups.said("user"))))
 
 
 def concept_requests(spark, d):
@@ -331,8 +331,8 @@ SELECT n, round(agree / n, 9) AS observed, round(chance / (n * n), 9) AS expecte
     "tape_replay": """WITH c AS (SELECT conv_id, role AS agent, coalesce(text, '') AS u, CASE WHEN conv_id % 3 = 0 THEN 'plan' ELSE 'critique' END AS schema FROM conversations), r AS (SELECT DISTINCT u, schema FROM c WHERE conv_id % 2 = 1)
  SELECT c.agent, c.schema, count(*) AS requests, count(r.u) AS hits FROM c LEFT JOIN r USING (u, schema) GROUP BY ALL""",
     "tape_keys": r"""WITH c AS (SELECT role AS agent, coalesce(text, '') AS u, CASE WHEN conv_id % 3 = 0 THEN 'plan' ELSE 'critique' END AS schema FROM conversations WHERE conv_id % 2 = 1),
- k AS (SELECT agent, u, sha256('{"messages":[{"content":"Answer.","role":"system"},{"content":' || CAST(to_json(u) AS VARCHAR) || ',"role":"user"}],"model":"m","schema":"' || schema || '"}') AS key FROM c)
- SELECT key, min(agent) AS agent, 'Answer.' AS system, length(any_value(u)) AS n_user, sha256(upper(any_value(u))) AS response FROM k GROUP BY key""",
+ k AS (SELECT agent, u, sha256('{"messages":[{"content":"Answer.","role":"system"},{"content":' || array_slice(CAST(to_json([u]) AS VARCHAR), 2, -2) || ',"role":"user"}],"model":"m","schema":"' || schema || '"}') AS key FROM c)
+ SELECT key, min(agent) AS agent, 'Answer.' AS system, length(any_value(u)) AS n_user, sha256('Answer to: ' || any_value(u)) AS response FROM k GROUP BY key""",
     "concept_store_misses": "SELECT DISTINCT lower(p_name) AS key FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 2 = 0 AND p_size > 45)",
     "adjudicated_labels": """WITH a AS (SELECT doc_id AS pair_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS l FROM labels), b AS (SELECT doc_id AS pair_id, CASE WHEN toxic = 1 THEN 'no' ELSE 'yes' END AS l FROM labels WHERE doc_id % 11 <> 0)
 SELECT pair_id, a.l AS first, b.l AS second, CASE WHEN a.l = b.l THEN a.l WHEN b.l IS NOT NULL AND pair_id % 2 = 0 THEN 'yes' END AS label, (a.l = b.l OR (b.l IS NOT NULL AND pair_id % 2 = 0)) IS NOT TRUE AS open FROM a LEFT JOIN b USING (pair_id)""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from screenlake.plans import catalog, charts, evaluation, packets, texts
+from screenlake.plans import catalog, charts, evaluation, overlays, packets, texts
 
-QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES | packets.QUERIES
-SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL | packets.SQL
+QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES | packets.QUERIES | overlays.QUERIES
+SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL | packets.SQL | overlays.SQL
 FLAGSHIP = catalog.FLAGSHIP

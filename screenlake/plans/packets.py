@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from screenlake.operators import packets
 from screenlake.plans.catalog import _BASE, AS_OF, CREATININE, GLUCOSE, LOW, SECOND, SECOND_SQL, URGENT, _latest, _within, patients, tables
+from screenlake.sources import viewer
 from screenlake.plans.criteria import Composite, Criterion, Demographic, Observation, Presence, Protocol, Unsupported, Window
 
 THIRD = Protocol("NCT-C", (
@@ -50,6 +51,7 @@ QUERIES = {
     "packet_rows": lambda s, d: _cited(packets.rows(documents(s, d))),
     "packet_items": lambda s, d: packets.items(documents(s, d)),
     "packet_caveats": lambda s, d: packets.caveats(documents(s, d)).withColumn("criterion_ids", F.array_join("criterion_ids", ",")),
+    "viewer_index": lambda s, d: viewer.entries(documents(s, d)).drop("patient_summary", "screened_on").withColumn("deciding_criterion_ids", F.array_join("deciding_criterion_ids", ",")),
 }
 
 _AGE = "CASE WHEN age IS NULL THEN 'no date of birth is recorded, so age cannot be computed' ELSE 'age ' || age || ' years at screening against {0}' END"
@@ -132,5 +134,13 @@ SQL = {
   SELECT nct_id, patient_id, ord, criterion_id, 'deciding' AS section, rationale AS text FROM placed WHERE decisive
   UNION ALL SELECT nct_id, patient_id, ord, criterion_id, 'open_items', missing FROM placed JOIN heads USING (nct_id, patient_id) WHERE decision = 'needs_review' AND verdict IS NULL AND blocking
   UNION ALL SELECT nct_id, patient_id, ord, criterion_id, 'at_visit', rationale FROM placed JOIN heads USING (nct_id, patient_id) WHERE decision <> 'ineligible' AND verdict IS NULL AND NOT blocking)"""),
+    "viewer_index": _q("""SELECT h.nct_id, h.patient_id, h.nct_id || '--' || h.patient_id || '.json' AS file, decision, CASE decision WHEN 'eligible' THEN 'Eligible' WHEN 'ineligible' THEN 'Not eligible' ELSE 'Needs review before a decision' END AS decision_label, blocked_by,
+  CAST(total AS INTEGER) AS criteria_total, CAST(resolved AS INTEGER) AS criteria_resolved, CAST(coalesce(n_open, 0) AS INTEGER) AS open_items, CAST(coalesce(n_asked, 0) AS INTEGER) AS open_retrievable, CAST(coalesce(n_open - n_asked, 0) AS INTEGER) AS open_needing_a_person,
+  coalesce(asked.missing, anyone.missing) AS blocking, coalesce(asked.criterion_id, anyone.criterion_id) AS blocking_criterion_id, coalesce(ids, '') AS deciding_criterion_ids, CAST(n_caveats AS INTEGER) AS approximations,
+  CAST(CASE WHEN decision <> 'ineligible' THEN coalesce(n_visit, 0) ELSE 0 END AS INTEGER) AS at_visit
+ FROM heads h LEFT JOIN (SELECT nct_id, patient_id, count(*) FILTER (NOT blocking AND verdict IS NULL) AS n_visit, string_agg(criterion_id, ',' ORDER BY criterion_id LIKE 'EXC%', ord) FILTER (decisive) AS ids,
+   count(*) FILTER (blocking AND verdict IS NULL AND NOT open_decided) AS n_open, count(*) FILTER (blocking AND verdict IS NULL AND NOT open_decided AND has_query) AS n_asked,
+   arg_min({'missing': missing, 'criterion_id': criterion_id}, ord) FILTER (blocking AND verdict IS NULL AND NOT open_decided AND has_query) AS asked, arg_min({'missing': missing, 'criterion_id': criterion_id}, ord) FILTER (blocking AND verdict IS NULL AND NOT open_decided) AS anyone
+   FROM (SELECT *, bool_or(decisive) OVER (PARTITION BY nct_id, patient_id) AS open_decided, nct_id = 'NCT-C' OR criterion_id <> 'EXC-02' AS has_query FROM placed) GROUP BY ALL) USING (nct_id, patient_id)"""),
     "packet_caveats": _q("""SELECT nct_id, patient_id, CAST(row_number() OVER (PARTITION BY nct_id, patient_id ORDER BY min(ord)) - 1 AS INTEGER) AS place, caveats AS text, string_agg(criterion_id, ',' ORDER BY ord) AS criterion_ids FROM placed WHERE caveats <> '' GROUP BY nct_id, patient_id, caveats"""),
 }

@@ -195,23 +195,12 @@ def verify_digests(spark: SparkSession, root: str, listing: str) -> DataFrame:
 
 
 def write_digests(spark: SparkSession, root: str, listing: str) -> int:
-    """The listing of all files below root; a line a file."""
-    rows = digests(spark, root).orderBy("name").collect()
-    _put(spark, listing, "".join(f"{r.sha256}  {r.name}\n" for r in rows).encode())
-    return len(rows)
+    """The listing of all files below root, a line a file, in the order of names: text files in the folder listing, one a part of a range sort."""
+    rows = digests(spark, root).withColumn("value", F.concat_ws("  ", "sha256", "name"))
+    rows.repartitionByRange("name").sortWithinPartitions("name").select("value").write.mode("overwrite").text(listing)
+    return spark.read.text(listing).count()
 
 
 def manifest(summaries: DataFrame) -> DataFrame:
     """patients, deceased, bytes, entries, first and last visit of a corpus of bundle summaries."""
     return summaries.agg(F.count("*").alias("patients"), F.count("deceased").alias("deceased"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_entries").alias("n_entries"), F.min("first_visit").alias("first_visit"), F.max("last_visit").alias("last_visit"))
-
-
-def selected(ranked: DataFrame, budget: int, most: int, score: str = "score", size: str = "n_bytes") -> list[str]:
-    """Patients in the order of score for each byte, as long as the budget lasts. A greedy choice depends on all before it, so it runs on the driver, over the best rows only."""
-    rows = ranked.filter(F.col(size) <= budget).orderBy(F.desc(F.col(score) / F.col(size)), "patient_id").select("patient_id", size)
-    taken: list[str] = []
-    for row in rows.limit(50 * most).collect():  # a corpus of a few dozen
-        if len(taken) < most and row[size] <= budget:
-            taken.append(row.patient_id)
-            budget -= row[size]
-    return taken

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,11 +15,13 @@ from screenlake.functions.text import quote_key
 HEADER = r"(?i)^\s*(?:key\s+)?(inclusion|exclusion)\s+criteri(?:on|a)\b\s*:?\s*$"
 ITEM = r"^(\s*)(?:[*\-•]|\(?\d+[.)]|[a-z][.)])\s+(\S.*)$"
 BOILERPLATE = "the above information is not intended to contain all considerations relevant to a participant's potential participation in a clinical trial"
+#: Bytes of a batch of criteria, about.
+BATCH = 4 << 20
 
 
-def spans_of(text: str) -> list[tuple[int, str, str, int, int | None]]:
-    """Index, section, text, start and parent of the criteria in one text, in one pass with a stack of the open, less indented lines above."""
-    out, open_, section, offset = [], [], "unspecified", 0
+def spans_of(text: str) -> Iterator[tuple[int, str, str, int, int | None, int, int]]:
+    """Index, section, text, start, parent, root and depth of the criteria in one text, in one pass with a stack of the open, less indented lines above."""
+    open_, section, offset, n = [], "unspecified", 0, 0
     for raw in text.split("\n"):
         start, trimmed = offset, raw.strip()
         offset += len(raw) + 1
@@ -33,31 +36,45 @@ def spans_of(text: str) -> list[tuple[int, str, str, int, int | None]]:
             open_.pop()
         parent = open_[-1] if open_ else None
         own = parent[2] if parent else section
-        open_.append((indent, len(out), own))
-        out.append((len(out), own, body, start + raw.index(body), parent[1] if parent else None))
-    return out
+        open_.append((indent, n, own))
+        yield n, own, body, start + raw.index(body), parent[1] if parent else None, open_[0][1], len(open_) - 1
+        n += 1
 
 
 def segment(protocols: DataFrame) -> DataFrame:
-    """nct_id, index, section, text, char_start, char_end, parent_index of the criteria in protocols(nct_id, text).
+    """nct_id, index, section, text, char_start, char_end, parent_index, root_index, depth of the criteria in protocols(nct_id, text).
 
     One criterion a line, with its place in the text. Headers set the section of
     what follows, deeper indented lines belong to the last shallower one above,
     and children have the section of their parent. A task holds one text at a
-    time, in memory that grows with its length; nothing is shuffled. A null text
-    has no criteria.
+    time and gives its criteria in batches; nothing is shuffled. A null text has
+    no criteria.
     """
-    shape = f"nct_id {dict(protocols.dtypes)['nct_id']}, index int, section string, text string, char_start long, char_end long, parent_index int"
+    shape = f"nct_id {dict(protocols.dtypes)['nct_id']}, index int, section string, text string, char_start long, char_end long, parent_index int, root_index int, depth int"
     names = [x.split()[0] for x in shape.split(", ")]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = spans_of(batch.column(1)[i].as_py() or "")
-                if found:
-                    index, section, text, start, parent = zip(*found, strict=True)
-                    cols = [pa.array(index, pa.int32()), pa.array(section), pa.array(text), pa.array(start, pa.int64()), pa.array([s + len(t) for s, t in zip(start, text, strict=True)], pa.int64()), pa.array(parent, pa.int32())]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found))), *cols], names=names)
+            of, rows, size = [], [], 0
+
+            def packed(batch=batch):
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], names=names)
+                of.clear()
+                rows.clear()
+                return out
+
+            for i, text in enumerate(batch.column(1)):
+                for index, section, body, start, parent, root, depth in spans_of(text.as_py() or ""):
+                    of.append(i)
+                    rows.append((index, section, body, start, start + len(body), parent, root, depth))
+                    size += len(body) + 100
+                    if size > BATCH:
+                        size = 0
+                        yield packed()
+            if rows:
+                yield packed()
 
     return protocols.select("nct_id", "text").mapInArrow(run, shape)
 
@@ -89,30 +106,35 @@ def downgraded(criteria: DataFrame, protocols: DataFrame) -> DataFrame:
 
 def plan_units(spans: DataFrame) -> DataFrame:
     """nct_id, unit, section, lines: a top span with all spans below it, in order, which are compiled together."""
-    known = spans.groupBy("nct_id").agg(F.map_from_entries(F.collect_list(F.struct("index", F.coalesce("parent_index", F.lit(-1))))).alias("parents"))
-    rows = spans.join(known, "nct_id")
-    climb = lambda i: F.when(F.col("parents")[i] >= 0, F.col("parents")[i]).otherwise(i)
-    root = F.aggregate(F.sequence(F.lit(1), F.size("parents")), F.col("index"), lambda i, _: climb(i))
-    return rows.withColumn("unit", root).groupBy("nct_id", "unit").agg(F.min_by("section", "index").alias("section"), F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]).alias("lines"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"])
+    return spans.groupBy("nct_id", F.col("root_index").alias("unit")).agg(F.min_by("section", "index").alias("section"), lines.alias("lines"))
 
 
 def claims(spans: DataFrame, criteria: DataFrame) -> DataFrame:
     """nct_id, index, claim: direct if a criterion quotes the span or the span has its quote, inherited from a claimed ancestor, else unclaimed.
 
-    criteria: nct_id, quote. Quotes of one protocol meet its spans only.
+    criteria: nct_id, quote. Quotes of one protocol meet its spans only. Spans go
+    by in order, with whether the open ones above are claimed, one bit a level.
     """
     quotes = criteria.groupBy("nct_id").agg(F.collect_set(quote_key(F.col("quote"))).alias("quotes"))
-    own = spans.join(quotes, "nct_id", "left").withColumn("key", quote_key(F.col("text")))
+    own = spans.select("nct_id", "index", "depth", quote_key(F.col("text")).alias("key")).join(quotes, "nct_id", "left")
     direct = F.coalesce(F.exists("quotes", lambda q: F.col("key").contains(q) | q.contains(F.col("key"))), F.lit(False))
-    own = own.withColumn("direct", direct)
-    known = own.groupBy("nct_id").agg(F.map_from_entries(F.collect_list(F.struct("index", F.struct(F.coalesce("parent_index", F.lit(-1)).alias("parent"), "direct")))).alias("tree"))
-    rows = own.join(known, "nct_id")
-    start = F.struct(F.coalesce("parent_index", F.lit(-1)).alias("at"), F.lit(False).alias("hit"))
-    up = F.aggregate(
-        F.sequence(F.lit(1), F.size("tree")), start,
-        lambda acc, _: F.when(acc["at"] < 0, acc).otherwise(F.struct(F.col("tree")[acc["at"]]["parent"].alias("at"), (acc["hit"] | F.col("tree")[acc["at"]]["direct"]).alias("hit"))),
-    )
-    return rows.select("nct_id", "index", F.when(F.col("direct"), "direct").when(up["hit"], "inherited").otherwise("unclaimed").alias("claim"))
+    rows = own.select("nct_id", "index", "depth", direct.alias("direct")).repartition("nct_id").sortWithinPartitions("nct_id", "index")
+
+    def inherit(batches):
+        trial, above = None, []
+        for batch in batches:
+            out = []
+            for t, depth, hit in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if t != trial:
+                    trial, above = t, []
+                del above[depth:]
+                inherited = bool(above) and above[-1]
+                above.append(hit or inherited)
+                out.append("direct" if hit else "inherited" if inherited else "unclaimed")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["nct_id", "index", "claim"])
+
+    return rows.mapInArrow(inherit, f"nct_id {dict(spans.dtypes)['nct_id']}, index int, claim string")
 
 
 def unfaithful_quotes(criteria: DataFrame, protocols: DataFrame) -> DataFrame:

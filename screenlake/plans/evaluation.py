@@ -104,9 +104,9 @@ QUERIES = {
     "arm_by_expected": lambda s, d: arms.by_expected(all_scores(s, d)),
     "arm_by_trap": lambda s, d: arms.by_trap(all_scores(s, d)),
     "arm_comparison": lambda s, d: arms.compare(scores(s, d), scores(s, d, "coverage_gated")).select("arm", F.round("accuracy", 6).alias("accuracy"), "unsafe", F.round("accuracy_there", 6).alias("accuracy_there"), "unsafe_there"),
-    "arm_moved": lambda s, d: arms.moved(arms.compare(scores(s, d), scores(s, d, "coverage_gated"))),
+    "arm_moved": lambda s, d: arms.moved(arms.compare(scores(s, d, "open_world", "open_world"), scores(s, d, "closed_world", "open_world"))),
     "base_rate": lambda s, d: arms.base_rate(all_scores(s, d)).select("arm", F.round("accuracy", 6).alias("accuracy"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"), "cases", "expected", "cases_expected"),
-    "unsafe_errors": lambda s, d: scores(s, d).filter(metrics.unsafe()).select("arm", "case_id"),
+    "unsafe_errors": lambda s, d: scores(s, d, "open_world", "open_world").filter(metrics.unsafe()).select("arm", "case_id"),
     "derived_outcomes": lambda s, d: keys.derive(cases(s, d).select("case_id", "patient_id"), labels(s, d), patients(s, d), AS_OF).select("case_id", "decision", F.array_join("deciding_ids", ",").alias("deciding_ids"), F.array_join("unresolved_ids", ",").alias("unresolved_ids"), "by_vital_status"),
     "label_gaps": lambda s, d: keys.label_gaps(labels(s, d), labels(s, d).filter("(patient_id + ord) % 13 <> 0").withColumn("criterion_id", F.expr("if((patient_id + ord) % 17 = 0, 'EXC-09', criterion_id)"))),
     "replayed_charts": lambda s, d: replayed(s, d)[0].groupBy("case_id").agg(F.count("*").alias("n"), F.count_if((F.col("kind") == "condition") & (F.col("date") == F.lit(AS_OF))).alias("moved")),
@@ -151,6 +151,8 @@ _FLAGS = [_CASES, _LABELS, "more AS (SELECT patient_id, kind, code, value, date
           """flags AS (SELECT l.case_id, l.criterion_id, CASE WHEN c.provenance = 'constructed' AND b.holds THEN 'supplied' ELSE 'refuted' END AS status FROM labels3 l JOIN cases c USING (case_id) JOIN sup s ON s.patient_id = l.patient_id AND s.criterion_id = l.criterion_id JOIN built b ON b.patient_id = l.patient_id AND b.criterion_id = l.criterion_id WHERE l.verdict = 'met' AND NOT s.holds)"""]
 _REPLAY = [_CASES, "last AS (SELECT patient_id, max(seq) AS seq FROM evidence WHERE kind = 'condition' AND patient_id % 25 = 0 GROUP BY patient_id)"]
 _COMPARED = _SCORES + ", there AS (SELECT arm, s.decision, k.decision AS expected FROM (SELECT 'coverage_gated' AS arm, * FROM decided_g UNION ALL SELECT 'open_world', * FROM decided_o) s JOIN decided_g k USING (patient_id)), compared AS (SELECT * FROM (SELECT arm, avg((decision = expected)::INT) AS accuracy, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe FROM scores GROUP BY arm) LEFT JOIN (SELECT arm, avg((decision = expected)::INT) AS accuracy_there, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe_there FROM there GROUP BY arm) USING (arm))"
+#: Two arms against a key that never takes silence for absence, and one that always does.
+_OPEN_KEY = "(SELECT arm, CAST(a.patient_id AS VARCHAR) AS case_id, a.decision, o.decision AS expected, c.decision AS expected_there FROM (SELECT 'coverage_gated' AS arm, * FROM decided_g UNION ALL SELECT 'closed_world', * FROM decided_c) a JOIN decided_o o USING (patient_id) JOIN decided_c c USING (patient_id))"
 _CUT = "cut AS (SELECT * FROM redacted WHERE NOT coalesce(kind = 'encounter' AND date > DATE '1998-01-01', false))"
 
 SQL = {
@@ -160,10 +162,10 @@ SQL = {
     "arm_by_expected": _q("""PIVOT_ALIAS""", *_ALL).replace("PIVOT_ALIAS", "SELECT expected, max(n) AS cases, " + ", ".join(f"any_value(cell) FILTER (arm = '{a}') AS {a}" for a in ("always_eligible", "always_ineligible", "always_needs_review", "random", "screening")) + " FROM (SELECT expected, arm, count(*) AS n, count(*) FILTER (decision = expected) || '/' || count(*) AS cell FROM scores GROUP BY ALL) GROUP BY expected"),
     "arm_by_trap": _q("SELECT trap, " + ", ".join(f"any_value(cell) FILTER (arm = '{a}') AS {a}" for a in ("always_eligible", "always_ineligible", "always_needs_review", "random", "screening")) + " FROM (SELECT trap, arm, count(*) FILTER (decision = expected) || '/' || count(*) || ' correct, ' || count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') || ' unsafe' AS cell FROM scores GROUP BY ALL) GROUP BY trap", *_ALL),
     "arm_comparison": _q("SELECT arm, round(accuracy, 6) AS accuracy, unsafe, round(accuracy_there, 6) AS accuracy_there, unsafe_there FROM compared", _COMPARED),
-    "arm_moved": _q("SELECT arm FROM compared WHERE (unsafe > 0) <> (unsafe_there > 0)", _COMPARED),
+    "arm_moved": _q(f"SELECT arm FROM {_OPEN_KEY} GROUP BY arm HAVING (count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') > 0) <> (count(*) FILTER (decision = 'eligible' AND expected_there <> 'eligible') > 0)", _SCORES),
     "base_rate": _q("""SELECT arm, round(accuracy, 6) AS accuracy, round(balanced, 6) AS balanced_accuracy, cases, expected, cases_expected FROM (SELECT arm, avg((decision = expected)::INT) AS accuracy, count(*) AS cases FROM scores WHERE arm <> 'screening' GROUP BY arm ORDER BY accuracy DESC, arm LIMIT 1)
  JOIN (SELECT arm, avg(a) AS balanced FROM (SELECT arm, expected, avg((decision = expected)::INT) AS a FROM scores GROUP BY ALL) GROUP BY arm) USING (arm) JOIN (SELECT arm, unnest(max({'cases_expected': n, 'expected': expected})) FROM (SELECT arm, expected, count(*) AS n FROM scores GROUP BY arm, expected) GROUP BY arm) USING (arm)""", *_ALL),
-    "unsafe_errors": _q("SELECT arm, case_id FROM (SELECT 'coverage_gated' AS arm, CAST(a.patient_id AS VARCHAR) AS case_id, a.decision, k.decision AS expected FROM decided_g a JOIN decided_c k USING (patient_id) UNION ALL SELECT 'open_world', CAST(a.patient_id AS VARCHAR), a.decision, k.decision FROM decided_o a JOIN decided_c k USING (patient_id)) WHERE decision = 'eligible' AND expected <> 'eligible'", _SCORES),
+    "unsafe_errors": _q(f"SELECT arm, case_id FROM {_OPEN_KEY} WHERE decision = 'eligible' AND expected <> 'eligible'", _SCORES),
     "derived_outcomes": _q(f"""SELECT case_id, CASE WHEN gone THEN 'ineligible' WHEN deciding <> '' THEN 'ineligible' WHEN unresolved <> '' THEN 'needs_review' ELSE 'eligible' END AS decision, CASE WHEN gone THEN '' ELSE deciding END AS deciding_ids, CASE WHEN gone OR deciding <> '' THEN '' ELSE unresolved END AS unresolved_ids, gone AS by_vital_status FROM (
   SELECT l.case_id, any_value(coalesce(p.deceased <= DATE '{AS_OF}', false) OR p.deceased_undated) AS gone, coalesce(string_agg(criterion_id, ',' ORDER BY kind DESC, ord) FILTER ((kind = 'inclusion' AND verdict = 'not_met') OR (kind = 'exclusion' AND verdict = 'met')), '') AS deciding, coalesce(string_agg(criterion_id, ',' ORDER BY ord) FILTER (verdict = 'unknown'), '') AS unresolved
   FROM labels3 l JOIN patients p USING (patient_id) GROUP BY l.case_id)""", _CASES, _LABELS),

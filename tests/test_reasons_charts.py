@@ -99,16 +99,16 @@ def test_nested_protocol_of_many_lines(spark):
 def test_claims_and_units_of_a_deep_text_of_many_lines(spark):
     """Claims pass down from the nearest claimed line; 100,000 lines, half of them below each other."""
     n = 100_000
-    text = "\n".join([" " * i + f"* deep {i}" for i in range(400)] + [f"* top {i}\n  * child {i}" for i in range((n - 400) // 2)])
-    spans = protocol_text.segment(spark.createDataFrame([("N", text), ("M", "* deep 3\n* x"), ("E", None)], "nct_id string, text string"))
-    quotes = spark.createDataFrame([("N", "deep 200"), ("N", "top 7")], "nct_id string, quote string")
+    text = "\n".join([" " * i + f"* deep {i:04d}" for i in range(400)] + [f"* top {i}\n  * child {i}" for i in range((n - 400) // 2)])
+    spans = protocol_text.segment(spark.createDataFrame([("N", text), ("M", "* deep 0003\n* x"), ("E", None)], "nct_id string, text string"))
+    quotes = spark.createDataFrame([("N", "deep 0200"), ("N", "top 7")], "nct_id string, quote string")
     got = {(r.nct_id, r["index"]): r.claim for r in protocol_text.claims(spans, quotes).collect()}
     assert len(got) == n + 2 and got["M", 0] == got["M", 1] == "unclaimed"
     tops = {i: 400 + 2 * i for i in range((n - 400) // 2)}
     assert [got["N", i] for i in (0, 199, 200, 201, 399)] == ["unclaimed", "unclaimed", "direct", "inherited", "inherited"]
     assert got["N", tops[7]] == "direct" and got["N", tops[7] + 1] == "inherited" and got["N", tops[70]] == "direct" and got["N", tops[8]] == "unclaimed"
     units = {r.unit: r.lines for r in protocol_text.plan_units(spans).filter("nct_id = 'N'").collect()}
-    assert len(units[0]) == 400 and units[0][399] == "deep 399" and units[tops[5]] == ["top 5", "child 5"] and len(units) == 1 + (n - 400) // 2
+    assert len(units[0]) == 400 and units[0][399] == "deep 0399" and units[tops[5]] == ["top 5", "child 5"] and len(units) == 1 + (n - 400) // 2
 
 
 def test_numbers_as_written(spark):

@@ -19,8 +19,8 @@ BOILERPLATE = "the above information is not intended to contain all consideratio
 BATCH = 4 << 20
 
 
-def spans_of(text: str) -> Iterator[tuple[int, str, str, int, int | None, int, int]]:
-    """Index, section, text, start, parent, root and depth of the criteria in one text, in one pass with a stack of the open, less indented lines above."""
+def spans_of(text: str) -> Iterator[tuple[int, str, str, int, int | None, int]]:
+    """Index, section, text, start, parent and root of the criteria in one text, in one pass with a stack of the open, less indented lines above."""
     open_, section, offset, n = [], "unspecified", 0, 0
     for raw in text.split("\n"):
         start, trimmed = offset, raw.strip()
@@ -37,12 +37,12 @@ def spans_of(text: str) -> Iterator[tuple[int, str, str, int, int | None, int, i
         parent = open_[-1] if open_ else None
         own = parent[2] if parent else section
         open_.append((indent, n, own))
-        yield n, own, body, start + raw.index(body), parent[1] if parent else None, open_[0][1], len(open_) - 1
+        yield n, own, body, start + raw.index(body), parent[1] if parent else None, open_[0][1]
         n += 1
 
 
 def segment(protocols: DataFrame) -> DataFrame:
-    """nct_id, index, section, text, char_start, char_end, parent_index, root_index, depth of the criteria in protocols(nct_id, text).
+    """nct_id, index, section, text, char_start, char_end, parent_index, root_index of the criteria in protocols(nct_id, text).
 
     One criterion a line, with its place in the text. Headers set the section of
     what follows, deeper indented lines belong to the last shallower one above,
@@ -50,9 +50,9 @@ def segment(protocols: DataFrame) -> DataFrame:
     time and gives its criteria in batches; nothing is shuffled. A null text has
     no criteria.
     """
-    shape = f"nct_id {dict(protocols.dtypes)['nct_id']}, index int, section string, text string, char_start long, char_end long, parent_index int, root_index int, depth int"
+    shape = f"nct_id {dict(protocols.dtypes)['nct_id']}, index int, section string, text string, char_start long, char_end long, parent_index int, root_index int"
     names = [x.split()[0] for x in shape.split(", ")]
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         for batch in batches:
@@ -66,9 +66,9 @@ def segment(protocols: DataFrame) -> DataFrame:
                 return out
 
             for i, text in enumerate(batch.column(1)):
-                for index, section, body, start, parent, root, depth in spans_of(text.as_py() or ""):
+                for index, section, body, start, parent, root in spans_of(text.as_py() or ""):
                     of.append(i)
-                    rows.append((index, section, body, start, start + len(body), parent, root, depth))
+                    rows.append((index, section, body, start, start + len(body), parent, root))
                     size += len(body) + 100
                     if size > BATCH:
                         size = 0
@@ -104,8 +104,39 @@ def downgraded(criteria: DataFrame, protocols: DataFrame) -> DataFrame:
     return rows.withColumn("type", F.when(F.col("wrong"), "unsupported").otherwise(F.col("type"))).withColumn("reason", F.when(F.col("wrong"), "the quote is not in the protocol")).drop("wrong")
 
 
+def _below(spans: DataFrame, given: str, made: str, step) -> DataFrame:
+    """nct_id, index and a column made from given and what the span above has, for spans with nct_id, index, parent_index and given.
+
+    Spans of a text go by in order, with a stack of those that are still open.
+    """
+
+    def run(batches):
+        trial, above = None, []
+        for batch in batches:
+            out = []
+            for t, index, parent, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if t != trial:
+                    trial, above = t, []
+                while above and above[-1][0] != parent:
+                    above.pop()
+                found, kept = step(own, above[-1][1] if above else None)
+                above.append((index, kept))
+                out.append(found)
+            yield pa.RecordBatch.from_pydict({"nct_id": batch.column(0), "index": batch.column(1), made.split()[0]: out}, schema=shape)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = f"nct_id {dict(spans.dtypes)['nct_id']}, index int, {made}"
+    shape = to_arrow_schema(spans.sparkSession.createDataFrame([], kind).schema)
+    rows = spans.select("nct_id", F.col("index").cast("int"), F.col("parent_index").cast("int"), given)
+    return rows.repartition("nct_id").sortWithinPartitions("nct_id", "index").mapInArrow(run, kind)
+
+
 def plan_units(spans: DataFrame) -> DataFrame:
     """nct_id, unit, section, lines: a top span with all spans below it, in order, which are compiled together."""
+    if "root_index" not in spans.columns:
+        roots = _below(spans.withColumn("own", F.col("index")), "own", "root_index int", lambda own, root: (own if root is None else root,) * 2)
+        spans = spans.join(roots, ["nct_id", "index"])
     lines = F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"])
     return spans.groupBy("nct_id", F.col("root_index").alias("unit")).agg(F.min_by("section", "index").alias("section"), lines.alias("lines"))
 
@@ -113,28 +144,13 @@ def plan_units(spans: DataFrame) -> DataFrame:
 def claims(spans: DataFrame, criteria: DataFrame) -> DataFrame:
     """nct_id, index, claim: direct if a criterion quotes the span or the span has its quote, inherited from a claimed ancestor, else unclaimed.
 
-    criteria: nct_id, quote. Quotes of one protocol meet its spans only. Spans go
-    by in order, with whether the open ones above are claimed, one bit a level.
+    criteria: nct_id, quote. Quotes of one protocol meet its spans only.
     """
     quotes = criteria.groupBy("nct_id").agg(F.collect_set(quote_key(F.col("quote"))).alias("quotes"))
-    own = spans.select("nct_id", "index", "depth", quote_key(F.col("text")).alias("key")).join(quotes, "nct_id", "left")
+    own = spans.select("nct_id", "index", "parent_index", quote_key(F.col("text")).alias("key")).join(quotes, "nct_id", "left")
     direct = F.coalesce(F.exists("quotes", lambda q: F.col("key").contains(q) | q.contains(F.col("key"))), F.lit(False))
-    rows = own.select("nct_id", "index", "depth", direct.alias("direct")).repartition("nct_id").sortWithinPartitions("nct_id", "index")
-
-    def inherit(batches):
-        trial, above = None, []
-        for batch in batches:
-            out = []
-            for t, depth, hit in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if t != trial:
-                    trial, above = t, []
-                del above[depth:]
-                inherited = bool(above) and above[-1]
-                above.append(hit or inherited)
-                out.append("direct" if hit else "inherited" if inherited else "unclaimed")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["nct_id", "index", "claim"])
-
-    return rows.mapInArrow(inherit, f"nct_id {dict(spans.dtypes)['nct_id']}, index int, claim string")
+    inherit = lambda hit, above: ("direct" if hit else "inherited" if above else "unclaimed", hit or bool(above))
+    return _below(own.withColumn("direct", direct), "direct", "claim string", inherit)
 
 
 def unfaithful_quotes(criteria: DataFrame, protocols: DataFrame) -> DataFrame:

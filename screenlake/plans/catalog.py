@@ -151,7 +151,7 @@ QUERIES = {
     "perturb_convert_units": lambda s, d: edits.convert_units(evidence(s, d), "2160-0", "mg/L", 10.0).filter("code = '2160-0'").groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")),
     "perturb_remove_encounters": lambda s, d: edits.remove_encounters(evidence(s, d), date(1998, 1, 1)).filter("kind = 'encounter'").groupBy("patient_id").agg(F.count("*").alias("n"), F.max(day("date")).alias("last")),
     "verdict_diff": lambda s, d: screening.verdict_changes(screened(s, d), screened(s, d, ev=lambda e: edits.redact_analyte(e, "2160-0"))).select("patient_id", "criterion_id", word(F.col("before")).alias("before"), word(F.col("after")).alias("after")),
-    "segment_spans": lambda s, d: protocol_text.segment(documents_lines(s, d)).drop("root_index", "depth"),
+    "segment_spans": lambda s, d: protocol_text.segment(documents_lines(s, d)).drop("root_index"),
     "concept_keys": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy(text.concept_key(F.concat(F.lit("  "), F.col("p_type"), F.lit(" ., "))).alias("key")).agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n")),
     "number_tokens": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(text.numbers(F.col("text")), " ").cast("binary")).alias("all_md5")),
     "cost_rollup": lambda s, d: metrics.cost_rollup(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("agent"), F.expr("if(event_id % 10 = 0, null, value)").alias("usd"))).select("agent", "calls", "priced", "unpriced", F.round("usd", 4).alias("usd")),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from screenlake.functions.canonical import canonical, quoted
 from screenlake.functions.text import concept_key
+from screenlake.plans.criteria import Protocol, concepts, with_codes
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -73,6 +74,24 @@ def prune(tape: DataFrame, used: DataFrame) -> DataFrame:
     return tape.join(used.select("key").distinct(), "key", "left_semi")
 
 
+def coded(protocols: list[Protocol], store: DataFrame) -> list[Protocol]:
+    """Protocols with the codes that the store (text, codes) has resolved for their concepts, spelling, case and closing punctuation aside.
+
+    Only the concepts of the protocols reach the driver. Concepts that the store
+    doesn't have, or has without codes, stay as they are; of texts with one key
+    the codes are put together. Equal concepts of several protocols become one
+    lookup of a screening.
+    """
+    texts = {c.text for p in protocols for c in concepts(p)}
+    if not texts:
+        return protocols
+    asked = store.sparkSession.createDataFrame([(t,) for t in sorted(texts)], "asked string").withColumn("key", concept_key(F.col("asked")))
+    have = store.select(concept_key(F.col("text")).alias("key"), F.explode("codes").alias("c"))
+    found = have.join(F.broadcast(asked), "key").groupBy("asked").agg(F.array_sort(F.collect_set(F.struct("c.system", "c.code"))).alias("codes")).collect()  # a row a concept
+    known = {r.asked: tuple((c.system, c.code) for c in r.codes) for r in found}
+    return [with_codes(p, known) for p in protocols]
+
+
 def store_misses(requests: DataFrame, store: DataFrame) -> DataFrame:
     """key of texts that the concept store does not have, spelling, case and closing punctuation aside."""
     have = store.select(concept_key(F.col("text")).alias("key")).distinct()

@@ -114,6 +114,25 @@ def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: dat
     return rows.groupBy("patient_id").agg(*[F.min(F.when((F.col("lookup") == i) & counts[i], first)).alias(f"l{i}") for i, _ in mine])
 
 
+def matches(evidence: DataFrame, wanted: list[Lookup], as_of: date, most: int) -> DataFrame:
+    """patient_id and an array m0, m1, ... for each lookup: its latest rows in the order of ``latest``, ``most`` of them at most.
+
+    The limit by patient and lookup is taken before the shuffle and after it, so
+    no task sees more than that of a partition.
+    """
+    rows = with_lookups(evidence.filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of))), wanted)
+    record = [c for c in RECORD if c in evidence.columns]
+    counts = F.lit(False)
+    for i, x in enumerate(wanted):
+        counts = F.when(F.col("lookup") == i, in_window(F.col("date"), x.window.relation if x.window else None, _start(x.window, as_of), as_of)).otherwise(counts)
+    row = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit", "display", *record)
+    # a record with two codes of one lookup is one row of it
+    place = F.dense_rank().over(Over.partitionBy("patient_id", "lookup").orderBy("row"))
+    kept = rows.filter(counts).select("patient_id", "lookup", row.alias("row")).withColumn("place", place).filter(F.col("place") <= most)
+    of = lambda i: F.array_sort(F.collect_set(F.when(F.col("lookup") == i, F.col("row"))))
+    return kept.groupBy("patient_id").agg(*[of(i).alias(f"m{i}") for i in range(len(wanted))])
+
+
 def _compare(x: Column, op: str, value, high=None) -> Column:
     if op == "between":
         return (x >= value) & (x <= high)

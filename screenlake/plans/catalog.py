@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from screenlake.functions import dates, stats, text, units
 from screenlake.operators import edits, lookups, metrics, protocol_text, screening
 from screenlake.plans import oracles
 from screenlake.plans.criteria import Composite, Concept, Criterion, Demographic, Observation, Presence, Protocol, Unsupported, Window
-from screenlake.sources import fhir
+from screenlake.sources import fhir, second_reader
 from screenlake.sources.testdata import EVIDENCE_SQL, PATIENTS_DUCKDB, evidence, patients
 
 AS_OF = date(1998, 6, 1)
@@ -44,6 +45,16 @@ SECOND = Protocol("NCT-B", (
 ))
 
 
+def _respelled(p):
+    """The predicate with concepts in capitals and a full stop, urgent and promo by their code."""
+    if isinstance(p, Composite):
+        return replace(p, operands=tuple(_respelled(x) for x in p.operands))
+    concept = getattr(p, "concept", None)
+    if concept is None or concept == ECON:
+        return p
+    return replace(p, concept=Concept({"urgent": "1-urgent"}.get(concept.text, concept.text).upper() + ".", ()))
+
+
 def tables(spark, d):
     return patients(spark, d), evidence(spark, d)
 
@@ -122,6 +133,15 @@ def bundles(spark, d):
     return people.join(seen, people.patient_id == seen.o_custkey, "left").select(F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.concat_ws(",", "p", "rest"), F.lit("]}")).alias("bundle"))
 
 
+def code_store(spark, d) -> DataFrame:
+    """Concepts as charts name them, with their codes: a code also stands for itself."""
+    rows = evidence(spark, d).select("system", "code", F.explode(F.array("display", "code")).alias("text")).distinct()
+    return rows.groupBy("text").agg(F.collect_set(F.struct("system", "code")).alias("codes"))
+
+
+#: The first protocol without codes, its concepts spelled as people do.
+UNCODED = Protocol(PROTOCOL.nct_id, tuple(replace(c, predicate=_respelled(c.predicate)) for c in PROTOCOL.criteria))
+
 #: The record of the first order.
 FIRST_ORDER = "000000000001"
 
@@ -137,6 +157,9 @@ QUERIES = {
     "settlements_refused": lambda s, d: screening.refused(screening.criterion_results(*tables(s, d), PROTOCOL, AS_OF), answers(s, d), "NCT-A"),
     "latest_in_window": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("observation", "Creatinine", CREATININE.codes, Window("within", 24, "months"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", day("l0.date").alias("date"), "l0.value", "l0.unit"),
     "uncoded_text_match": lambda s, d: screening.latest(evidence(s, d), [screening.Lookup("medication", "econ", (), Window("before", 3, "years"))], AS_OF).filter("l0 IS NOT NULL").select("patient_id", "l0.seq", day("l0.date").alias("date")),
+    "lookup_matches": lambda s, d: screening.matches(evidence(s, d), [screening.Lookup("observation", "Creatinine", CREATININE.codes, Window("within", 24, "months")), screening.Lookup("medication", "econ", (), Window("before", 3, "years"))], AS_OF, 3).select("patient_id", *[F.array_join(F.transform(m, lambda x: x["seq"]), ",").alias(m) for m in ("m0", "m1")]),
+    "screen_coded_from_store": lambda s, d: screening.screen(*tables(s, d), lookups.coded([UNCODED], code_store(s, d))[0], AS_OF).select("patient_id", "decision", ids("deciding_ids"), ids("unresolved_ids")),
+    "reader_differences": lambda s, d: second_reader.differences(bundles(s, d)).withColumn("date", day("date")),
     "window_relations": lambda s, d: window_relations(evidence(s, d)),
     "unit_convert": lambda s, d: evidence(s, d).filter("kind = 'observation'").select("seq", "code", *[F.round(units.convert(F.col("value"), F.col("unit"), u, ["2160-0"]), 6).alias(n) for u, n in (("mg/dL", "mg_dl"), ("µmol/L", "umol_l"), ("g/L", "g_l"), ("%", "percent"))]),
     "age_years": lambda s, d: patients(s, d).select("patient_id", dates.age_years(F.col("birth_date"), F.lit(AS_OF)).cast("double").alias("age")),
@@ -291,6 +314,14 @@ SQL: dict[str, str] = {
     "settlements_refused": _q("SELECT patient_id, criterion_id FROM verdicts JOIN answers USING (patient_id) WHERE criterion_id = 'INC-02' AND verdict IS NOT NULL", _screen(), _ANSWERS),
     "latest_in_window": _q("SELECT patient_id, seq, CAST(date AS VARCHAR) AS date, value, unit FROM l", _latest("l", f"kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}")),
     "uncoded_text_match": _q("SELECT patient_id, seq, CAST(date AS VARCHAR) AS date FROM l", _latest("l", f"kind = 'medication' AND contains(lower(display), 'econ') AND date < DATE '{dates.window_start(AS_OF, 3, 'years')}'")),
+    "lookup_matches": _q(f"""SELECT patient_id, coalesce(string_agg(seq, ',' ORDER BY k) FILTER (lookup = 0), '') AS m0, coalesce(string_agg(seq, ',' ORDER BY k) FILTER (lookup = 1), '') AS m1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id, lookup ORDER BY date DESC, seq) AS k FROM (
+   SELECT DISTINCT patient_id, 0 AS lookup, date, seq, value, unit FROM evidence WHERE kind = 'observation' AND code = '2160-0' AND {_within(24, 'months')}
+   UNION ALL SELECT DISTINCT patient_id, 1, date, seq, value, unit FROM evidence WHERE kind = 'medication' AND lower(display) LIKE '%econ%' AND date < DATE '{dates.window_start(AS_OF, 3, 'years')}')) WHERE k <= 3 GROUP BY patient_id"""),
+    "screen_coded_from_store": _q("SELECT patient_id, decision, deciding_ids, unresolved_ids FROM decided", _screen()),
+    "reader_differences": """SELECT CAST(o_custkey AS VARCHAR) AS patient_id, 'observation' AS kind, 'LOINC' AS system, code, value, unit, strftime(o_orderdate, '%Y-%m-%d') AS date, sum(first) AS n_first, sum(second) AS n_second FROM (
+  SELECT *, '8480-6' AS code, o_totalprice AS value, 'mm[Hg]' AS unit, 1 AS first, 0 AS second FROM orders
+  UNION ALL SELECT *, '8480-6', NULL, NULL, 0, 1 FROM orders UNION ALL SELECT *, '85354-9', NULL, NULL, 0, 1 FROM orders) GROUP BY ALL HAVING sum(first) <> sum(second)""",
     "window_relations": _q(f"""SELECT patient_id, kind,
   count(*) FILTER ({_within(6, 'months')}) AS within_6, count(*) FILTER (date < DATE '{dates.window_start(AS_OF, 6, 'months')}') AS before_6,
   count(*) FILTER (date > DATE '{dates.window_start(AS_OF, 6, 'months')}' AND date <= DATE '{AS_OF}') AS after_6, count(*) FILTER ({_within(2, 'weeks')}) AS within_2,

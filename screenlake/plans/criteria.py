@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from screenlake.functions.dates import RELATIONS, UNITS
 
@@ -128,6 +128,17 @@ def concepts(protocol: Protocol) -> list[Concept]:
     return list(found.values())
 
 
+def with_codes(protocol: Protocol, codes: dict[str, tuple[tuple[str, str], ...]]) -> Protocol:
+    """The protocol with the codes that are known for the text of each concept; other concepts stay as they are."""
+    def coded(p):
+        if isinstance(p, Composite):
+            return replace(p, operands=tuple(coded(x) for x in p.operands))
+        concept = getattr(p, "concept", None)
+        return p if concept is None or concept.text not in codes else replace(p, concept=Concept(concept.text, tuple(codes[concept.text])))
+
+    return replace(protocol, criteria=tuple(replace(c, predicate=coded(c.predicate)) for c in protocol.criteria))
+
+
 def unsupported_counts(protocol: Protocol) -> tuple[int, int]:
     """Criteria with an unsupported part at the top, and those of them that block."""
     own = [c.predicate for c in protocol.criteria if isinstance(c.predicate, Unsupported)]

@@ -117,3 +117,21 @@ def test_held_out_accuracy_and_plain_cosines(spark):
 def test_ties_go_to_the_first_language_and_copies_agree(spark):
     docs = spark.createDataFrame([(1, "abc abd", "x"), (2, "abc abd", "a"), (2, "abc abd", "a"), (None, "abc abd", None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id.language_id(docs).collect()} == {"a"}
+
+
+def test_blocks_below_the_kth_score_are_skipped(spark):
+    """Vectors about a few directions: most blocks are never asked, and the result is that of all pairs."""
+    r = np.random.default_rng(5)
+    ways = r.normal(size=(12, 16))
+    rows = [(i, [float(np.float32(x)) for x in ways[i % 12] + r.normal(size=16) * 0.05]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    search = topk.Search(df, lambda i: i % 20 == 0, 5, 256, "vec_id", "embedding", 50, 16)
+    home = search.at_home()
+    blocks, queries = search.rows.select("block").distinct().count(), search.asked.count()
+    asked = search.left_over(home).count()
+    assert blocks >= 24 and asked < 0.3 * queries * (blocks - 1)
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.exact_top_k(df, lambda i: i % 20 == 0, candidates=50, queries=16).collect()}
+    whole = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    for q in range(0, 1200, 20):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.operators import arms, edits, keys, metrics, protocol_text, relations
+from screenlake.operators import arms, edits, keys, metrics, protocol_text, relations, traces
 from screenlake.plans.catalog import _BASE, _REDACTED, _SCORES, AS_OF, _screen, documents_lines, documents_quotes, patients, scores, screened
 from screenlake.plans import oracles
 from screenlake.sources.testdata import evidence
@@ -99,7 +99,21 @@ def made_criteria(spark, d) -> DataFrame:
     return documents_quotes(spark, d).select((F.col("nct_id") % 10).alias("nct_id"), F.expr("if(nct_id % 2 = 0, 'inclusion', 'exclusion')").alias("kind"), F.col("nct_id").alias("ord"))
 
 
+def trace_steps(spark, d) -> DataFrame:
+    """Turns of conversations as steps: every third one was asked twice, and those of every fifth conversation have no price."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    one = lambda invalid: F.struct(
+        F.lit("json").alias("tier"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("text").alias("raw_response"),
+        F.struct(F.length("text").cast("long").alias("prompt_tokens"), F.col("turn").cast("long").alias("completion_tokens")).alias("usage"), F.when(F.col("conv_id") % 5 != 0, F.lit(0.25)).alias("usd"), F.lit(invalid).cast("string").alias("validation_error"), F.lit(None).cast("string").alias("error"),
+    ).cast(traces.ATTEMPT)
+    attempts = F.when(F.col("turn") % 3 == 0, F.array(one("bad"), one(None))).otherwise(F.array(one(None)))
+    skipped = F.array().cast("array<array<string>>")
+    return c.select(F.col("conv_id").cast("string").alias("trace"), (F.col("turn") + 1).cast("int").alias("step"), F.lit("t").alias("timestamp"), F.col("role").alias("agent"), F.lit("p").alias("provider"), F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"), F.lit("s").alias("system_prompt"), F.col("text").alias("user_prompt"), attempts.alias("attempts"), skipped.alias("skipped_tiers"), F.parse_json(F.lit("null")).alias("parsed"))
+
+
 QUERIES = {
+    "trace_overview": lambda s, d: traces.overview(trace_steps(s, d)),
+    "trace_costs_by_model": lambda s, d: traces.ledger(trace_steps(s, d), "model").withColumn("usd", F.round("usd", 6)),
     "arm_report": lambda s, d: arms.report(all_scores(s, d)).select("arm", "place", "cases", "correct", "unsafe", F.round("accuracy", 6).alias("accuracy"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"), "degenerate"),
     "arm_by_expected": lambda s, d: arms.by_expected(all_scores(s, d)),
     "arm_by_trap": lambda s, d: arms.by_trap(all_scores(s, d)),
@@ -155,7 +169,11 @@ _COMPARED = _SCORES + ", there AS (SELECT arm, s.decision, k.decision AS expecte
 _OPEN_KEY = "(SELECT arm, CAST(a.patient_id AS VARCHAR) AS case_id, a.decision, o.decision AS expected, c.decision AS expected_there FROM (SELECT 'coverage_gated' AS arm, * FROM decided_g UNION ALL SELECT 'closed_world', * FROM decided_c) a JOIN decided_o o USING (patient_id) JOIN decided_c c USING (patient_id))"
 _CUT = "cut AS (SELECT * FROM redacted WHERE NOT coalesce(kind = 'encounter' AND date > DATE '1998-01-01', false))"
 
+_STEPS = "steps AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 2 ELSE 1 END AS n, length(text) AS p, turn AS c, conv_id % 5 <> 0 AS priced FROM conversations)"
+
 SQL = {
+    "trace_overview": f"""WITH {_STEPS} SELECT CAST(conv_id AS VARCHAR) AS trace, CAST(turn + 1 AS INTEGER) AS step, '| ' || (turn + 1) || ' | ' || role || ' | p/m' || (conv_id % 3) || ' | `json` | ' || (n - 1) || ' | ' || (n * (p + c)) || ' | ' || CASE WHEN priced THEN CASE n WHEN 1 THEN '$0.2500' ELSE '$0.5000' END ELSE 'unpriced' END || ' | validated |' AS text FROM steps""",
+    "trace_costs_by_model": f"WITH {_STEPS} SELECT 'm' || (conv_id % 3) AS model, count(*) AS calls, count(*) FILTER (priced) AS priced, sum(n * p)::BIGINT AS prompt_tokens, sum(n * c)::BIGINT AS completion_tokens, round(sum(n * 0.25::DOUBLE) FILTER (priced), 6) AS usd FROM steps GROUP BY ALL",
     "arm_report": _q("""SELECT arm, CAST(row_number() OVER (ORDER BY degenerate, arm) AS INTEGER) AS place, cases, correct, unsafe, accuracy, round(balanced, 6) AS balanced_accuracy, degenerate FROM (
   SELECT arm, count(*) AS cases, count(*) FILTER (decision = expected) AS correct, count(*) FILTER (decision = 'eligible' AND expected <> 'eligible') AS unsafe, round(avg((decision = expected)::INT), 6) AS accuracy, arm LIKE 'always%' OR arm = 'random' AS degenerate FROM scores GROUP BY arm)
  JOIN (SELECT arm, avg(a) AS balanced FROM (SELECT arm, expected, avg((decision = expected)::INT) AS a FROM scores GROUP BY ALL) GROUP BY arm) USING (arm)""", *_ALL),

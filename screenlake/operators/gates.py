@@ -56,6 +56,13 @@ def bound(token: Column, allowed: Column) -> Column:
     return F.exists(allowed, near)
 
 
+def unbound(sentence: Column, dates: Column, numbers: Column, codes: Column) -> Column:
+    """Array of kind (unbound_date or unbound_number) and token: what a sentence says and its record does not, days first."""
+    days = F.transform(F.filter(F.regexp_extract_all(sentence, F.lit(DATE), F.lit(0)), lambda d: ~F.array_contains(dates, d)), lambda d: F.struct(F.lit("unbound_date").alias("kind"), d.alias("token")))
+    loose = F.transform(F.filter(numbers_of_sentence(sentence, codes), lambda n: ~F.coalesce(bound(n, numbers), F.lit(False))), lambda n: F.struct(F.lit("unbound_number").alias("kind"), n.alias("token")))
+    return F.concat(days, loose)
+
+
 def violations(sentences: DataFrame) -> DataFrame:
     """criterion_id (and other keys), kind (unbound_date or unbound_number), token: what a sentence says and its record does not.
 
@@ -63,9 +70,8 @@ def violations(sentences: DataFrame) -> DataFrame:
     numbers), codes (array), and whatever columns name the sentence.
     """
     keys = [c for c in sentences.columns if c not in ("sentence", "dates", "numbers", "codes")]
-    days = F.transform(F.filter(F.regexp_extract_all("sentence", F.lit(DATE), F.lit(0)), lambda d: ~F.array_contains("dates", d)), lambda d: F.struct(F.lit("unbound_date").alias("kind"), d.alias("token")))
-    loose = F.transform(F.filter(numbers_of_sentence(F.col("sentence"), F.col("codes")), lambda n: ~F.coalesce(bound(n, F.col("numbers")), F.lit(False))), lambda n: F.struct(F.lit("unbound_number").alias("kind"), n.alias("token")))
-    return sentences.select(*keys, F.explode(F.concat(days, loose)).alias("x")).select(*keys, "x.kind", "x.token")
+    found = unbound(*[F.col(c) for c in ("sentence", "dates", "numbers", "codes")])
+    return sentences.select(*keys, F.explode(found).alias("x")).select(*keys, "x.kind", "x.token")
 
 
 def findings(found: DataFrame, notes: DataFrame, concepts: DataFrame) -> DataFrame:

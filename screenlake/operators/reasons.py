@@ -6,6 +6,7 @@ lookup, beside the verdict itself, so reasons cost no further join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -154,21 +155,23 @@ DETAIL = (
 )
 
 
-def detail(protocol: Protocol, place: dict[Lookup, int], as_of: date, policy: str) -> Column:
-    """The criteria of a protocol with verdict and reason, as an array on the patient's row."""
+def detail(protocol: Protocol, place: dict[Lookup, int], as_of: date, policy: str, more: tuple[str, Callable] | None = None) -> Column:
+    """The criteria of a protocol with verdict and reason, as an array on the patient's row; what ``more`` (a type and a function) gives for a predicate is their field ``held``."""
     def one(i, c):
         r = reason(c.predicate, place, as_of, policy)
+        extra = [] if more is None else [more[1](c.predicate, place, as_of, policy).alias("held")]
         return F.struct(
             F.lit(c.id).alias("criterion_id"), F.lit(c.kind).alias("kind"), F.lit(i).alias("ord"),
             verdict(c.predicate, place, as_of, policy).alias("verdict"), blocking(c.predicate, place, as_of, policy).alias("blocking"), caveats(c.predicate, place, as_of, policy).alias("caveats"),
             F.lit(c.quote).alias("quote"), r.rationale.alias("rationale"), r.evidence.alias("evidence"), r.missing.alias("missing"), r.where.alias("where"), r.query.alias("query"),
-            F.lit(None).alias("settled_by"),
-        ).cast(DETAIL)
+            F.lit(None).alias("settled_by"), *extra,
+        ).cast(kind)
 
-    return F.array(*[one(i, c) for i, c in enumerate(protocol.criteria)]).cast(f"array<{DETAIL}>")
+    kind = DETAIL if more is None else f"{DETAIL[:-1]},held:{more[0]}>"
+    return F.array(*[one(i, c) for i, c in enumerate(protocol.criteria)]).cast(f"array<{kind}>")
 
 
-def reasoned(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policy: str = "coverage_gated", settlements: DataFrame | None = None) -> DataFrame:
+def reasoned(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policy: str = "coverage_gated", settlements: DataFrame | None = None, more: tuple[str, Callable] | None = None) -> DataFrame:
     """nct_id, the columns of patients and results (array of DETAIL) for each protocol and patient alive: one lookup of the evidence.
 
     settlements: nct_id, patient_id, criterion_id, verdict, answered_by,
@@ -176,7 +179,7 @@ def reasoned(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol]
     """
     rows, place = looked_up(patients, evidence, protocols, as_of)
     place["fields"] = tuple(c for c in ("resource_type", "resource_id", "fhir_path") if c in evidence.columns)
-    each = F.explode(F.array(*[F.struct(F.lit(p.nct_id).alias("nct_id"), detail(p, place, as_of, policy).alias("results")) for p in protocols]))
+    each = F.explode(F.array(*[F.struct(F.lit(p.nct_id).alias("nct_id"), detail(p, place, as_of, policy, more).alias("results")) for p in protocols]))
     out = rows.select(*patients.columns, each.alias("x")).select("x.nct_id", *patients.columns, "x.results")
     if settlements is None:
         return out

@@ -9,9 +9,9 @@ a key. Texts with a similarity of 0.75 differ in 16 symbols on average and in
 more than 31 with a chance of about 1 in 50,000, and even then mostly meet.
 Beside its signature a class carries how many of its shingles have each of 128
 values of seven hash bits: two sets share at most the sum of the smaller counts,
-so a pair whose sum is too small can't be similar, and that loses no link. Pairs
-that met, differ in at most ``FAR`` symbols and may share enough are confirmed
-on full shingle sets.
+so a pair whose sum is too small can't be similar, and that loses no link. All
+other pairs that met are confirmed on full shingle sets, however many symbols
+they differ in.
 
 Only connected components are asked for, so no group is expanded into pairs:
 
@@ -21,7 +21,7 @@ Only connected components are asked for, so no group is expanded into pairs:
    occur once. Each class is paired with the first class of most of its keys.
 3. Components of the confirmed pairs. Keys whose classes are all in one
    component are done, however many classes those are.
-4. Classes of different components under one key are compared by signature.
+4. Classes of different components under one key are compared by counts.
    A key with more than ``BUCKET`` classes would be quadratic, so its classes are
    joined exactly instead, whatever their signatures: two sets that are similar
    enough share one of their rarest shingles (the prefix filter of set joins; the
@@ -55,7 +55,6 @@ from screenlake.llm.shingles import SYMBOLS, mix, shingle_set, signature, simila
 PERCENT = 75
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
-FAR = 36
 BUCKET = 2048
 COUNTS = 128
 #: Counts stop here, and say nothing from then on.
@@ -147,16 +146,12 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (waiting[0], waiting[1], waiting[1])], names=["key", "class_id", "rep"])
 
 
-def _near(a: np.ndarray, b: np.ndarray, percent: int, far: int = FAR) -> np.ndarray:
-    """Which rows of a are near b (one row, or as many): few other symbols, and counts that allow the similarity."""
-    ok = (a[:, :SYMBOLS] != b[..., :SYMBOLS]).sum(1) <= far
-    at = np.flatnonzero(ok)
-    if len(at):
-        x, y = a[at, SYMBOLS:], b[SYMBOLS:] if b.ndim == 1 else b[at, SYMBOLS:]
-        both = np.minimum(x, y).sum(-1, dtype=np.int64)
-        union = x.sum(-1, dtype=np.int64) + y.sum(-1, dtype=np.int64) - both
-        ok[at] = (100 * both >= percent * union) | (np.maximum(x, y).max(-1) == FULL)
-    return ok
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a have counts that allow the similarity with b (one row, or as many)."""
+    x, y = a[:, SYMBOLS:], b[..., SYMBOLS:]
+    both = np.minimum(x, y).sum(-1, dtype=np.int64)
+    union = x.sum(-1, dtype=np.int64) + y.sum(-1, dtype=np.int64) - both
+    return (100 * both >= percent * union) | (np.maximum(x, y).max(-1, initial=0) == FULL)
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,7 +162,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(percent: int, prefixes: bool = False):
-    """Pairs of one key in different components with near signatures; rows (key, class_id, comp, sig) are sorted by key, keys have BUCKET rows at most.
+    """Pairs of one key in different components whose counts allow the similarity; rows (key, class_id, comp, sig) are sorted by key, keys have BUCKET rows at most.
 
     The keys are those of the signatures, and a pair that shares several comes
     out under the first of them only. With prefixes they are shingles, and rows
@@ -219,7 +214,7 @@ def _edge_batch(found) -> pa.RecordBatch:
 def _larger(cls, comp, size, sig, others, comps, sizes, sigs, percent: int) -> set[tuple[int, int]]:
     """Pairs of one class with the others that are as large or larger, not too large, of other components, and have counts that allow the similarity."""
     at = np.flatnonzero((comps != comp) & (sizes >= size) & (percent * sizes <= 100 * size))
-    at = at[_near(sigs[at], sig, percent, SYMBOLS)] if len(at) else at
+    at = at[_near(sigs[at], sig, percent)] if len(at) else at
     return {(min(int(cls), x), max(int(cls), x)) for x in others[at].tolist()}
 
 
@@ -276,7 +271,7 @@ class NearDedup:
         return wanted.join(rows, ["class_id", "digest"]).select("class_id", "packed").dropDuplicates(["class_id"])
 
     def _close(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs with near signatures."""
+        """Pairs whose counts allow the similarity."""
         sig = lambda x: classes.select(F.col("class_id").alias(x), F.col("sig").alias(f"sig_{x}"))
 
         percent = self.percent
@@ -312,7 +307,7 @@ class NearDedup:
         return own.join(firsts, "doc_id").filter("a <> class_id").select("a", F.col("class_id").alias("b")).distinct()
 
     def _across(self, met: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-        """Pairs with near signatures under one key but in different components so far."""
+        """Pairs under one key but in different components so far, whose counts allow the similarity."""
         store = self.store
         named = met.select("class_id").distinct().join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("comp"))
         open_keys = store.write(met.select("key", "class_id").distinct().join(named, "class_id").select("key", "class_id", "comp"), "open")

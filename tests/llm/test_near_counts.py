@@ -24,3 +24,11 @@ def test_full_counts_say_nothing():
     full = np.full(near_dedup.COUNTS, near_dedup.FULL, np.uint16)
     one = np.concatenate([np.zeros(SYMBOLS, np.uint16), full])
     assert near_dedup._near(one[None], row(mix(np.arange(10, dtype=np.uint64))), 75)[0]
+
+
+def test_pairs_are_not_dropped_by_their_signatures():
+    r = np.random.default_rng(3)
+    a, b = (np.concatenate([r.integers(0, 2**16, SYMBOLS), np.full(near_dedup.COUNTS, n)]).astype(np.uint16) for n in (8, 7))
+    few = np.concatenate([a[: SYMBOLS], np.full(near_dedup.COUNTS, 5)]).astype(np.uint16)
+    assert near_dedup._near(np.stack([a, b, few]), a, 75).tolist() == [True, True, False]
+    assert near_dedup._near(np.zeros((0, len(a)), np.uint16), a, 75).tolist() == []

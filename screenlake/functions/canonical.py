@@ -20,11 +20,11 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), out).otherwise(text), F.lit('"'))
 
 
-def canonical(value: Column, kind: T.DataType) -> Column:
+def canonical(value: Column, kind: T.DataType, nulls: bool = False) -> Column:
     """The JSON of a column of strings, whole numbers, booleans, and arrays, maps and structs of these.
 
     Fields of a struct that are null are left out, as keys that a message doesn't
-    have; other nulls are null. Numbers with a point have no one spelling and raise.
+    have, unless nulls is set; other nulls are null. Numbers with a point have no one spelling and raise.
     """
     null = F.lit("null")
     if isinstance(kind, T.StringType):
@@ -34,12 +34,13 @@ def canonical(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.NullType):
         return null
     if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]")), null)
+        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType, nulls)), ","), F.lit("]")), null)
     if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         # strings are ordered by their bytes, which is the order of code points
-        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("json"))))
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType, nulls).alias("json"))))
         return F.coalesce(F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"])), ","), F.lit("}")), null)
     if isinstance(kind, T.StructType):
-        fields = [F.when(value[f.name].isNotNull(), F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType))) for f in sorted(kind.fields, key=lambda f: f.name)]
+        field = lambda f: F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType, nulls))
+        fields = [field(f) if nulls else F.when(value[f.name].isNotNull(), field(f)) for f in sorted(kind.fields, key=lambda f: f.name)]
         return F.when(value.isNull(), null).otherwise(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}")))
     raise TypeError(f"no canonical JSON for {kind.simpleString()}")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from screenlake.plans import catalog, charts, evaluation, overlays, packets, rationales, texts
+from screenlake.plans import catalog, charts, documents, evaluation, overlays, packets, rationales, texts
 
-QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES | packets.QUERIES | overlays.QUERIES | rationales.QUERIES
-SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL | packets.SQL | overlays.SQL | rationales.SQL
+QUERIES = catalog.QUERIES | charts.QUERIES | evaluation.QUERIES | texts.QUERIES | packets.QUERIES | overlays.QUERIES | rationales.QUERIES | documents.QUERIES
+SQL = catalog.SQL | charts.SQL | evaluation.SQL | texts.SQL | packets.SQL | overlays.SQL | rationales.SQL | documents.SQL
 FLAGSHIP = catalog.FLAGSHIP

@@ -80,6 +80,6 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "digest"])
 
     own = files.filter(F.col("path").endswith(".json")).mapInArrow(hashed, "path string, digest string")
-    told = F.try_element_at(F.split(F.trim(F.decode("content", F.lit("UTF-8"))), r"\s+"), F.lit(1))
+    told = F.try_element_at(F.split(F.trim(F.decode("content", "UTF-8")), r"\s+"), F.lit(1))
     marks = files.filter(F.col("path").endswith(".json.sha256")).select(F.regexp_replace("path", r"\.sha256$", "").alias("path"), F.nullif(told, F.lit("")).alias("recorded"))
     return own.join(marks, "path", "left").withColumn("sound", F.coalesce(F.col("digest") == F.col("recorded"), F.lit(False)))

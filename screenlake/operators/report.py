@@ -48,10 +48,10 @@ def _title(section: int) -> str:
     return ("# " if section == 0 else "## ") + TITLES[section]
 
 
-def _table(rows: DataFrame, section: int, cells: dict[str, Column], words: set[str], order: list, before: tuple[str, ...] = ()) -> DataFrame:
-    """Title, what is said before, heads and rows. words: heads of columns that hold words and start at the left; order: of the rows, each of which is one of a few."""
+def _table(rows: DataFrame, section: int, cells: dict[str, Column], words: set[str], order: list) -> DataFrame:
+    """Title, heads and rows. words: heads of columns that hold words and start at the left; order: of the rows, each of which is one of a few."""
     rule = "|" + "".join("---|" if c in words else "---:|" for c in cells)
-    top = [_title(section), *before, f"| {' | '.join(cells)} |", rule]
+    top = [_title(section), f"| {' | '.join(cells)} |", rule]
     body = rows.select(F.lit(section).alias("section"), (F.row_number().over(Window.orderBy(*order)) + len(top) - 1).alias("place"), _row(cells.values()).alias("line"))
     any_rows = body.select("section").limit(1)
     return _told(rows.sparkSession, section, top).join(any_rows, "section", "left_semi").select(*LINES).union(body)
@@ -70,7 +70,7 @@ def headline(summaries: DataFrame, arm: str) -> DataFrame:
     """What one arm decided without a reader and what that cost, both from its own row."""
     errors = F.when(F.col("unsafe") == 1, "1 unsafe error").otherwise(F.concat(F.col("unsafe").cast("string"), F.lit(" unsafe errors")))
     said = F.concat(_code(F.col("arm")), F.lit(" decided **"), percent(F.col("coverage")), F.lit("** of "), F.col("cases").cast("string"), F.lit(" cases without a reader, with "), errors, F.lit("."))
-    width = arms.interval_width(summaries).select(F.concat(F.lit("Half of the intervals of the accuracy are at most "), F.bround(F.col("width") * 100, 0).cast("long").cast("string"), F.lit(" percentage points wide.")).alias("line"))
+    width = arms.interval_width(summaries).select(F.concat(F.lit("Half of the intervals of the accuracy are at most "), F.bround(F.col("width") * 100, 0).cast("long").cast("string"), F.lit(" percentage points wide.")).alias("line")).filter("line IS NOT NULL")
     own = summaries.filter(F.col("arm") == arm).select(F.lit(1).alias("section"), F.lit(1).alias("place"), said.alias("line"))
     return _told(summaries.sparkSession, 1, [_title(1)]).union(own).union(width.select(F.lit(1), F.lit(2), "line"))
 
@@ -156,8 +156,7 @@ def document(scores: DataFrame, failures: DataFrame, arm: str, digest: str, case
 
 def write(lines: DataFrame, path: str) -> None:
     """Markdown as a folder of text files in order, with empty lines around titles and before tables."""
-    sentence = (F.col("place") > 0) & ~F.col("line").rlike("^[|]|^- ")
-    early = F.col("place") <= 2  # later sentences come after a table
-    before = F.when(((F.col("place") == 0) & (F.col("section") > 0)) | (sentence & ~early), "\n").otherwise("")
-    after = F.when((F.col("place") == 0) | (sentence & early), "\n").otherwise("")
+    sentence = ~F.col("line").rlike("^[|]|^- ")
+    before = F.when(((F.col("place") == 0) & (F.col("section") > 0)) | (sentence & (F.col("place") > 1)), "\n").otherwise("")
+    after = F.when(F.col("place") == 0, "\n").otherwise("")
     lines.orderBy(*LINES).select(F.concat(before, F.col("line"), after)).write.mode("overwrite").text(path)

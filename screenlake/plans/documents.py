@@ -20,7 +20,8 @@ def document(spark, d) -> DataFrame:
     """All sections but the second key; the arm ``random`` has no answer for every eleventh case."""
     failed = cases(spark, d).filter("patient_id % 11 = 0").select(F.lit("random").alias("arm"), "case_id", F.lit("answer").alias("stage"))
     blockers = screening.blockers(catalog.both_trials(spark, d), top=4).withColumns({"quote": F.lit(QUOTE), "missing": F.lit(None).cast("string")})
-    return report.document(all_scores(spark, d), failed, "screening", DIGEST, cases(spark, d).count(), blockers)
+    scores = all_scores(spark, d).persist()  # a row a case and arm, read by every table
+    return report.document(scores, failed, "screening", DIGEST, cases(spark, d).count(), blockers)
 
 
 def key_cases(spark, d) -> DataFrame:

@@ -101,7 +101,7 @@ def assemble(screenings: DataFrame, protocols: list[Protocol], as_of: date, poli
         key = ["nct_id", "patient_id"]
         one = sentences.groupBy(*key, "criterion_id").agg(F.min(F.struct("sentence", "source")).alias("s"))
         own = one.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("criterion_id", "s"))).alias("written"))
-        out = out.join(own, key, "left")
+        out = out.join(own.hint("merge"), key, "left")  # sentences may outgrow any broadcast
 
     def row(r: Column) -> Column:
         s = F.try_element_at("written", r["criterion_id"])

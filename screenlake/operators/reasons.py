@@ -195,7 +195,8 @@ def reasoned(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol]
             settled = settled.withField(c, _none())
         return F.when(x["verdict"].isNull() & s.isNotNull(), settled).otherwise(x)
 
-    return out.join(own, key, "left").withColumn("results", F.when(F.col("answers").isNull(), F.col("results")).otherwise(F.transform("results", answered))).drop("answers")
+    # answers outgrow what the sizes of their files promise, so never by a broadcast
+    return out.join(own.hint("merge"), key, "left").withColumn("results", F.when(F.col("answers").isNull(), F.col("results")).otherwise(F.transform("results", answered))).drop("answers")
 
 
 def explain(patients: DataFrame, evidence: DataFrame, protocols: list[Protocol], as_of: date, policy: str = "coverage_gated", settlements: DataFrame | None = None) -> DataFrame:

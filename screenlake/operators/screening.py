@@ -256,7 +256,8 @@ def settle(results: DataFrame, settlements: DataFrame, nct_id: str) -> DataFrame
     def with_answer(x: Column) -> Column:
         return x.withField("verdict", F.coalesce(x["verdict"], F.try_element_at("answers", x["criterion_id"])))
 
-    return results.join(own, "patient_id", "left").withColumn("results", F.when(F.col("answers").isNull(), F.col("results")).otherwise(F.transform("results", with_answer))).drop("answers")
+    # answers outgrow what the sizes of their files promise, so never by a broadcast
+    return results.join(own.hint("merge"), "patient_id", "left").withColumn("results", F.when(F.col("answers").isNull(), F.col("results")).otherwise(F.transform("results", with_answer))).drop("answers")
 
 
 def refused(results: DataFrame, settlements: DataFrame, nct_id: str) -> DataFrame:

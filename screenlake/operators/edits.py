@@ -85,8 +85,11 @@ def add_observation(evidence: DataFrame, patient_id: int, loinc: str, display: s
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """seq, side (before or after) and the columns of the rows that an edit took away or brought, which is what a key publishes of it."""
     columns = [c for c in before.columns if c in after.columns]
-    side = lambda a, b, name: a.select(columns).exceptAll(b.select(columns)).withColumn("side", F.lit(name))
-    return side(before, after, "before").unionByName(side(after, before, "after"))
+    # both sides meet in one aggregation: how often more a row is there before than after
+    both = before.select(*columns, F.lit(1).alias("__n")).unionByName(after.select(*columns, F.lit(-1).alias("__n")))
+    off = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+    off = off.withColumn("side", F.when(F.col("__n") > 0, "before").otherwise("after"))
+    return off.select(*columns, "side", F.explode(F.sequence(F.lit(1), F.abs("__n"))).alias("__i")).drop("__i")
 
 
 def record_death(patients: DataFrame, patient_id: int, on: date) -> DataFrame:

@@ -11,3 +11,7 @@ def plan(spark, query):
 
 def test_same_codes_reads_conditions_alone(spark):
     assert "lineitem" not in plan(spark, "same_codes")
+
+
+def test_an_edit_is_one_aggregation_of_both_sides(spark):
+    assert plan(spark, "edit_record").count("part.parquet") <= 2

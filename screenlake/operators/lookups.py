@@ -121,4 +121,6 @@ def duplicates(rows: DataFrame, *key: str) -> DataFrame:
 
 def merge_notes(evidence: DataFrame, notes: DataFrame) -> DataFrame:
     """evidence with the notes it does not have yet by seq; merging twice changes nothing."""
-    return evidence.unionByName(notes.join(evidence.select("seq"), "seq", "left_anti"), allowMissingColumns=True)
+    # the notes are the small side: only which of them are there comes from the evidence
+    there = evidence.select("seq").join(notes.select("seq").distinct(), "seq", "left_semi").distinct()
+    return evidence.unionByName(notes.join(there, "seq", "left_anti"), allowMissingColumns=True)

@@ -15,3 +15,7 @@ def test_same_codes_reads_conditions_alone(spark):
 
 def test_an_edit_is_one_aggregation_of_both_sides(spark):
     assert plan(spark, "edit_record").count("part.parquet") <= 2
+
+
+def test_notes_take_from_the_evidence_only_what_they_share(spark):
+    assert "LeftSemi" in plan(spark, "notes_merge")

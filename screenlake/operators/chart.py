@@ -120,11 +120,13 @@ def summary(patients: DataFrame, evidence: DataFrame, as_of: date) -> DataFrame:
     here = F.col("in_time")
     kind = lambda x: here & (F.col("kind") == x)
     closed = F.coalesce(F.col("s.clinical").isin(*CLOSED), F.lit(False))
+    # a set a patient: two distinct counts would triple the rows
+    distinct = lambda x: F.size(F.collect_set(x)).cast("long")
     counted = rows.groupBy("patient_id").agg(
         F.count_if(kind("condition") & ~closed).alias("open_conditions"),
         F.count_if(kind("condition") & closed).alias("closed_conditions"),
-        F.count_distinct(F.when(kind("medication"), group_key("RxNorm", "rxnorm"))).alias("drugs"),
-        F.count_distinct(F.when(kind("observation") & F.col("value").isNotNull(), group_key("LOINC", "loinc"))).alias("analytes"),
+        distinct(F.when(kind("medication"), group_key("RxNorm", "rxnorm"))).alias("drugs"),
+        distinct(F.when(kind("observation") & F.col("value").isNotNull(), group_key("LOINC", "loinc"))).alias("analytes"),
         F.count_if(kind("observation") & F.col("value").isNull()).alias("without_value"),
         F.count_if(kind("encounter")).alias("visits"),
         F.min(F.when(kind("encounter"), F.col("date"))).alias("first_visit"),

@@ -19,3 +19,7 @@ def test_an_edit_is_one_aggregation_of_both_sides(spark):
 
 def test_notes_take_from_the_evidence_only_what_they_share(spark):
     assert "LeftSemi" in plan(spark, "notes_merge")
+
+
+def test_a_chart_summary_does_not_repeat_rows_for_distinct_counts(spark):
+    assert "Expand" not in plan(spark, "chart_summary")

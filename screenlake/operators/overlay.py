@@ -123,7 +123,10 @@ def versions(evidence: DataFrame, wanted: list[Lookup], as_of: date, edits: list
                 place[x] = len(wanted) + len(extra)
                 extra.append((e, x))
         places.append(place)
-    rows = evidence
+    known = lambda day: F.col(day).isNull() | (F.col(day) <= F.lit(as_of))
+    # rows that no edit can touch and that are outside the windows of their lookups never reach the shuffle
+    may = reduce(lambda a, b: a | b, [F.coalesce(e.touches(), F.lit(False)) for e in edits if e.touches is not None], F.lit(False))
+    rows = screening.with_lookups(evidence.filter(known("date") | may), wanted, keep=may).filter(may | screening._in_own_window(list(enumerate(wanted)), as_of))
     shifted = sorted({e.latest_of for e in edits if e.latest_of})
     if shifted:
         # the newest record of a code by patient; the aggregation after it needs no other shuffle
@@ -137,9 +140,7 @@ def versions(evidence: DataFrame, wanted: list[Lookup], as_of: date, edits: list
             touched[k] = hit & (F.col("seq") == F.col(f"newest_{shifted.index(e.latest_of)}")) if e.latest_of else hit
     rows = rows.withColumns({f"touched_{k}": F.coalesce(c, F.lit(False)) for k, c in touched.items()} | {f"day_{k}": F.when(touched[k], edits[k].day()).otherwise(F.col("date")) for k in touched if edits[k].day is not None})
     moved = [F.col(f"touched_{k}") for k in touched]
-    known = lambda day: F.col(day).isNull() | (F.col(day) <= F.lit(as_of))
     used = reduce(lambda a, b: a | b, [*moved, F.lit(False)])
-    rows = screening.with_lookups(rows.filter(known("date") | used), wanted, keep=used)
 
     struct = lambda day, value, unit: F.struct(F.coalesce(F.datediff(F.lit(as_of), day), F.lit(2**31 - 1)).alias("age"), "seq", F.col(day).alias("date"), value.alias("value"), unit.alias("unit"), "display")
     counts = lambda x, day: known(day) & in_window(F.col(day), x.window.relation if x.window else None, screening._start(x.window, as_of), as_of)

@@ -104,11 +104,23 @@ def with_lookups(rows: DataFrame, wanted: list[Lookup], places: range | None = N
     return rows.withColumn("lookup", F.explode_outer(hits)).filter(F.col("lookup").isNotNull() | keep)
 
 
+def _in_own_window(mine: list[tuple[int, Lookup]], as_of: date) -> Column:
+    """Whether the date of a row is in the window of its lookup."""
+    by_window: dict[Window | None, list[int]] = {}
+    for i, x in mine:
+        by_window.setdefault(x.window, []).append(i)
+    out = F.lit(False)
+    for w, places in by_window.items():
+        out = out | (F.col("lookup").isin(places) & in_window(F.col("date"), w.relation if w else None, _start(w, as_of), as_of))
+    return out
+
+
 def _latest(evidence: DataFrame, wanted: list[Lookup], places: range, as_of: date) -> DataFrame:
     mine = [(i, wanted[i]) for i in places]
     record = [c for c in RECORD if c in evidence.columns]
     rows = with_lookups(evidence.filter(F.col("date").isNull() | (F.col("date") <= F.lit(as_of))), wanted, places)
-    rows = rows.select("patient_id", "date", "seq", "value", "unit", "display", *record, "lookup")
+    # what is outside its window never reaches the shuffle
+    rows = rows.filter(_in_own_window(mine, as_of)).select("patient_id", "date", "seq", "value", "unit", "display", *record, "lookup")
     first = F.struct(F.coalesce(F.datediff(F.lit(as_of), "date"), F.lit(2**31 - 1)).alias("age"), "seq", "date", "value", "unit", "display", *record)
     counts = {i: in_window(F.col("date"), x.window.relation if x.window else None, _start(x.window, as_of), as_of) for i, x in mine}
     return rows.groupBy("patient_id").agg(*[F.min(F.when((F.col("lookup") == i) & counts[i], first)).alias(f"l{i}") for i, _ in mine])

@@ -69,21 +69,30 @@ def status(concept: Column) -> Column:
     return F.lower(F.try_element_at(F.filter(F.transform(concept["coding"], lambda c: _text(c["code"])), lambda x: x.isNotNull()), F.lit(1)))
 
 
-def entries(bundles: DataFrame) -> DataFrame:
-    """patient_id, n_patients, position, type, id, resource (JSON), medication (JSON of the one that an order refers to) of every entry with a resource."""
+def _name(e: Column) -> Column:
+    """The id of an entry, else its place."""
+    return F.coalesce(_text(e["id"]), F.concat(F.lit("entry-"), e["position"]))
+
+
+def _charts(bundles: DataFrame) -> DataFrame:
+    """patient_id, n_patients, people and entries (position, full_url, type, id, resource as JSON) with a resource: one row for each bundle."""
     parsed = F.from_json("bundle", "entry array<struct<fullUrl:string,resource:string>>")["entry"]
     typed = F.transform(parsed, lambda e, i: F.named_struct(F.lit("position"), i, F.lit("full_url"), e["fullUrl"], F.lit("type"), F.get_json_object(e["resource"], "$.resourceType"), F.lit("id"), F.get_json_object(e["resource"], "$.id"), F.lit("resource"), e["resource"]))
     rows = bundles.select(F.filter(typed, lambda e: F.coalesce(e["type"] != "", F.lit(False))).alias("entries"))
-    people = F.filter("entries", lambda e: e["type"] == "Patient")
+    rows = rows.withColumn("people", F.filter("entries", lambda e: e["type"] == "Patient"))
+    return rows.select("*", F.try_element_at(F.transform("people", _name), F.lit(1)).alias("patient_id"), F.size("people").alias("n_patients"))
+
+
+def entries(bundles: DataFrame) -> DataFrame:
+    """patient_id, n_patients, position, type, id, resource (JSON), medication (JSON of the one that an order refers to) of every entry with a resource."""
     drugs = F.filter("entries", lambda e: e["type"] == "Medication")
-    name = lambda e: F.coalesce(_text(e["id"]), F.concat(F.lit("entry-"), e["position"]))
     # the first resource under a key wins
-    keyed = F.flatten(F.transform(drugs, lambda e: F.filter(F.transform(F.array(e["full_url"], F.concat(F.lit("Medication/"), name(e)), name(e)), lambda k: F.named_struct(F.lit("k"), k, F.lit("at"), e["position"], F.lit("v"), e["resource"])), lambda x: F.coalesce(x["k"] != "", F.lit(False)))))
-    rows = rows.withColumn("people", people).withColumn("keyed", F.array_sort(keyed))
+    keyed = F.flatten(F.transform(drugs, lambda e: F.filter(F.transform(F.array(e["full_url"], F.concat(F.lit("Medication/"), _name(e)), _name(e)), lambda k: F.named_struct(F.lit("k"), k, F.lit("at"), e["position"], F.lit("v"), e["resource"])), lambda x: F.coalesce(x["k"] != "", F.lit(False)))))
+    rows = _charts(bundles).withColumn("keyed", F.array_sort(keyed))
     once = F.filter("keyed", lambda x, i: (i == 0) | (F.get("keyed", i - 1)["k"] != x["k"]))
     rows = rows.withColumn("drugs", F.map_from_entries(F.transform(once, lambda x: F.struct(x["k"], x["v"]))))
-    rows = rows.select(F.try_element_at(F.transform("people", name), F.lit(1)).alias("patient_id"), F.size("people").alias("n_patients"), F.explode(F.transform("entries", lambda e: F.struct(e.alias("e"), F.when(e["type"] == "MedicationRequest", F.try_element_at("drugs", F.get_json_object(e["resource"], "$.medicationReference.reference"))).alias("medication")))).alias("x"))
-    return rows.select("patient_id", "n_patients", "x.e.position", "x.e.type", name(F.col("x.e")).alias("id"), "x.e.resource", "x.medication")
+    rows = rows.select("patient_id", "n_patients", F.explode(F.transform("entries", lambda e: F.struct(e.alias("e"), F.when(e["type"] == "MedicationRequest", F.try_element_at("drugs", F.get_json_object(e["resource"], "$.medicationReference.reference"))).alias("medication")))).alias("x"))
+    return rows.select("patient_id", "n_patients", "x.e.position", "x.e.type", _name(F.col("x.e")).alias("id"), "x.e.resource", "x.medication")
 
 
 def _checked(rows: DataFrame) -> DataFrame:
@@ -178,22 +187,36 @@ def trimmed(bundles: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
 
 
 def summaries(bundles: DataFrame) -> DataFrame:
-    """One row a bundle with one patient: patient_id, birth_date, deceased, sex, condition names and codes, result codes, visits with first and last day, span_years, n_entries, n_bytes."""
-    rows = entries(bundles.withColumn("bundle", F.col("bundle"))).filter("n_patients = 1")
-    rows = rows.withColumn("r", F.from_json("resource", RESOURCE + ", birthDate string, gender string, deceasedDateTime string"))
+    """One row a patient of bundles with one patient: patient_id, birth_date, deceased, sex, condition names and codes, result codes, visits with first and last day, span_years, n_entries, n_bytes.
+
+    A chart is summed up in its own row, so that one row a bundle is shuffled.
+    """
+    fields = f"code {CONCEPT}, component array<struct<code:{CONCEPT}>>, period struct<start:string,end:string>, birthDate string, gender string, deceasedDateTime string"
+    read = F.transform("entries", lambda e: F.struct(e["type"].alias("type"), F.octet_length(e["resource"]).cast("long").alias("n"), F.from_json(e["resource"], fields).alias("r")))
+    rows = _charts(bundles).select("patient_id", "n_patients", read.alias("read"))
     coded = lambda c: F.coalesce(c["coding"], F.array().cast(CODING))
-    names = F.array_compact(F.concat(F.transform(coded(F.col("r.code")), lambda x: _text(x["display"])), F.array(_text(F.col("r.code.text")))))
-    own = F.transform(coded(F.col("r.code")), lambda x: _text(x["code"]))
-    parts = F.flatten(F.transform(F.coalesce("r.component", F.array().cast(f"array<struct<code:{CONCEPT},valueQuantity:{QUANTITY}>>")), lambda c: coded(c["code"])))
-    loinc = F.transform(F.filter(F.concat(coded(F.col("r.code")), parts), lambda x: x["system"] == "http://loinc.org"), lambda x: _text(x["code"]))
-    is_ = lambda t: F.col("type") == t
-    sets = lambda t, values: F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.when(is_(t), values))))))
-    day = F.substring(F.coalesce(F.get_json_object("resource", "$.period.end"), F.col("r.period.start")), 1, 10)
-    own_value = lambda c: F.max(F.when(is_("Patient"), F.col(c)))
-    out = rows.groupBy("patient_id").agg(
-        own_value("r.birthDate").alias("birth_date"), F.substring(own_value("r.deceasedDateTime"), 1, 10).alias("deceased"), own_value("r.gender").alias("sex"),
-        sets("Condition", names).alias("condition_names"), sets("Condition", own).alias("condition_codes"), sets("Observation", loinc).alias("result_codes"),
-        F.count_if(is_("Encounter")).alias("visits"), F.min(F.when(is_("Encounter"), day)).alias("first_visit"), F.max(F.when(is_("Encounter"), day)).alias("last_visit"),
-        F.count("*").alias("n_entries"), F.sum(F.octet_length("resource")).alias("n_bytes"),
+    of = lambda kind, values: F.transform(F.filter("read", lambda x: x["type"] == kind), lambda x: values(x["r"]))
+    names = lambda r: F.concat(F.transform(coded(r["code"]), lambda x: _text(x["display"])), F.array(_text(r["code"]["text"])))
+    own = lambda r: F.transform(coded(r["code"]), lambda x: _text(x["code"]))
+    parts = lambda r: F.flatten(F.transform(F.coalesce(r["component"], F.array().cast(f"array<struct<code:{CONCEPT}>>")), lambda c: coded(c["code"])))
+    loinc = lambda r: F.transform(F.filter(F.concat(coded(r["code"]), parts(r)), lambda x: x["system"] == "http://loinc.org"), lambda x: _text(x["code"]))
+    distinct = lambda lists: F.array_distinct(F.array_compact(F.flatten(lists)))
+    day = lambda r: F.substring(F.coalesce(r["period"]["end"], r["period"]["start"]), 1, 10)
+    own_value = lambda field: F.array_max(of("Patient", lambda r: r[field]))
+    days = of("Encounter", day)
+    chart = F.struct(
+        "patient_id", own_value("birthDate").alias("birth_date"), own_value("deceasedDateTime").alias("deceased"), own_value("gender").alias("sex"),
+        distinct(of("Condition", names)).alias("condition_names"), distinct(of("Condition", own)).alias("condition_codes"), distinct(of("Observation", loinc)).alias("result_codes"),
+        F.size(days).alias("visits"), F.array_min(days).alias("first_visit"), F.array_max(days).alias("last_visit"),
+        F.size("read").alias("n_entries"), F.aggregate("read", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_bytes"),
+    )
+    # as a list of one or none, since a filter would parse every bundle once more
+    charts = rows.select(F.inline(F.when(F.col("n_patients") == 1, F.array(chart))))
+    sets = lambda c: F.array_sort(distinct(F.collect_list(c))).alias(c)
+    total = lambda c: F.sum(c).alias(c)
+    out = charts.groupBy("patient_id").agg(
+        F.max("birth_date").alias("birth_date"), F.substring(F.max("deceased"), 1, 10).alias("deceased"), F.max("sex").alias("sex"),
+        sets("condition_names"), sets("condition_codes"), sets("result_codes"),
+        total("visits"), F.min("first_visit").alias("first_visit"), F.max("last_visit").alias("last_visit"), total("n_entries"), total("n_bytes"),
     )
     return out.withColumn("span_years", F.coalesce(F.substring("last_visit", 1, 4).cast("int") - F.substring("first_visit", 1, 4).cast("int"), F.lit(0)))

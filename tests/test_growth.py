@@ -23,3 +23,25 @@ def test_notes_take_from_the_evidence_only_what_they_share(spark):
 
 def test_a_chart_summary_does_not_repeat_rows_for_distinct_counts(spark):
     assert "Expand" not in plan(spark, "chart_summary")
+
+
+def parses(spark, query, field):
+    """How often a plan parses JSON whose schema begins with a field."""
+    return registered.queries()[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count(f"from_json(StructField({field},")
+
+
+def test_a_bundle_is_parsed_once_in_summaries(spark):
+    assert parses(spark, "fhir_bundle_codes", "entry") == 1
+    assert parses(spark, "fhir_summaries", "entry") == 1
+
+
+def test_a_summary_shuffles_charts_and_not_entries(spark):
+    from screenlake.sources import fhir
+
+    entry = '{"resource":{"resourceType":"%s","id":"%s"%s}}'
+    visits = ",".join(entry % ("Encounter", i, ',"period":{"start":"2020-01-0%d"}' % (1 + i)) for i in range(5))
+    chart = lambda *people: '{"entry":[' + ",".join([*(entry % ("Patient", p, "") for p in people), visits]) + "]}"
+    # two bundles of one patient are one row; a bundle of two patients is none
+    rows = fhir.summaries(spark.createDataFrame([(chart("a"),), (chart("a"),), (chart("b", "c"),), (chart("d"),), (None,)], "bundle string"))
+    assert "explode" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.patient_id, r.visits, r.first_visit, r.last_visit, r.n_entries) for r in rows.orderBy("patient_id").collect()] == [("a", 10, "2020-01-01", "2020-01-05", 12), ("d", 5, "2020-01-01", "2020-01-05", 6)]

@@ -7,9 +7,12 @@ calibrated so that the expected tokens are a given share of all tokens, and a
 document is drawn if a hash of its id and the seed is below its probability.
 
 A topic is the nearest of ``TOPICS`` centroids over hashed words, weighted by
-how rare they are and without what sets languages apart; the centroids are fitted on ``TOPIC_DOCS`` distinct texts at
-most, chosen by a hash. Texts without words have the topic ``none``. Tokens are
-words, or what the given counter says.
+how rare they are and without what sets languages apart; the centroids are fitted on all
+documents, repeated ones as often as they occur: each round is one pass over the
+hashed words in Spark, whose sums are of rounded numbers, so that their order
+does not matter; only products in single precision may differ in the last place.
+Texts without words have the topic ``none``. Tokens are words, or what
+the given counter says.
 
 Counts cover all documents. Up to ``MAX_CELLS`` cells are raked on the driver,
 one row a cell; more are raked in Spark, by the same steps. Nulls in source or
@@ -23,21 +26,24 @@ touched, whatever its name. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.common import SharedTables, bound_batches, id_text, map_batches, texts_of
+from screenlake.llm.common import SharedTables, bound_batches
 from screenlake.llm.shingles import word_hashes
 
 MAX_CELLS = 100_000
 TOPICS = 8
-TOPIC_DOCS = 2000
 DIM = 2048
 COMMON = 4
+#: Parts of one that sums over documents are rounded to; they are exact up to 2^33 documents.
+UNIT = float(1 << 20)
+#: Largest turn of a direction or centroid in a round after which no more rounds follow.
+STILL = 1e-3
 MARGINS = ("source", "lang", "topic")
 
 
@@ -54,67 +60,145 @@ class Topics:
         self.rare, self.centroids = rare, centroids
 
     @classmethod
-    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], topics: int = TOPICS, rounds: int = 15) -> Topics:
-        """Spherical k-means on what is left without the COMMON main directions, begun with the first rows.
+    def fit(cls, vectors: DataFrame, store: SharedTables, topics: int = TOPICS, rounds: int = 15) -> Topics:
+        """Spherical k-means over all of vectors(h, at, n) on what is left without the COMMON main directions, begun with the first rows.
 
         The main directions are those of languages and styles, which are margins
         of their own; centroids are at right angles to them.
         """
-        x = np.zeros((len(rows), DIM), np.float32)
-        for i, (at, value) in enumerate(rows):
-            x[i, at] = value
-        rare = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32)
-        x *= rare
+        vectors = vectors.filter(F.length("at") > 0)
+        seen = _summed(vectors.select("at"), _counted, DIM + 1)
+        rare = np.log((1 + seen[-1]) / (1 + seen[:-1])).astype(np.float32)
+        chunks = store.write(vectors.select("at", "n").mapInArrow(_packed(rare), "at binary, value binary, row binary"), "chunks")
+        first = vectors.groupBy("h", "at", "n").agg(F.lit(1)).orderBy("h", "at", "n").limit(max(topics, 2 * COMMON)).collect()
+        x = np.zeros((len(first), DIM), np.float32)
+        for i, r in enumerate(first):
+            x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
         unit = lambda y: y / np.maximum(np.linalg.norm(y, axis=1), 1e-9)[:, None]
-        x = unit(x)
-        if not len(rows):
+        x = unit(x * rare)
+        if not len(x):
             return cls(rare, x)
-        main = np.linalg.qr(x[:COMMON].T)[0]
+        main = np.linalg.qr(x[: 2 * COMMON].T)[0]
         for _ in range(20):
-            main = np.linalg.qr(x.T @ (x @ main))[0]
-        x = unit(x - (x @ main) @ main.T)
-        centers = x[:topics]
+            size = main.shape[1]
+            turned = _summed(chunks, _turned(main), DIM * size).reshape(DIM, size)
+            q, _, mixed = np.linalg.svd(turned, full_matrices=False)
+            held, main = main @ mixed.T, q
+            if np.linalg.norm(held[:, :COMMON] - main[:, :COMMON] @ (main[:, :COMMON].T @ held[:, :COMMON])) < STILL:
+                break
+        main = main[:, :COMMON]
+        centers = unit(x - (x @ main) @ main.T)[:topics]
         for _ in range(rounds):
-            own = (x @ centers.T).argmax(1)
-            sums = np.stack([x[own == k].sum(0) for k in range(len(centers))])
-            centers = np.where(np.linalg.norm(sums, axis=1)[:, None] > 0, unit(sums), centers)
+            sums = _summed(chunks, _gathered(main, centers), DIM * len(centers)).reshape(len(centers), DIM)
+            sums = sums - (sums @ main) @ main.T
+            held, centers = centers, np.where(np.linalg.norm(sums, axis=1)[:, None] > 0, unit(sums), centers)
+            if np.linalg.norm(centers - held, axis=1).max() < STILL:
+                break
+        store.drop("chunks")
         return cls(rare, centers.astype(np.float32))
 
-    @classmethod
-    def fit(cls, docs: DataFrame, topics: int = TOPICS, most: int = TOPIC_DOCS) -> Topics:
-        """At most so many distinct texts reach the driver, as hashed words."""
-        limit = int(2**32 * min(1.0, most / max(1, docs.count())))
-
-        def sample(batch: pa.RecordBatch) -> dict:
-            drawn = sorted({x for x in texts_of(batch) if zlib.crc32(x) < limit})
-            words = [hashed_words(x) for x in drawn]
-            return {"h": [zlib.crc32(x) for x in drawn], "at": [w[0].astype("<i4").tobytes() for w in words], "n": [w[1].astype("<f4").tobytes() for w in words]}
-
-        drawn = map_batches(id_text(docs), sample, "h long, at binary, n binary").filter(F.length("at") > 0).distinct().orderBy("h", "at", "n").limit(most).collect()
-        return cls.of([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in drawn], topics)
-
-    def name(self, text: bytes) -> str:
-        at, value = hashed_words(text)
+    def name(self, at: np.ndarray, value: np.ndarray) -> str:
         if not len(at) or not len(self.centroids):
             return "none"
         return f"topic{int((self.centroids[:, at] @ (value * self.rare[at])).argmax())}"
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Documents that have each word, and all documents."""
+    yield np.append(np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=DIM), batch.num_rows)
+
+
+def _packed(rare: np.ndarray, rows: int = 512) -> Callable:
+    """Documents of length 1, weighted by rarity, in chunks of so many: places, values, and which document each is of."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                at = part.column(0).to_pylist()
+                row = np.repeat(np.arange(len(at)), [len(x) // 2 for x in at])
+                at = np.frombuffer(b"".join(at), "<u2")
+                value = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f4") * rare[at]
+                value = value / np.maximum(np.sqrt(np.bincount(row, value * value)), 1e-9)[row]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, value.astype("<f4"), row.astype("<u2"))], names=["at", "value", "row"])
+
+    return run
+
+
+def _dense(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Each chunk with a row a document."""
+    for at, value, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        row = np.frombuffer(row, "<u2")
+        x = np.zeros((int(row[-1]) + 1, DIM), np.float32)
+        x[row, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
+        yield x
+
+
+def _turned(main: np.ndarray) -> Callable:
+    """Sums of each document times its products with the columns of main."""
+    main = main.astype(np.float32)
+    return lambda batch: (np.rint((x.T @ (x @ main)).astype(float).ravel() * UNIT) for x in _dense(batch))
+
+
+def _gathered(main: np.ndarray, centers: np.ndarray) -> Callable:
+    """Sums of the documents nearest to each centre, scaled so that they have length 1 when main is taken out of them."""
+    columns, k = np.concatenate([centers.T, main], 1).astype(np.float32), len(centers)
+
+    def one(batch):
+        for x in _dense(batch):
+            found = x @ columns
+            left = np.sqrt(np.maximum(1 - (found[:, k:] ** 2).sum(1), 0))
+            own = np.zeros((len(x), k), np.float32)
+            own[np.arange(len(x)), found[:, :k].argmax(1)] = np.where(left > 1e-3, 1 / np.maximum(left, 1e-3), 0)  # nothing is left of the others
+            yield np.rint((own.T @ x).astype(float).ravel() * UNIT)
+
+    return one
+
+
+def _summed(rows: DataFrame, one: Callable, size: int, reducers: int = 16) -> np.ndarray:
+    """Sum of the arrays that one gives for batches: a row a task is shuffled, and one a reducer reaches the driver."""
+
+    def total(batches: Iterator, one: Callable) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            for x in one(batch):
+                out += x
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["sums"])
+
+    given = lambda batch: (np.frombuffer(x, "<f8") for x in batch.column(0).to_pylist())
+    parts = rows.mapInArrow(lambda b: total(b, one), "sums binary")
+    found = parts.repartition(reducers).mapInArrow(lambda b: total(b, given), "sums binary").collect()
+    return np.sum([np.frombuffer(r["sums"], "<f8") for r in found], axis=0) if found else np.zeros(size)
+
+
 def words_of(texts: list[bytes]) -> list[int]:
     return [len(x.split()) for x in texts]
 
 
-def measured(text: str, topics: Topics, tokens: Callable[[list[bytes]], list[int]] = words_of) -> Column:
-    """Struct of n_tokens and topic of a text column."""
+def measured(text: str, tokens: Callable[[list[bytes]], list[int]] = words_of) -> Column:
+    """Struct of n_tokens and the hashed words of a text column: h (a hash of the text), at, n."""
 
-    @F.arrow_udf("struct<n_tokens:long,topic:string>")
+    @F.arrow_udf("struct<n_tokens:long,h:long,at:binary,n:binary>")
     def measure(column: pa.Array) -> pa.Array:
         texts = [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(tokens(texts), pa.int64()), pa.array([topics.name(x) for x in texts], pa.string())], names=["n_tokens", "topic"])
+        words = [hashed_words(x) for x in texts]
+        at, n = [w[0].astype("<u2").tobytes() for w in words], [w[1].astype("<f4").tobytes() for w in words]
+        arrays = [pa.array(tokens(texts), pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())]
+        return pa.StructArray.from_arrays(arrays, names=["n_tokens", "h", "at", "n"])
 
     return measure(F.col(f"`{text}`").cast("string"))
 
 
+def topic_of(topics: Topics, at: str, n: str) -> Column:
+    """The topic of hashed words."""
+
+    @F.arrow_udf("string")
+    def named(at: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([topics.name(np.frombuffer(x, "<u2"), np.frombuffer(y, "<f4")) for x, y in zip(at.to_pylist(), n.to_pylist(), strict=True)], pa.string())
+
+    return named(at, n)
+
+
 def tempered(tokens: np.ndarray, index: np.ndarray, power: float) -> np.ndarray:
     """Target shares of one margin: its shares of tokens to a power, scaled to sum 1."""
     share = np.bincount(index, tokens)
@@ -227,9 +311,11 @@ def with_draw(docs: DataFrame, power: float, keep_share: float, seed: int, targe
     bound_batches(docs.sparkSession)
     store = SharedTables(docs.sparkSession, "mixing")
     key = (F.col("source").cast("string"), F.col("lang").cast("string"), F.col("doc_id").cast("string"))
-    # measured once, and read twice
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), measured("text", Topics.fit(docs), tokens).alias("mix"), F.struct(*(k.alias(n) for k, n in zip(key, ("source", "lang", "id"), strict=True))).alias("by"))
+    # measured once; rounds read the hashed words alone, and a topic follows from them the same way each time
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), measured("text", tokens).alias("of"), F.struct(*(k.alias(n) for k, n in zip(key, ("source", "lang", "id"), strict=True))).alias("by"))
     rows = store.write(rows, "rows")
+    topic = topic_of(Topics.fit(rows.select("of.h", "of.at", "of.n"), store), "of.at", "of.n")
+    rows = rows.select("row", "by", F.struct("of.n_tokens", topic.alias("topic")).alias("mix"))
     cells = store.write(rows.groupBy("by.source", "by.lang", "mix.topic").agg(F.sum("mix.n_tokens").alias("tokens")), "cells")
     p = probabilities(cells, power, keep_share, targets).toDF("p_source", "p_lang", "p_topic", "p")
     found = rows.join(p, F.col("by.source").eqNullSafe(F.col("p_source")) & F.col("by.lang").eqNullSafe(F.col("p_lang")) & (F.col("mix.topic") == F.col("p_topic")))

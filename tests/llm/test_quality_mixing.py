@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from screenlake.llm import mixing, quality
+from screenlake.llm.common import SharedTables
 
 CLEAN = "this is a short sentence about how the river runs from north to south near my house every single day".split()
 
@@ -157,3 +158,25 @@ def test_one_kind_only_and_ties(spark):
     assert quality.QualityModel.fit(good).transform(good).filter("NOT kept").count() == 0
     empty = quality.QualityModel(0.5, {}, {}, np.zeros((1 << quality.BITS) + 1))
     assert [x.kept for x in empty.transform(good.limit(3)).collect()] == [True] * 3  # exactly 0.5 stays
+
+
+def hashed(spark, texts):
+    return spark.createDataFrame([(x,) for x in texts], "text string").select(mixing.measured("text").alias("of")).select("of.h", "of.at", "of.n")
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices([f"t{i % 3}w{j}" for j in range(40)] + [f"c{j}" for j in range(30)], k=30)) for i in range(2600)]
+    topics = mixing.Topics.fit(hashed(spark, texts + [None, ""]).repartition(5), SharedTables(spark, "topics"))
+    # the weight of a word that no document has
+    assert round(float(np.exp(topics.rare.max()))) == 2601
+    again = mixing.Topics.fit(hashed(spark, texts[::-1]).repartition(3), SharedTables(spark, "topics"))
+    assert (topics.rare == again.rare).all() and np.abs(topics.centroids - again.centroids).max() < 1e-4
+    # the centroids are at right angles to the main directions by plain numpy, or nearly so
+    x = np.zeros((len(texts), mixing.DIM))
+    for i, text in enumerate(texts):
+        at, value = mixing.hashed_words(text.encode())
+        x[i, at] = value * topics.rare[at]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    main = np.linalg.svd(x, full_matrices=False)[2][:3].T  # three vocabularies: the fourth direction is noise
+    assert np.abs(topics.centroids @ main).max() < 0.05

@@ -30,16 +30,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.common import SharedTables, bound_batches
+from screenlake.llm.common import SharedTables, bound_batches, pieces, texts_of
 from screenlake.llm.shingles import word_hashes
 
 MAX_CELLS = 100_000
 TOPICS = 8
 DIM = 2048
 COMMON = 4
+#: Bytes of text that are cut into words at once.
+PIECE = 2_000_000
 #: Parts of one that sums over documents are rounded to; they are exact up to 2^33 documents.
 UNIT = float(1 << 20)
 #: Largest turn of a direction or centroid in a round after which no more rounds follow.
@@ -70,7 +73,8 @@ class Topics:
         seen = _summed(vectors.select("at"), _counted, DIM + 1)
         rare = np.log((1 + seen[-1]) / (1 + seen[:-1])).astype(np.float32)
         chunks = store.write(vectors.select("at", "n").mapInArrow(_packed(rare), "at binary, value binary, row binary"), "chunks")
-        first = vectors.groupBy("h", "at", "n").agg(F.lit(1)).orderBy("h", "at", "n").limit(max(topics, 2 * COMMON)).collect()
+        most = max(topics, 2 * COMMON)
+        first = vectors.select("h", "at", "n").mapInArrow(_first(most), "h long, at binary, n binary").distinct().orderBy("h", "at", "n").limit(most).collect()
         x = np.zeros((len(first), DIM), np.float32)
         for i, r in enumerate(first):
             x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
@@ -108,7 +112,24 @@ def _counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield np.append(np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=DIM), batch.num_rows)
 
 
-def _packed(rare: np.ndarray, rows: int = 512) -> Callable:
+def _first(most: int) -> Callable:
+    """The first distinct rows of a task, in order: those of all tasks have the first ones of the table."""
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            h = batch.column(0)
+            if len(held) == most:
+                batch = batch.filter(pc.less_equal(h, held[-1][0]))
+            if batch.num_rows:
+                held = sorted({*held, *zip(*(c.to_pylist() for c in batch.columns), strict=True)})[:most]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["h", "at", "n"])
+
+    return run
+
+
+def _packed(rare: np.ndarray, rows: int = 128) -> Callable:
     """Documents of length 1, weighted by rarity, in chunks of so many: places, values, and which document each is of."""
 
     def run(batches):
@@ -180,10 +201,17 @@ def measured(text: str, tokens: Callable[[list[bytes]], list[int]] = words_of) -
 
     @F.arrow_udf("struct<n_tokens:long,h:long,at:binary,n:binary>")
     def measure(column: pa.Array) -> pa.Array:
-        texts = [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-        words = [hashed_words(x) for x in texts]
-        at, n = [w[0].astype("<u2").tobytes() for w in words], [w[1].astype("<f4").tobytes() for w in words]
-        arrays = [pa.array(tokens(texts), pa.int64()), pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())]
+        n_tokens, h, at, n = [], [], [], []
+        # the words of a whole batch would take ten times its bytes, which the worker keeps for later tasks
+        for piece in pieces(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), PIECE):
+            texts = texts_of(piece)
+            n_tokens += tokens(texts)
+            h += map(zlib.crc32, texts)
+            for places, roots in map(hashed_words, texts):
+                at.append(places.astype("<u2").tobytes())
+                n.append(roots.astype("<f4").tobytes())
+        arrays = [pa.array(n_tokens, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())]
+        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays(arrays, names=["n_tokens", "h", "at", "n"])
 
     return measure(F.col(f"`{text}`").cast("string"))

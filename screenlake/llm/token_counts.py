@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from screenlake.llm.common import id_text, map_batches, texts_of
 
 #: Words whose counts a worker keeps.
-CACHED = 100_000
+CACHED = 250_000
 MARK = "▁"
 
 

@@ -180,3 +180,25 @@ def test_topics_are_fitted_on_all_documents(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     main = np.linalg.svd(x, full_matrices=False)[2][:3].T  # three vocabularies: the fourth direction is noise
     assert np.abs(topics.centroids @ main).max() < 0.05
+
+
+def test_few_words_are_held_at_once_and_all_are_measured(spark, monkeypatch):
+    """A worker's memory follows from the texts that it cuts at once, so a batch goes by in pieces."""
+    texts = [None, "", *(f"one two w{i} w{i % 7}" for i in range(50)), "long " * 40]
+
+    def tokens(given):
+        assert len(given) == 1 or sum(map(len, given)) <= 100
+        return mixing.words_of(given)
+
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    out = [x.of for x in docs.select(mixing.measured("text", tokens).alias("of")).collect()]
+    assert [x.n_tokens for x in out] == [len((x or "").split()) for x in texts]
+    assert [(bytes(x.at), bytes(x.n)) for x in out] == [(at.astype("<u2").tobytes(), n.astype("<f4").tobytes()) for at, n in (mixing.hashed_words((x or "").encode()) for x in texts)]
+
+
+def test_first_rows_are_those_of_the_whole_table(spark):
+    rows = [(i % 40, bytes([i % 3]), b"n") for i in range(400)]
+    vectors = spark.createDataFrame(rows, "h long, at binary, n binary").repartition(6)
+    out = vectors.mapInArrow(mixing._first(8), vectors.schema).distinct().orderBy("h", "at", "n").limit(8).collect()
+    assert [(x.h, bytes(x.at), bytes(x.n)) for x in out] == sorted(set(rows))[:8]

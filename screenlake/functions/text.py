@@ -50,12 +50,17 @@ def short_number(value: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def located(text: pd.Series, quote: pd.Series) -> pd.Series:
-    """The part of the text that the quote repeats but for white space, as the text has it; null if there is none."""
+    """The part of the text that the quote repeats but for white space, as the text has it; null if there is none.
+
+    A quote that stands in the text as it is, but for white space around it, is its own part.
+    """
     import re
 
     def find(t, q):
         if not isinstance(t, str) or not isinstance(q, str) or not q.split():
             return None
+        if (said := q.strip()) in t:
+            return said
         m = re.search(r"\s+".join(map(re.escape, q.split())), t)
         return m[0] if m else None
 

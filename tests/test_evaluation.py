@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from screenlake.functions import text
 from screenlake.operators import arms, edits, gates, keys, metrics, queue, relations, screening
 from screenlake.plans.criteria import Concept, Criterion, Observation, Presence, Protocol
 
@@ -117,3 +118,10 @@ def test_an_observation_that_is_not_the_latest_tests_nothing(spark):
         edits.add_observation(chart, "p", "1", "x", 2.0, "g", date(2025, 1, 1))
     more = edits.add_observation(chart, "p", "1", "x", 2.0, "g", date(2026, 2, 1))
     assert [(r.side, r.value) for r in edits.changes(chart, more).collect()] == [("after", 2.0)]
+
+
+def test_a_verbatim_quote_is_its_own_part(spark):
+    """Of places that differ in white space alone, the one that says it as the quote does; else the first."""
+    rows = [("a a\na a a", " a a a "), ("a  a\na", "a a"), ("ab cd abcd", "ab  cd"), ("abcd", "ab cd"), ("a", " "), (None, "a")]
+    out = spark.createDataFrame(rows, "text string, quote string").coalesce(1).select(text.located(F.col("text"), F.col("quote")).alias("x")).collect()
+    assert [r.x for r in out] == ["a a a", "a  a", "ab cd", None, None, None]

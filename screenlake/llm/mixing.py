@@ -43,6 +43,10 @@ DIM = 2048
 COMMON = 4
 #: Bytes of text that are cut into words at once.
 PIECE = 2_000_000
+#: Bits of a place among DIM, and the largest count of a word that fits beside it in two bytes.
+PLACE = 11
+MANY = 31
+CHUNK = "codes binary, sizes binary, scale binary, far binary, roots binary"
 #: Parts of one that sums over documents are rounded to; they are exact up to 2^33 documents.
 UNIT = float(1 << 20)
 #: Largest turn of a direction or centroid in a round after which no more rounds follow.
@@ -52,8 +56,9 @@ MARGINS = ("source", "lang", "topic")
 
 def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words of a text among DIM, with square roots of their counts."""
-    found, n = np.unique(word_hashes(text) & np.uint64(DIM - 1), return_counts=True)
-    return found.astype(np.int64), np.sqrt(n)
+    n = np.bincount((word_hashes(text) & np.uint64(DIM - 1)).astype(np.int64), minlength=DIM)
+    found = np.flatnonzero(n)
+    return found, np.sqrt(n[found])
 
 
 class Topics:
@@ -72,7 +77,7 @@ class Topics:
         vectors = vectors.filter(F.length("at") > 0)
         seen = _summed(vectors.select("at"), _counted, DIM + 1)
         rare = np.log((1 + seen[-1]) / (1 + seen[:-1])).astype(np.float32)
-        chunks = store.write(vectors.select("at", "n").mapInArrow(_packed(rare), "at binary, value binary, row binary"), "chunks")
+        chunks = store.write(vectors.select("at", "n").mapInArrow(_packed(rare), CHUNK), "chunks")
         most = max(topics, 2 * COMMON)
         first = vectors.select("h", "at", "n").mapInArrow(_first(most), "h long, at binary, n binary").distinct().orderBy("h", "at", "n").limit(most).collect()
         x = np.zeros((len(first), DIM), np.float32)
@@ -82,18 +87,10 @@ class Topics:
         x = unit(x * rare)
         if not len(x):
             return cls(rare, x)
-        main = np.linalg.qr(x[: 2 * COMMON].T)[0]
-        for _ in range(20):
-            size = main.shape[1]
-            turned = _summed(chunks, _turned(main), DIM * size).reshape(DIM, size)
-            q, _, mixed = np.linalg.svd(turned, full_matrices=False)
-            held, main = main @ mixed.T, q
-            if np.linalg.norm(held[:, :COMMON] - main[:, :COMMON] @ (main[:, :COMMON].T @ held[:, :COMMON])) < STILL:
-                break
-        main = main[:, :COMMON]
+        main = principal(x[: 2 * COMMON].T, lambda y: _summed(chunks, _turned(y, rare), y.size).reshape(y.shape))
         centers = unit(x - (x @ main) @ main.T)[:topics]
         for _ in range(rounds):
-            sums = _summed(chunks, _gathered(main, centers), DIM * len(centers)).reshape(len(centers), DIM)
+            sums = _summed(chunks, _gathered(main, centers, rare), DIM * len(centers)).reshape(len(centers), DIM)
             sums = sums - (sums @ main) @ main.T
             held, centers = centers, np.where(np.linalg.norm(sums, axis=1)[:, None] > 0, unit(sums), centers)
             if np.linalg.norm(centers - held, axis=1).max() < STILL:
@@ -107,6 +104,29 @@ class Topics:
         return f"topic{int((self.centroids[:, at] @ (value * self.rare[at])).argmax())}"
 
 
+def principal(start: np.ndarray, times: Callable[[np.ndarray], np.ndarray], rounds: int = 20) -> np.ndarray:
+    """The COMMON main directions of the documents, from the columns of start; times: their matrix of products times some columns.
+
+    Block Lanczos: the products of all rounds are kept, and each round takes the
+    best directions within all of them, so few rounds do.
+    """
+    block = np.linalg.qr(start)[0]
+    basis, products, main = np.zeros((len(start), 0)), np.zeros((len(start), 0)), block
+    for _ in range(rounds):
+        basis, products = np.concatenate([basis, block], 1), np.concatenate([products, times(block)], 1)
+        inner = basis.T @ products
+        value, mixed = np.linalg.eigh((inner + inner.T) / 2)
+        held, main = main, basis @ mixed[:, ::-1][:, :COMMON]
+        rest = products[:, -block.shape[1] :]
+        for _ in range(2):  # twice, so that rounding leaves nothing of the basis
+            rest = rest - basis @ (basis.T @ rest)
+        left, size, _ = np.linalg.svd(rest, full_matrices=False)
+        block = left[:, size > 1e-6 * max(value[-1], 1e-300)][:, : len(start) - basis.shape[1]]
+        if not block.shape[1] or np.linalg.norm(held[:, :COMMON] - main @ (main.T @ held[:, :COMMON])) < STILL:
+            break
+    return main
+
+
 def _counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """Documents that have each word, and all documents."""
     yield np.append(np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=DIM), batch.num_rows)
@@ -130,47 +150,73 @@ def _first(most: int) -> Callable:
 
 
 def _packed(rare: np.ndarray, rows: int = 128) -> Callable:
-    """Documents of length 1, weighted by rarity, in chunks of so many: places, values, and which document each is of."""
+    """Documents in chunks of so many, two bytes a word, as each round reads them all.
+
+    codes: place and count of each word, sizes: words of each document, scale: one
+    over the length that a document has when weighted by rarity, far and roots: the
+    words with over MANY counts, which have the code of count 0.
+    """
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
                 at = part.column(0).to_pylist()
-                row = np.repeat(np.arange(len(at)), [len(x) // 2 for x in at])
+                sizes = np.array([len(x) // 2 for x in at], "<u2")
                 at = np.frombuffer(b"".join(at), "<u2")
-                value = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f4") * rare[at]
-                value = value / np.maximum(np.sqrt(np.bincount(row, value * value)), 1e-9)[row]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, value.astype("<f4"), row.astype("<u2"))], names=["at", "value", "row"])
+                roots = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f4")
+                count = np.rint(roots * roots)
+                far = np.flatnonzero(count > MANY)
+                codes = at | np.where(count > MANY, 0, count).astype("<u2") << np.uint16(PLACE)
+                scale = 1 / np.maximum(np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), (roots * rare[at]) ** 2)), 1e-9)
+                made = (codes.astype("<u2"), sizes, scale.astype("<f4"), far.astype("<u4"), roots[far])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=[x.split()[0] for x in CHUNK.split(", ")])
 
     return run
 
 
-def _dense(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """Each chunk with a row a document."""
-    for at, value, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        row = np.frombuffer(row, "<u2")
-        x = np.zeros((int(row[-1]) + 1, DIM), np.float32)
-        x[row, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
-        yield x
+def _dense(batch: pa.RecordBatch, weight: np.ndarray, rare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each chunk with a row a document, until the next one is asked for, and the factors that give its rows length 1. weight: of each code."""
+    held = np.zeros(0, np.float32)
+    for one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        codes, sizes, scale, far, roots = (np.frombuffer(x, t) for x, t in zip(one, ("<u2", "<u2", "<f4", "<u4", "<f4"), strict=True))
+        held = held if len(held) >= len(sizes) * DIM else np.empty(len(sizes) * DIM, np.float32)
+        x = held[: len(sizes) * DIM]
+        x.fill(0)
+        place = codes & np.uint16(DIM - 1)
+        at = np.repeat(np.arange(0, len(x), DIM), sizes) + place
+        x[at] = weight[codes]
+        if len(far):
+            x[at[far]] = roots * rare[place[far]]
+        yield x.reshape(len(sizes), DIM), scale
 
 
-def _turned(main: np.ndarray) -> Callable:
+def _weights(rare: np.ndarray) -> np.ndarray:
+    """The weight of every code of place and count."""
+    return (np.sqrt(np.arange(MANY + 1, dtype=np.float32))[:, None] * rare).ravel()
+
+
+def _turned(main: np.ndarray, rare: np.ndarray) -> Callable:
     """Sums of each document times its products with the columns of main."""
     main = main.astype(np.float32)
-    return lambda batch: (np.rint((x.T @ (x @ main)).astype(float).ravel() * UNIT) for x in _dense(batch))
+
+    def one(batch):
+        for x, scale in _dense(batch, _weights(rare), rare):
+            yield np.rint((x.T @ (x @ main * (scale * scale)[:, None])).astype(float).ravel() * UNIT)
+
+    return one
 
 
-def _gathered(main: np.ndarray, centers: np.ndarray) -> Callable:
+def _gathered(main: np.ndarray, centers: np.ndarray, rare: np.ndarray) -> Callable:
     """Sums of the documents nearest to each centre, scaled so that they have length 1 when main is taken out of them."""
     columns, k = np.concatenate([centers.T, main], 1).astype(np.float32), len(centers)
 
     def one(batch):
-        for x in _dense(batch):
-            found = x @ columns
+        for x, scale in _dense(batch, _weights(rare), rare):
+            found = x @ columns * scale[:, None]
             left = np.sqrt(np.maximum(1 - (found[:, k:] ** 2).sum(1), 0))
             own = np.zeros((len(x), k), np.float32)
-            own[np.arange(len(x)), found[:, :k].argmax(1)] = np.where(left > 1e-3, 1 / np.maximum(left, 1e-3), 0)  # nothing is left of the others
+            own[np.arange(len(x)), found[:, :k].argmax(1)] = np.where(left > 1e-3, scale / np.maximum(left, 1e-3), 0)  # nothing is left of the others
             yield np.rint((own.T @ x).astype(float).ravel() * UNIT)
 
     return one

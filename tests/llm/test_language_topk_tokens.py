@@ -135,3 +135,18 @@ def test_blocks_below_the_kth_score_are_skipped(spark):
     for q in range(0, 1200, 20):
         best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
+def test_words_are_read_side_by_side_as_one_by_one(monkeypatch):
+    """Whole texts at once give the counts of single words; only words with rare characters and very long ones are read alone."""
+    path, r = P.path("piece_bpe_32k.model"), random.Random(21)
+    texts = [b"", b" \n", b"\xff\xfe a\xc3 b\xe2\x82 c", "a\u2581b \u2581 \u65e5\u672c\u8a9e \u0442\u0435\u0441\u0442".encode(), b"x" * 70 + b" " + b"y" * 64 + b" " + b"z" * 65, b"\x00 \x1c\x1d a\x0bb\x0cc"]
+    texts += ["".join(r.choices("abcdefghi\u00e9 \u00fc\u2581\u65e5 \n\t.,0123456789\u00df\U0001f600", k=r.randint(0, 200))).encode() for _ in range(300)]
+    automaton, _ = token_counts.load(path)
+    want = [(len(ws), sum(automaton.count(w.decode("utf-8", "replace")) for w in ws)) for ws in (x.split() for x in texts)]
+    for group in (token_counts.GROUP, 50, 1):
+        monkeypatch.setattr(token_counts, "GROUP", group)
+        assert list(zip(*token_counts.counter(path)(texts), strict=True)) == want
+    monkeypatch.setattr(token_counts.Automaton, "count", lambda self, word: pytest.fail(f"{word} was read alone"))
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz,.019AZ", k=r.randint(1, 20))) for _ in range(500)]
+    assert token_counts.counter(path)([" ".join(words).encode()])[0] == [500]

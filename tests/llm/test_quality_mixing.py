@@ -202,3 +202,39 @@ def test_first_rows_are_those_of_the_whole_table(spark):
     vectors = spark.createDataFrame(rows, "h long, at binary, n binary").repartition(6)
     out = vectors.mapInArrow(mixing._first(8), vectors.schema).distinct().orderBy("h", "at", "n").limit(8).collect()
     assert [(x.h, bytes(x.at), bytes(x.n)) for x in out] == sorted(set(rows))[:8]
+
+
+def test_main_directions_take_few_rounds():
+    """Each round reads all documents, so directions with close values must not take a round for every small turn."""
+    r = np.random.default_rng(4)
+    turned = np.linalg.qr(r.normal(size=(300, 300)))[0]
+    value = np.concatenate([[900.0, 120, 80, 40, 32, 31, 30, 29, 28], np.full(291, 1.0)])
+    rounds = []
+
+    def times(y):
+        rounds.append(y.shape)
+        return (turned * value) @ (turned.T @ y)
+
+    main = mixing.principal(r.normal(size=(300, 8)), times)
+    assert len(rounds) <= 6 and main.shape == (300, 4)
+    assert np.linalg.norm(main - turned[:, :4] @ (turned[:, :4].T @ main)) < 1e-3
+    one = np.outer(turned[:, 0], turned[:, 0])
+    assert np.abs(mixing.principal(turned[:, :1], lambda y: one @ y)[:, 0] @ turned[:, 0]) > 0.999
+
+
+def test_a_word_of_a_chunk_takes_two_bytes_and_no_count_is_lost():
+    """Rounds read what was hashed, with counts beyond MANY, at a quarter of the bytes."""
+    import pyarrow as pa
+
+    texts = [b"", b"a b c b", b"word " * 5000 + b"a", *(b" ".join(b"w%d" % (i * j % 97) for j in range(200)) for i in range(300))]
+    vectors = [mixing.hashed_words(x) for x in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes() for x in column], pa.binary()) for column, t in zip(zip(*vectors), ("<u2", "<f4"))], names=["at", "n"])
+    rare = np.linspace(0.5, 3, mixing.DIM).astype(np.float32)
+    chunks = list(mixing._packed(rare)([batch]))
+    assert sum(c.num_rows for c in chunks) == 3 and sum(len(c["codes"][0].as_py()) for c in chunks) == 2 * sum(len(at) for at, _ in vectors)
+    rows = [x * scale[:, None] for c in chunks for x, scale in mixing._dense(c, mixing._weights(rare), rare)]
+    found = np.concatenate(rows)
+    for (at, n), row in zip(vectors, found, strict=True):
+        want = np.zeros(mixing.DIM)
+        want[at] = n * rare[at]
+        assert np.allclose(row, want / max(np.linalg.norm(want), 1e-9), atol=1e-6)

@@ -27,6 +27,11 @@ def quote_key(text: Column) -> Column:
     return folded(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def lower_key(text: Column) -> Column:
+    """White space collapsed and in lower case, without folding."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def concept_key(text: Column) -> Column:
     """A quote key without closing punctuation."""
     return F.regexp_replace(quote_key(text), r"[ \t.,;:]+$", "")

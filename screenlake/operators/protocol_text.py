@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions.text import quote_key
@@ -141,13 +141,14 @@ def plan_units(spans: DataFrame) -> DataFrame:
     return spans.groupBy("nct_id", F.col("root_index").alias("unit")).agg(F.min_by("section", "index").alias("section"), lines.alias("lines"))
 
 
-def claims(spans: DataFrame, criteria: DataFrame) -> DataFrame:
+def claims(spans: DataFrame, criteria: DataFrame, key: Callable[[Column], Column] = quote_key) -> DataFrame:
     """nct_id, index, claim: direct if a criterion quotes the span or the span has its quote, inherited from a claimed ancestor, else unclaimed.
 
-    criteria: nct_id, quote. Quotes of one protocol meet its spans only.
+    criteria: nct_id, quote. Quotes of one protocol meet its spans only. key: what
+    of two texts must agree.
     """
-    quotes = criteria.groupBy("nct_id").agg(F.collect_set(quote_key(F.col("quote"))).alias("quotes"))
-    own = spans.select("nct_id", "index", "parent_index", quote_key(F.col("text")).alias("key")).join(quotes, "nct_id", "left")
+    quotes = criteria.groupBy("nct_id").agg(F.collect_set(key(F.col("quote"))).alias("quotes"))
+    own = spans.select("nct_id", "index", "parent_index", key(F.col("text")).alias("key")).join(quotes, "nct_id", "left")
     direct = F.coalesce(F.exists("quotes", lambda q: F.col("key").contains(q) | q.contains(F.col("key"))), F.lit(False))
     inherit = lambda hit, above: ("direct" if hit else "inherited" if above else "unclaimed", hit or bool(above))
     return _below(own.withColumn("direct", direct), "direct", "claim string", inherit)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.operators import arms, edits, keys, metrics, protocol_text, relations, traces
-from screenlake.plans.catalog import _BASE, _REDACTED, _SCORES, AS_OF, _screen, documents_lines, documents_quotes, patients, scores, screened
+from screenlake.plans.catalog import _BASE, _REDACTED, _SCORES, AS_OF, _screen, documents_claims, documents_lines, documents_quotes, patients, scores, screened
 from screenlake.plans import oracles
 from screenlake.sources.testdata import evidence
 
@@ -132,7 +132,7 @@ QUERIES = {
     "metamorphic_relations": lambda s, d: per_relation(relations.check(pairs(s, d), {k: f() for k, f in RELATIONS.items()})),
     "perturb_add_observation": lambda s, d: edits.add_observation(evidence(s, d), 1, "2160-0", "Creatinine", 20.0, "mg/dL", date(2002, 1, 1)).filter("code = '2160-0' AND value IS NOT NULL AND date IS NOT NULL").groupBy("patient_id").agg(F.count("*").alias("n"), F.max("date").cast("string").alias("last"), F.max_by("value", F.struct("date", "seq")).alias("value")),
     "edit_record": lambda s, d: edits.changes(evidence(s, d), edits.redact_analyte(evidence(s, d), "4548-4")).groupBy("side", "kind").agg(F.count("*").alias("n")),
-    "span_coverage": lambda s, d: arms.span_coverage(protocol_text.claims(protocol_text.segment(documents_lines(s, d)), documents_quotes(s, d))),
+    "span_coverage": lambda s, d: arms.span_coverage(documents_claims(s, d)),
     "ordinal_ids": lambda s, d: protocol_text.ordinal_ids(made_criteria(s, d)),
     "protocol_fingerprints": lambda s, d: protocol_text.fingerprints(documents_lines(s, d)),
     "downgraded_criteria": lambda s, d: protocol_text.downgraded(documents_quotes(s, d).withColumn("type", F.lit("condition")), documents_lines(s, d)).select("nct_id", "criterion_id", "type", "reason"),

@@ -92,5 +92,12 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return off.select(*columns, "side", F.explode(F.sequence(F.lit(1), F.abs("__n"))).alias("__i")).drop("__i")
 
 
+def removal(evidence: DataFrame, hit: Column, check: bool = True) -> DataFrame:
+    """changes() of an edit that takes away the rows of a predicate: those rows, as equal rows all leave together, so no sides are compared and nothing is shuffled."""
+    if check:
+        _must_hit(evidence, hit, "no row to take away")
+    return evidence.filter(hit).withColumn("side", F.lit("before"))
+
+
 def record_death(patients: DataFrame, patient_id: int, on: date) -> DataFrame:
     return patients.withColumn("deceased", F.when(F.col("patient_id") == patient_id, F.lit(on)).otherwise(F.col("deceased")))

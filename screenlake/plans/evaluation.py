@@ -131,7 +131,7 @@ QUERIES = {
     "audited_flags": lambda s, d: keys.audit(flags(s, d), labels(s, d).filter("patient_id % 9 = 0").select("case_id", "criterion_id", F.expr("if(patient_id % 2 = 0, ' ', 'seen')").alias("reason")), labels(s, d).filter("patient_id % 4 = 0").select("case_id", "criterion_id")).groupBy("problem").agg(F.count("*").alias("n")),
     "metamorphic_relations": lambda s, d: per_relation(relations.check(pairs(s, d), {k: f() for k, f in RELATIONS.items()})),
     "perturb_add_observation": lambda s, d: edits.add_observation(evidence(s, d), 1, "2160-0", "Creatinine", 20.0, "mg/dL", date(2002, 1, 1)).filter("code = '2160-0' AND value IS NOT NULL AND date IS NOT NULL").groupBy("patient_id").agg(F.count("*").alias("n"), F.max("date").cast("string").alias("last"), F.max_by("value", F.struct("date", "seq")).alias("value")),
-    "edit_record": lambda s, d: edits.changes(evidence(s, d), edits.redact_analyte(evidence(s, d), "4548-4")).groupBy("side", "kind").agg(F.count("*").alias("n")),
+    "edit_record": lambda s, d: edits.removal(evidence(s, d), edits.analyte("4548-4")).groupBy("side", "kind").agg(F.count("*").alias("n")),
     "span_coverage": lambda s, d: arms.span_coverage(documents_claims(s, d)),
     "ordinal_ids": lambda s, d: protocol_text.ordinal_ids(made_criteria(s, d)),
     "protocol_fingerprints": lambda s, d: protocol_text.fingerprints(documents_lines(s, d)),

@@ -1,5 +1,7 @@
 """Plans of queries that grew faster than their input."""
 
+import pytest
+
 import __spark_entry__ as registered
 
 SF = "/root/testdata/sf0.001"
@@ -17,6 +19,19 @@ def test_an_edit_is_one_aggregation_of_both_sides(spark):
     assert plan(spark, "edit_record").count("part.parquet") <= 2
 
 
+def test_what_a_redaction_takes_away_is_not_shuffled_in_whole_rows(spark):
+    from screenlake.operators import edits
+
+    # of the evidence only keys meet, and both sides are not compared
+    assert "l_suppkey" not in plan(spark, "edit_record") and "part.parquet" not in plan(spark, "edit_record")
+    rows = [("p", "observation", "LOINC", code, 1.0, s) for code in ("1", "1", "2", None) for s in ("a", None)] + [("p", "condition", "LOINC", "1", None, "a"), ("q", None, "LOINC", "1", 2.0, "b")]
+    chart = spark.createDataFrame(rows, "patient_id string, kind string, system string, code string, value double, seq string")
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(edits.removal(chart, edits.analyte("1"))) == same(edits.changes(chart, edits.redact_analyte(chart, "1"))) != []
+    with pytest.raises(edits.NothingToEdit):
+        edits.removal(chart, edits.analyte("3"))
+
+
 def test_notes_take_from_the_evidence_only_what_they_share(spark):
     assert "LeftSemi" in plan(spark, "notes_merge")
 

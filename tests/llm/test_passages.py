@@ -167,3 +167,45 @@ def test_ends_grow_side_by_side_as_one_by_one():
     xs = ys = [20, 60]
     ends = passages.extend_all(passages.beside(a, b, 20, 20, 60 + passages.K, 60 + passages.K))
     assert passages.align(a, b, xs, ys, 50, 0.8, outer=ends) == passages.align(a, b, xs, ys, 50, 0.8) == [(0, 100, 0, 100, 0.99)]
+
+
+def test_a_passage_with_one_shared_seed_is_found(spark):
+    r = random.Random(41)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    rows, where = [], {}
+    while len(where) < 60:
+        passage = r.choices(vocabulary, k=r.randint(51, 70))
+        copy, n = list(passage), len(where)
+        for at in range(6, len(copy) - 6, 7):  # six equal words from edit to edit
+            copy[at] = "edited"
+        made = [(r.randint(0, 40), words) for words in (passage, copy)]
+        texts = [planted(r, vocabulary, words, before, r.randint(0, 40)) for before, words in made]
+        one, two = (set(passages.seeds(text.encode())[1].tolist()) for text in texts)
+        if len(one & two) == 1:
+            for i, text, (before, words) in zip((n, n + 1), texts, made, strict=True):
+                rows.append((i, text))
+                where[i] = (before, before + len(words))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: ([(s.start, s.end) for s in x.spans], x.rep_ids) for x in passages.Passages(docs).report().collect()}
+    for i, (a, b) in where.items():
+        spans, others = got.get(i, ([], []))
+        assert any(s <= a and e >= b for s, e in spans) and (i % 2 == 0 or others == [i - 1]), (i, a, b, spans, others)
+
+
+def test_every_match_is_in_one_chain(spark):
+    rows, _ = corpus(random.Random(42))
+    rows += [(100, "same " * 5000), (101, " ".join(f"a{i % 30} a{i % 7}" for i in range(3000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    matches = sorted(tuple(x) for x in passages.Passages(docs).matches().distinct().collect())
+    chained = [(x.doc_id, i, x.rep_id, j) for x in passages.Passages(docs).chains().collect() for i, j in zip(x.xs, x.ys, strict=True)]
+    assert sorted(chained) == matches
+
+
+def test_one_id_with_texts_of_different_length(spark):
+    r = random.Random(43)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = r.choices(vocabulary, k=60)
+    # the words of the short text end before the passage of the long one
+    rows = [(1, "few words"), (1, planted(r, vocabulary, passage, 300, 10)), (2, planted(r, vocabulary, passage, 20, 20))]
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in passages.Passages(spark.createDataFrame(rows, "doc_id long, text string")).report().collect()}
+    assert got == {1: [(300, 360)], 2: [(20, 80)]}
